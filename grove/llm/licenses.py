@@ -63,7 +63,7 @@ class NoticeSearch:
         self.seeds.make_automaton()
 
     def find(self, text: str) -> list[tuple[int, int, str, int]]:
-        """(start, end, label, edits) in the normalised text; of overlapping finds of one label, the one with the fewest edits."""
+        """(start, end, label, edits) in the normalised text; of overlapping finds, the one with the fewest edits, then the longest."""
         regions = defaultdict(list)
         for end, (length, where) in self.seeds.iter(text):
             for i, at in where:
@@ -81,10 +81,10 @@ class NoticeSearch:
                     merged.append([a, b])
             for a, b in merged:
                 found += [(m.start(), m.end(), self.notices[i][1], sum(m.fuzzy_counts)) for m in self.exact[i].finditer(text, a, b) if m.end() > m.start()]
-        found.sort(key=lambda f: (f[2], f[3], f[0] - f[1], f[0]))
+        found.sort(key=lambda f: (f[3], f[0] - f[1], f[0]))
         kept = []
         for f in found:
-            if not any(f[2] == g[2] and f[0] < g[1] and g[0] < f[1] for g in kept):
+            if not any(f[0] < g[1] and g[0] < f[1] for g in kept):
                 kept.append(f)
         return sorted(kept)
 
