@@ -10,10 +10,15 @@ from .common import read_table
 from .licenses import scan_licenses
 from .mixing import mix_sources
 from .pii import detect_pii, pii_digest
+from .simhash import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents"))
 
@@ -26,6 +31,6 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read_table(spark, sf_dir, "documents")).drop("notices")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_mixing, op6_pii, op9_licenses)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_simhash, op5_mixing, op6_pii, op9_licenses)}
 
 ORACLE_SQL: dict[str, str] = {}
