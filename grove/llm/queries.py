@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
+from .decontamination import ORACLE as OP1_SQL
+from .decontamination import find_contamination
 from .licenses import scan_licenses
 from .mixing import mix_sources
 from .pii import detect_pii, pii_digest
@@ -15,6 +17,10 @@ from .simhash import near_duplicates
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("items", "hits")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -31,6 +37,6 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read_table(spark, sf_dir, "documents")).drop("notices")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_simhash, op5_mixing, op6_pii, op9_licenses)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op3_simhash, op5_mixing, op6_pii, op9_licenses)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL}
