@@ -12,7 +12,9 @@ from .decontamination import find_contamination
 from .licenses import scan_licenses
 from .mixing import mix_sources
 from .pii import detect_pii, pii_digest
+from .quality import score_quality
 from .simhash import near_duplicates
+from .toxicity import score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,10 +35,18 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(detect_pii(read_table(spark, sf_dir, "documents")))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read_table(spark, sf_dir, "documents")).drop("notices")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op3_simhash, op5_mixing, op6_pii, op9_licenses)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op3_simhash, op5_mixing, op6_pii, op7_quality, op9_licenses, op10_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL}
