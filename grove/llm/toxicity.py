@@ -10,6 +10,7 @@ a calibrated logistic threshold.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterable
 
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 from .common import map_rows, remainder
 from .quality import labelled_sample
 
-WINDOW, LEVEL, ORDINARY_BYTES, TOXIC_BYTES = 400, 3, 32_768, 16_384
-SHORTEST, LONGEST, LIFT, LEAST_SHARE = 4, 12, 8.0, 0.01
+WINDOW, LEVEL, ORDINARY_BYTES, TOXIC_BYTES = 100, 6, 32_768, 16_384
+STEP, DEEPEST, CLEAR, TOXIC_WEIGHT = 41, 15, (1, 2, 4), 0.3
+SHORTEST, LONGEST, LIFT, LEAST_SHARE, SHINGLE, MINIMA = 4, 12, 8.0, 0.015, 5, 4
 EDGES = "\"'()[]{}.,;:!?#*$%&|<>"
 
 
@@ -35,14 +37,34 @@ def starts_of(words: Iterable[str]) -> set[str]:
     return {w[:k] for w in words for k in range(SHORTEST, min(len(w), LONGEST) + 1)}
 
 
-def marked_starts(toxic: list[str], ordinary: list[str]) -> set[str]:
-    """Word beginnings that a toxic document has at least LIFT times as often as an ordinary one."""
+def one_of_each(texts: list[str]) -> list[str]:
+    """The texts without near copies of earlier ones, told by any of the smallest hashes of their word shingles; copies would make their rare words look typical."""
+    seen, kept = set(), []
+    for text in texts:
+        words = words_of(text)
+        hashes = {zlib.crc32(" ".join(words[i : i + SHINGLE]).encode()) for i in range(max(1, len(words) - SHINGLE + 1))}
+        minima = {(k, min((h * m) & 0xFFFFFFFF for h in hashes)) for k, m in enumerate((1, 0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)[:MINIMA])}
+        if not minima & seen:
+            kept.append(text)
+        seen |= minima
+    return kept
+
+
+def marked_starts(toxic: list[str], ordinary: list[str]) -> dict[str, int]:
+    """Word beginnings that a toxic document has at least LIFT times as often as an ordinary one, and how many toxic ones have them."""
     seen = [Counter(), Counter()]
     for counter, texts in zip(seen, (toxic, ordinary)):
         for text in texts:
             counter.update(starts_of(set(words_of(text))))
-    least = max(4, LEAST_SHARE * len(toxic))
-    return {s for s, n in seen[0].items() if n >= least and n / len(toxic) >= LIFT * (seen[1][s] + 1) / len(ordinary)}
+    least = max(5, LEAST_SHARE * len(toxic))
+    return {s: n for s, n in seen[0].items() if n >= least and n / len(toxic) >= LIFT * (seen[1][s] + 1) / len(ordinary)}
+
+
+def segment_of(word: str, marks: dict[str, int]) -> str:
+    """The marked beginning that tells the word: the longest that is at least half as common as the most common one; empty if none is marked."""
+    found = [word[:k] for k in range(SHORTEST, min(len(word), LONGEST) + 1) if word[:k] in marks]
+    most = max((marks[s] for s in found), default=0)
+    return max((s for s in found if 2 * marks[s] >= most), key=len, default="")
 
 
 def trained(samples: list[bytes], size: int) -> bytes:
@@ -53,42 +75,53 @@ def trained(samples: list[bytes], size: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
+def aligned(text: str) -> np.ndarray:
+    """The lower-cased bytes, each moved by its place within its word, so that matches only align with word beginnings."""
+    data = np.frombuffer(b" " + text.lower().encode(), np.uint8)
+    at = np.arange(len(data), dtype=np.int32)
+    start = np.maximum.accumulate(np.where((data <= 32), at, 0))
+    return data + (np.minimum(at - start, DEEPEST) * STEP).astype(np.uint8)
+
+
 class CompressionDistance:
     """The two dictionaries and the calibration of what windows save."""
 
     def __init__(self, toxic: bytes, ordinary: bytes, weights: list[float] | None = None):
-        self.toxic, self.ordinary, self.weights = toxic, ordinary, weights or [0.0, 0.0, 0.0]
+        self.toxic, self.ordinary, self.weights = toxic, ordinary, weights or [0.0] * (len(CLEAR) + 4)
 
     def compressors(self) -> tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]:
         made = []
+        size = len(self.toxic) + len(self.ordinary)
+        params = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=WINDOW, dict_size=size, min_match=5, write_content_size=False, write_dict_id=False)
         for data in (b"\0" * len(self.toxic) + self.ordinary, self.toxic + self.ordinary):
             raw = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            raw.precompute_compress(level=LEVEL)
-            made.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False, write_dict_id=False).compress)
+            raw.precompute_compress(compression_params=params)
+            made.append(zstandard.ZstdCompressor(compression_params=params, dict_data=raw).compress)
         return made[0], made[1]
 
-    def features(self, text: str | None, plain: Callable[[bytes], bytes], both: Callable[[bytes], bytes]) -> tuple[float, float]:
-        """(log of the bytes saved over all windows, most saved in one window)."""
-        data = (text or "").lower().encode()
-        total = most = at = 0
+    def features(self, text: str | None, plain: Callable[[bytes], bytes], both: Callable[[bytes], bytes]) -> tuple[float, ...]:
+        """Logs of the number of windows that save CLEAR bytes or more, of the bytes these save and of all windows' number, and the most saved in one window."""
+        data = aligned(text or "")
+        spaces = np.flatnonzero(data == 32)
+        saved, at = [], 0
         while at < len(data):
-            end = at + WINDOW
-            if end < len(data) and (cut := data.rfind(b" ", at + WINDOW // 2, end)) > 0:
-                end = cut
-            piece = b" " + data[at:end]
-            saved = len(plain(piece)) - len(both(piece))
-            total, most, at = total + max(0, saved), max(most, saved), end
-        return math.log1p(total), float(most)
+            cut = int(np.searchsorted(spaces, at + WINDOW))
+            end = len(data) if at + WINDOW >= len(data) else int(spaces[cut - 1]) if spaces[cut - 1] > at else at + WINDOW
+            piece = data[at:end].tobytes()
+            saved.append(len(plain(piece)) - len(both(piece)))
+            at = end
+        clear = [sum(s >= least for s in saved) for least in CLEAR]
+        return *map(math.log1p, (*clear, sum(s for s in saved if s >= CLEAR[0]), len(saved))), max(saved) / 10
 
-    def score(self, features: tuple[float, float]) -> float:
-        a, b, c = self.weights
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, a * features[0] + b * features[1] / 10 + c))))
+    def score(self, features: tuple[float, ...]) -> float:
+        x = sum(w * f for w, f in zip(self.weights, (*features, 1.0)))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int = 50) -> list[float]:
-    """Weights and bias by Newton steps, both labels weighing the same."""
+    """Weights and bias by Newton steps; all toxic rows together weigh TOXIC_WEIGHT."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    weight = np.where(y == 1, TOXIC_WEIGHT / max(1, (y == 1).sum()), (1 - TOXIC_WEIGHT) / max(1, (y == 0).sum()))
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -97,7 +130,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: in
     return w.tolist()
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> CompressionDistance | None:
+def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> CompressionDistance | None:
     """The dictionaries from two thirds of at most per_class labelled documents a label, the calibration from the rest; None without both labels."""
     rows = labelled_sample(docs, labels, label, per_class, id_col, text_col).orderBy("_id").collect()
     texts = [[r["text"] or "" for r in rows if r["y"] == y] for y in (0, 1)]
@@ -105,14 +138,14 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per
         return None
     own = [[t for i, t in enumerate(x) if i % 3 or len(x) < 9] for x in texts]
     rest = [[t for i, t in enumerate(x) if not i % 3 or len(x) < 9] for x in texts]
-    marks = marked_starts(own[1], own[0])
-    segments = [f" {w}" for t in own[1] for w in words_of(t) if any(w[:k] in marks for k in range(SHORTEST, min(len(w), LONGEST) + 1))]
-    toxic = trained(["".join(segments[i : i + 24]).encode() for i in range(0, len(segments), 24)] or [b" "], TOXIC_BYTES)
-    ordinary = trained([t[i : i + 800].lower().encode() for t in own[0] for i in range(0, len(t), 4000)], ORDINARY_BYTES)
+    marks = marked_starts(one_of_each(own[1]), one_of_each(own[0]))
+    segments = [f" {s}" for t in own[1] for w in words_of(t) if (s := segment_of(w, marks))]
+    toxic = trained([aligned("".join(segments[i : i + 24]).strip()).tobytes() for i in range(0, len(segments), 24)] or [b" "], TOXIC_BYTES)
+    ordinary = trained([aligned(t[i : i + 800]).tobytes() for t in own[0] for i in range(0, len(t), 4000)], ORDINARY_BYTES)
     model = CompressionDistance(toxic, ordinary)
     plain, both = model.compressors()
     x = np.array([model.features(t, plain, both) for y in (0, 1) for t in rest[y]])
-    model.weights = fit_logistic(x / [1, 10], np.repeat([0, 1], [len(rest[0]), len(rest[1])]))
+    model.weights = fit_logistic(x, np.repeat([0, 1], [len(rest[0]), len(rest[1])]))
     return model
 
 
