@@ -13,6 +13,7 @@ from .licenses import scan_licenses
 from .mixing import mix_sources
 from .pii import detect_pii, pii_digest
 from .quality import score_quality
+from .rules import apply_rules
 from .simhash import near_duplicates
 from .toxicity import score_toxicity
 
@@ -39,6 +40,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_rules(read_table(spark, sf_dir, "documents"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read_table(spark, sf_dir, "documents")).drop("notices")
 
@@ -47,6 +52,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op3_simhash, op5_mixing, op6_pii, op7_quality, op9_licenses, op10_toxicity)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op3_simhash, op5_mixing, op6_pii, op7_quality, op8_rules, op9_licenses, op10_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL}
