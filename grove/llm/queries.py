@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read_table
 from .decontamination import ORACLE as OP1_SQL
 from .decontamination import find_contamination
+from .html import extract_pages
 from .licenses import scan_licenses
 from .mixing import mix_sources
 from .pii import detect_pii, pii_digest
@@ -28,6 +29,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents"))
 
@@ -52,6 +57,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op3_simhash, op5_mixing, op6_pii, op7_quality, op8_rules, op9_licenses, op10_toxicity)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op3_simhash, op4_html, op5_mixing, op6_pii, op7_quality, op8_rules, op9_licenses, op10_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL}
