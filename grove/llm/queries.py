@@ -11,6 +11,7 @@ from .decontamination import ORACLE as OP1_SQL
 from .decontamination import find_contamination
 from .html import extract_pages
 from .licenses import scan_licenses
+from .lm import score_texts
 from .mixing import mix_sources
 from .pii import detect_pii, pii_digest
 from .quality import score_quality
@@ -25,6 +26,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("items", "hits")
 
 
+def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(read_table(spark, sf_dir, "documents"), rescannable=True)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op3_simhash, op4_html, op5_mixing, op6_pii, op7_quality, op8_rules, op9_licenses, op10_toxicity)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_lm, op3_simhash, op4_html, op5_mixing, op6_pii, op7_quality, op8_rules, op9_licenses, op10_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL}
