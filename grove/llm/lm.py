@@ -170,12 +170,14 @@ def rows(made: list[tuple[int, str, str, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*made), types)], names=ROW_NAMES)
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordBatch, Block]]:
-    from pyspark import TaskContext
+def scanned(docs: DataFrame) -> DataFrame:
+    """The texts with the number of their partition, which with a batch's place names a block."""
+    return docs.withColumn("part", F.spark_partition_id())
+
 
-    task = TaskContext.get().partitionId()
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordBatch, Block]]:
     for i, b in enumerate(b for b in batches if b.num_rows):
-        yield f"{task}-{i}", b, Block.read(b.column(2))
+        yield f"{b.column(3)[0]}-{i}", b, Block.read(b.column(2))
 
 
 def by_key(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[tuple]]:
@@ -206,7 +208,7 @@ def send_pairs(docs: DataFrame, owners: Owners) -> DataFrame:
                     s = slice(first[p], last[p])
                     yield rows([(p, "pairs", name, pack(v[s], w[s], n[s]))])
 
-    return docs.mapInArrow(run, ROW)
+    return scanned(docs).mapInArrow(run, ROW)
 
 
 def merge_pairs(sent: DataFrame, owners: Owners) -> DataFrame:
@@ -312,7 +314,7 @@ def send_words(docs: DataFrame, owners: Owners) -> DataFrame:
                 if last[q] > first[q]:
                     yield rows([(q, "~ask", name, pack(block.vocabulary[order[first[q] : last[q]]]))])
 
-    return docs.mapInArrow(run, ROW)
+    return scanned(docs).mapInArrow(run, ROW)
 
 
 def answer_words(words: DataFrame, asked: DataFrame, owners: Owners, totals: Totals) -> DataFrame:
@@ -347,7 +349,7 @@ def send_tokens(docs: DataFrame) -> DataFrame:
             ids = b.column(0)
             yield rows([(-1, "tokens", name, pack(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8), b.column(1).to_numpy(zero_copy_only=False).astype(np.uint8), block.lengths, block.vocabulary, by_frequency.astype(np.uint32), place[block.tokens]))])
 
-    return docs.mapInArrow(run, ROW)
+    return scanned(docs).mapInArrow(run, ROW)
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
