@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -92,7 +93,6 @@ def format_counter(n: int, cap: int, system: tuple[str, int, tuple[str, ...]], u
 
 def formatted(value: Column, system: str, unit: str = "") -> Column:
     """The numeral and its unit, one blank between, as a column; rounds as format_number does, in Arrow batches."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def of(values: pd.Series) -> pd.Series:
