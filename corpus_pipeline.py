@@ -18,10 +18,24 @@ from grove.llm.quality import score_quality
 from grove.llm.simhash import near_duplicates
 
 
+OWN = ("doc_id", "text")
+
+
+def hidden(docs: DataFrame) -> DataFrame:
+    """docs with all but the id and the text under names that no operator uses."""
+    return docs.select(*[F.col(c).alias(c if c in OWN else f"_column{i}") for i, c in enumerate(docs.columns)])
+
+
+def shown(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns by their own names again."""
+    return docs.select(*[F.col(c if c in OWN else f"_column{i}").alias(c) for i, c in enumerate(columns)])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line field calls bad go."""
-    scored = score_quality(docs, read_table(spark, sf_dir, "labels"), keep=tuple(docs.columns))
-    return scored.where(F.col("predicted") == 1).select(docs.columns)
+    own = hidden(docs)
+    scored = score_quality(own, read_table(spark, sf_dir, "labels"), keep=tuple(own.columns))
+    return shown(scored.where(F.col("predicted") == 1), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,14 +54,17 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span of personal data is replaced by its kind; n_chars follows the text."""
-    found = detect_pii(docs, keep=tuple(docs.columns), redacted="text")
-    return found.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    own = hidden(docs)
+    found = shown(detect_pii(own, keep=tuple(own.columns), redacted="text"), docs.columns)
+    return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with their size in words, their source's target, and their number of copies."""
-    mixed = mix_sources(docs).where("copies > 0").groupBy("doc_id").agg(*[F.max(c).alias(c) for c in ("size", "target", "copies")])
-    return docs.join(mixed, "doc_id").select(*docs.columns, "size", "target", "copies")
+    """Documents that the mix takes, with their size in words, their source's target, and their number of copies, in place of columns of these names."""
+    added = ("size", "target", "copies")
+    mixed = mix_sources(docs).where("copies > 0").groupBy("doc_id").agg(*[F.max(c).alias(c) for c in added])
+    own = docs.drop(*added)
+    return own.join(mixed, "doc_id").select(*own.columns, *added)
 
 
 STAGES = [("quality classifier", quality), ("SimHash near-dedup", near_dedup), ("benchmark decontamination", decontamination), ("PII", personal_data), ("mixing sources to target weights", mixing)]

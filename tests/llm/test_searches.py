@@ -1,0 +1,171 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+
+from grove.llm.decontamination import find_contamination, words_of
+from grove.llm.licenses import NOTICES, NoticeSearch, scan_licenses
+from grove.llm.pii import detect_pii, find_spans, luhn, mod97, pii_digest, redact
+from grove.llm.simhash import GrayIndex, block_widths, fingerprint, masks, near_duplicates, reordered, roots
+
+ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def brute_contamination(text, items):
+    words, hit, who = ALNUM.findall((text or "").translate(LOWER)), set(), set()
+    for item, other in items:
+        own = ALNUM.findall((other or "").translate(LOWER))
+        for i in range(max(1, len(own) - 12) if own else 0):
+            window = own[i : i + 13]
+            for p in range(len(words) - len(window) + 1):
+                if words[p : p + len(window)] == window:
+                    hit |= set(range(p, p + len(window)))
+                    who.add(item)
+    named = ",".join(sorted(str(w) for w in who if w is not None))
+    return len(words), len(hit), len(who - {None}), hashlib.sha256(named.encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(words)
+
+
+@pytest.mark.parametrize("block_words", [1 << 20, 25])
+def test_contamination(spark, docs, rows, texts, empty, block_words):
+    long = texts[-4].split()
+    items = [(1, " ".join(long[100:140])), (2, texts[2]), (3, "one two"), (3, "one two"), (4, None), (5, ""), (11, "not there at all"), (None, " ".join(long[300:330])), (6, "ONE")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = find_contamination(docs, bench, block_words=block_words).collect()
+    wanted = sorted(repr((r[0], *brute_contamination(r[1], items))) for r in rows)
+    assert sorted(repr((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"])) for r in found) == wanted
+    assert find_contamination(empty, bench).count() == 0
+    assert find_contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_proximity(spark):
+    docs = spark.createDataFrame([(1, "a x b y c"), (2, "c b a"), (3, "a b"), (4, "a x x x x x x b c")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    assert {r["doc_id"] for r in find_contamination(docs, bench, slop=4).where("n_items > 0").collect()} == {1, 2}
+    assert words_of("Ab-c d1 É") == [b"ab", b"c", b"d1", "É".encode()]
+
+
+def test_gray_index():
+    draw = np.random.default_rng(5)
+    values = {int(x) ^ sum(1 << int(b) for b in set(draw.integers(0, 64, draw.integers(0, 6)))) for x in draw.integers(0, 2**63, 30) for _ in range(25)} | {0, 1, 2**64 - 1}
+    values = np.array(sorted(values), dtype=np.uint64)
+    wanted = roots(len(values), iter([np.nonzero(np.bitwise_count(values[:, None] ^ values[None, :]) <= 3)]))
+    widths, links = block_widths(6), []
+    for chosen in masks(6, 3):
+        order = [*chosen, *(k for k in range(6) if k not in chosen)]
+        index = GrayIndex(reordered(values, order, widths), np.cumsum([widths[k] for k in order])[2:].tolist(), 3)
+        plain = reordered(index.values, order, widths, back=True)
+        for a, b in index.links():
+            assert (np.bitwise_count(plain[a] ^ plain[b]) <= 3).all()
+            links.append((np.searchsorted(values, plain[a]), np.searchsorted(values, plain[b])))
+    assert (roots(len(values), iter(links)) == wanted).all()
+
+
+def test_near_duplicates(spark, docs, rows, empty):
+    import xxhash
+
+    def brute(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+        shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [" ".join(words)] if words else []
+        hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    found = near_duplicates(docs).collect()
+    assert len(found) == len(rows)
+    own = {i: brute(t) for i, t, *_ in rows[:40] + rows[60:]}
+    for r in found:
+        if r["doc_id"] in own:
+            assert r["fingerprint"] == f"{own[r['doc_id']]:016x}"
+    prints = [(r["doc_id"], int(r["fingerprint"], 16)) for r in found]
+    label = {i: i for i, _ in prints if i is not None}
+    for _ in range(6):
+        for i, a in prints:
+            for j, b in prints:
+                if i is not None and j is not None and (a ^ b).bit_count() <= 3:
+                    label[i] = label[j] = min(label[i], label[j])
+    assert all(r["component_id"] == label[r["doc_id"]] for r in found if r["doc_id"] is not None)
+    assert near_duplicates(empty).count() == 0
+    assert fingerprint(None) == fingerprint(" \n") == 0
+
+
+def test_simhash_joins_large_groups(spark):
+    """One group of copies and one of near copies, which hold most rows."""
+    draw = random.Random(9)
+    words = [f"w{draw.randrange(10**6)}" for _ in range(400)]
+    near = []
+    for i in range(300):
+        w = list(words)
+        w[draw.randrange(400)] = f"v{i}"
+        near.append(" ".join(w))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["same text here again"] * 300 + near + [" ".join(draw.sample(words, 60)) for _ in range(50)])], "doc_id long, text string")
+    found = near_duplicates(docs).collect()
+    assert {r["component_id"] for r in found if r["doc_id"] < 300} == {0}
+    prints = {r["doc_id"]: int(r["fingerprint"], 16) for r in found}
+    group = {r["doc_id"]: r["component_id"] for r in found}
+    for i in range(300, 600):
+        for j in range(300, i):
+            if (prints[i] ^ prints[j]).bit_count() <= 3:
+                assert group[i] == group[j]
+
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def brute_spans(text):
+    out = []
+    for kind, rule in BASE.items():
+        for m in re.finditer(rule, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "email" or kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")) or kind == "card" and 14 <= len(digits) <= 19 and luhn(digits) or kind == "phone" and 10 <= len(digits) <= 15:
+                out.append((m.start(), m.end(), kind))
+    return sorted(out, key=lambda s: (s[0], list(BASE).index(s[2])))
+
+
+def test_base_spans_equal_the_expressions():
+    draw = random.Random(4)
+    pieces = ["a.b@c.de", "@", "x@y", "1.2.3.4", "1.2.3.4.5.6.7.8", "300.1.1.1", "0001.2.3.004", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (017) 555-7713", "+44 20 7946 0958 ", "++12", " ", ".", "é", "a_b%c+d@e-f.g.h", "5", "\n", "@a.b@c.d", "-"]
+    for _ in range(3000):
+        text = "".join(draw.choice(pieces) for _ in range(draw.randint(1, 12)))
+        assert [s[:3] for s in find_spans(text) if s[2] in BASE] == brute_spans(text), repr(text)
+
+
+def test_personal_data(spark, docs, rows, empty):
+    assert mod97("GB82 WEST 1234 5698 7654 32") and not mod97("GB82 WEST 1234 5698 7654 33")
+    text = 'write to é me@x.org, token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", IBAN GB82 WEST 1234 5698 7654 32, ssn 078-05-1120'
+    spans = find_spans(text)
+    assert {s[2] for s in spans} >= {"email", "secret", "iban", "ssn"}
+    assert redact(text, spans) == 'write to é [EMAIL], token = "[SECRET]", IBAN [IBAN], ssn [SSN]'
+    assert redact(None, []) is None
+    found = pii_digest(detect_pii(docs)).collect()
+    assert len(found) == len(rows)
+    wanted = {i: brute_spans(t) for i, t, *_ in rows}
+    for r in found:
+        spans = wanted[r["doc_id"]]
+        assert [r[f"n_{k}"] for k in BASE] == [sum(s[2] == k for s in spans) for k in BASE]
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in spans).encode()).hexdigest()
+    assert detect_pii(empty).count() == 0
+    both = detect_pii(docs, keep=tuple(docs.columns), redacted="text")
+    assert both.where("text like '%@b.cd%'").count() == 0 and both.count() == len(rows)
+
+
+def test_long_runs_stay_linear():
+    for text in ("a" * 300_000, "1" * 300_000, "a" * 300_000 + "@", "+1" + " " * 300_000, "1." * 150_000, "@" * 100_000):
+        find_spans(text)
+
+
+def test_licenses(spark, docs, rows, empty):
+    search = NoticeSearch()
+    for notice, label in NOTICES.items():
+        assert label in {f[2] for f in search.find(notice)}
+        broken = notice[: len(notice) // 2] + notice[len(notice) // 2 + 1 :]
+        assert [f[3] for f in search.find(f"some words {broken} more words") if f[2] == label] == [1]
+    assert search.find("the licence of the poet") == []
+    made = spark.createDataFrame([(1, "Released under the MIT License. x CC-BY/NC! under the mit license"), (2, "This work is licensed under the GNU General Publik License, version 3."), (3, "under the, mit; licenses")], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in scan_licenses(made).collect()}
+    one = found[1]
+    assert (one["n_words"], one["n_base"], one["first_word"], one["last_word"], one["base_labels"], one["labels"], one["score"]) == (13, 3, 1, 9, "cc-by-nc,mit", "cc-by-nc,mit", 1.0)
+    assert (found[2]["n_base"], found[2]["first_word"], found[2]["base_labels"], found[2]["labels"]) == (0, None, "", "gpl-3") and 0.9 < found[2]["score"] < 1
+    assert found[3]["n_base"] == 0
+    assert scan_licenses(docs).count() == len(rows) and scan_licenses(empty).count() == 0
