@@ -31,11 +31,14 @@ def clamp64(x: Column) -> Column:
 
 
 def sum32(x: Column) -> Column:
-    """The clamped sum, 0 without rows."""
-    return clamp32(F.coalesce(F.sum(x.cast("decimal(20,0)")), F.lit(Decimal(0))))
+    """The clamped sum, 0 without rows; each number counts as its own clamped value, so 2^31 of them fit."""
+    return clamp32(F.coalesce(F.sum(clamp32(x)), F.lit(0)))
 
 
-def sum64(x: Column) -> Column:
+def sum64(x: Column, narrow: bool = False) -> Column:
+    """The clamped sum, 0 without rows. Numbers of 32 bits (narrow) add up without decimals, 2^31 of them at least."""
+    if narrow:
+        return F.coalesce(F.sum(x.cast("bigint")), F.lit(0)).cast(WIDE)
     return clamp64(F.coalesce(F.sum(x.cast(WIDE)), F.lit(Decimal(0))))
 
 

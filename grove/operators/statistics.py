@@ -29,7 +29,7 @@ def highest(x: Column, wide: bool = False) -> Column:
 def blob_statistics(blobs: DataFrame) -> DataFrame:
     """One row over blobs (oid, ord, size)."""
     size = F.col("size")
-    return blobs.agg(count32().alias("unique_blob_count"), sum64(size).alias("unique_blob_size"), highest(size).alias("max_blob_size"), first_max(F.col("oid"), size, F.col("ord")).alias("max_blob_size_blob"))
+    return blobs.agg(count32().alias("unique_blob_count"), sum64(size, narrow=True).alias("unique_blob_size"), highest(size).alias("max_blob_size"), first_max(F.col("oid"), size, F.col("ord")).alias("max_blob_size_blob"))
 
 
 def witness(metric: Column, order: tuple[str, ...]) -> Column:
@@ -39,7 +39,7 @@ def witness(metric: Column, order: tuple[str, ...]) -> Column:
 
 def tree_statistics(sizes: DataFrame, order: tuple[str, ...] = ("finished", "height", "ord")) -> DataFrame:
     """One row over folded trees (oid, object_size, entries, SIZES) in one aggregation."""
-    made = [count32().alias("unique_tree_count"), sum64(F.col("object_size")).alias("unique_tree_size"), sum64(F.col("entries")).alias("unique_tree_entries")]
+    made = [count32().alias("unique_tree_count"), sum64(F.col("object_size"), narrow=True).alias("unique_tree_size"), sum64(F.col("entries"), narrow=True).alias("unique_tree_entries")]
     for column, name, by in TREE_MAXIMA:
         made += [highest(F.col(column), column == "blob_bytes").alias(name), witness(F.col(column), order).alias(by)]
     return sizes.agg(*made)
@@ -49,7 +49,7 @@ def commit_statistics(commits: DataFrame) -> DataFrame:
     """One row over commits (oid, ord, size, n_parents, depth); the newest of equal ones is the witness."""
     oid, order = F.col("oid"), F.col("ord")
     return commits.agg(
-        count32().alias("unique_commit_count"), sum64(F.col("size")).alias("unique_commit_size"), highest(F.col("size")).alias("max_commit_size"), last_max(oid, F.col("size"), order).alias("max_commit"),
+        count32().alias("unique_commit_count"), sum64(F.col("size"), narrow=True).alias("unique_commit_size"), highest(F.col("size")).alias("max_commit_size"), last_max(oid, F.col("size"), order).alias("max_commit"),
         highest(F.col("depth")).alias("max_history_depth"), highest(F.col("n_parents")).alias("max_parent_count"), last_max(oid, F.col("n_parents"), order).alias("max_parent_count_commit"),
     )
 

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grove.functions.counters import add32, clamp32, clamp64, sum32, sum64
+from grove.functions.counters import WIDE, add32, clamp32, clamp64, sum32, sum64
 from grove.storage import stored
 
 SIZES = ("max_path_depth", "max_path_length", "trees", "blobs", "blob_bytes", "links", "submodules")
@@ -32,15 +32,15 @@ def leaf_sizes(trees: DataFrame, entries: DataFrame, blobs: DataFrame) -> DataFr
     entries has sizes 0.
     """
     kind = F.col("kind")
-    plain = entries.where(kind == "blob").join(blobs.select(F.col("oid").alias("child"), "size"), "child", "left")
+    rows = entries.join(blobs.select(F.col("oid").alias("_blob"), "size"), (F.col("child") == F.col("_blob")) & (kind == "blob"), "left")
     known = F.coalesce(F.col("size"), F.raise_error(F.lit("tree entry of an unknown blob")).cast("bigint"))
-    rows = plain.select("tree", "name_length", "kind", known.alias("size")).unionByName(entries.where(kind != "blob").select("tree", "name_length", "kind", F.lit(0).cast("bigint").alias("size")))
+    rows = rows.select("tree", "name_length", "kind", F.when(kind == "blob", known).otherwise(0).alias("size"))
     flat = kind != "tree"
     own = rows.groupBy("tree").agg(
         F.max(F.when(flat, 1).otherwise(0)).cast("bigint").alias("max_path_depth"),
         F.max(F.when(flat, F.col("name_length")).otherwise(0)).cast("bigint").alias("max_path_length"),
         sum32(F.when(kind == "blob", 1).otherwise(0)).alias("blobs"),
-        sum64(F.when(kind == "blob", F.col("size")).otherwise(0)).alias("blob_bytes"),
+        sum64(F.col("size"), narrow=True).alias("blob_bytes"),
         sum32(F.when(kind == "link", 1).otherwise(0)).alias("links"),
         sum32(F.when(kind == "submodule", 1).otherwise(0)).alias("submodules"),
         F.count("*").alias("entries"),
@@ -81,9 +81,11 @@ def with_parts(own: DataFrame, parts: DataFrame, how: str = "inner") -> DataFram
     return rows.withColumns(new)
 
 
-def fold_level(own: DataFrame, edges: DataFrame, settled: DataFrame) -> DataFrame:
-    """One level whose subtrees are all settled; trees without subtrees keep their own sizes."""
-    return with_parts(own, subtree_parts(edges, settled), "left").select(*own.columns)
+def fold_level(trees: DataFrame, edges: DataFrame, settled: DataFrame) -> DataFrame:
+    """One level of trees (oid) that hold nothing but settled subtrees: their sizes, and entries."""
+    zero = F.lit(0).cast("bigint")
+    own = trees.select("oid", zero.alias("max_path_depth"), zero.alias("max_path_length"), F.lit(1).cast("bigint").alias("trees"), *[zero.alias(c) for c in ("blobs", "links", "submodules")], F.lit(0).cast(WIDE).alias("blob_bytes"))
+    return with_parts(own, subtree_parts(edges, settled), "left").select("oid", *SIZES, F.coalesce("_settled", zero).alias("entries"))
 
 
 def fold_trees(trees: DataFrame, entries: DataFrame, blobs: DataFrame) -> DataFrame:

@@ -68,9 +68,7 @@ def tree_sizes(spark: SparkSession, folder: str, level: str) -> DataFrame:
     if level == "order":
         return order_sizes(spark, folder)
     below = {"customer": "order", "nation": "customer", "region": "nation", "root": "region"}[level]
-    entries = level_entries(spark, folder, level)
-    own = leaf_sizes(level_trees(spark, folder, level), entries, blobs(spark, folder))
-    return fold_level(own, entries, tree_sizes(spark, folder, below))
+    return fold_level(level_trees(spark, folder, level), level_entries(spark, folder, level), tree_sizes(spark, folder, below))
 
 
 def plain_sizes(sizes: DataFrame) -> DataFrame:
