@@ -23,11 +23,13 @@ SYSTEMS = {"metric": METRIC, "binary": BINARY}
 
 
 def clamp32(x: Column) -> Column:
-    return F.least(x, F.lit(CAP32)).cast("bigint")
+    """A null stays null."""
+    return F.when(x > CAP32, CAP32).otherwise(x).cast("bigint")
 
 
 def clamp64(x: Column) -> Column:
-    return F.least(x.cast("decimal(38,0)"), F.lit(Decimal(CAP64))).cast(WIDE)
+    wide, cap = x.cast("decimal(38,0)"), F.lit(Decimal(CAP64))
+    return F.when(wide > cap, cap).otherwise(wide).cast(WIDE)
 
 
 def sum32(x: Column) -> Column:
