@@ -32,7 +32,8 @@ BYTE_HASH = _random.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np
 PLACE_HASH = _random.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Hashes of the symbols before the first word and after the last one.
 START, END = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
-CHUNK = 1 << 22
+#: Bytes of text that are hashed at once, and that make up a block.
+CHUNK, BLOCK = 1 << 22, 12 << 20
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -176,8 +177,15 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordBatch, Block]]:
-    for i, b in enumerate(b for b in batches if b.num_rows):
-        yield f"{b.column(3)[0]}-{i}", b, Block.read(b.column(2))
+    i = 0
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        first = 0
+        while first < b.num_rows:
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + BLOCK, "right")))
+            part = b.slice(first, last - first)
+            yield f"{b.column(3)[0]}-{i}", part, Block.read(part.column(2))
+            first, i = last, i + 1
 
 
 def by_key(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[tuple]]:
