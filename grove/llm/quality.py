@@ -23,7 +23,7 @@ CLASSES = bytes(
     ord("U") if 65 <= c <= 90 else ord("l") if 97 <= c <= 122 or c >= 128 else ord("d") if 48 <= c <= 57 else ord("s") if chr(c) in SYMBOLS else ord("|") if c == 124 else ord("!") if c == 33 else ord(" ") if c in (32, *range(9, 14)) else ord("p")
     for c in range(256)
 )
-OWN = 17
+OWN, LONGEST_CHAIN = 17, 256
 
 
 def line_features(text: str | None) -> tuple[np.ndarray, list[int]]:
@@ -150,7 +150,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> LineField | None:
-    """The field fitted on the sample; None if it lacks one of the labels. Tasks make the features, so that texts don't go to the driver."""
+    """The field fitted on the sample; None if it lacks one of the labels. Tasks make the features, so that texts don't go to the driver; long documents are fitted as several chains."""
 
     def row(text, y):
         return line_features(text)[0].astype(np.float32).tobytes(), y
@@ -158,7 +158,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", pe
     made = map_rows(labelled_sample(docs, labels, label, per_class, id_col, text_col), ["text", "y"], ["_id"], "rows binary, y int", lambda: row).orderBy("_id").collect()
     if len({r["y"] for r in made}) < 2:
         return None
-    return fit_field([np.frombuffer(r["rows"], np.float32).reshape(-1, OWN).astype(float) for r in made], np.array([r["y"] for r in made]))
+    chains = [(whole[i : i + LONGEST_CHAIN], r["y"]) for r in made for whole in [np.frombuffer(r["rows"], np.float32).reshape(-1, OWN).astype(float)] for i in range(0, len(whole), LONGEST_CHAIN)]
+    return fit_field([c for c, _ in chains], np.array([y for _, y in chains]))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] | None = None, threshold: float = 0.3, train_docs: DataFrame | None = None) -> DataFrame:
