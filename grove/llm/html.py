@@ -14,13 +14,13 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import map_rows
 
@@ -150,7 +150,7 @@ def describe(root: Node) -> tuple[list[Node], list[list[float]]]:
         for d, x in zip((chars, links, tags, ends, commas, blocks), own):
             d[id(node)] = x
     total = max(1, chars[id(root)])
-    nodes, rows, inside = [], [], {id(root): (0, 0, 0)}
+    nodes, rows, around, inside = [], [], {}, {id(root): (0, 0, 0)}
     for node in order[1:]:
         if node.tag == "#" or node.tag in GONE or id(node.parent) not in inside:
             continue
@@ -159,19 +159,21 @@ def describe(root: Node) -> tuple[list[Node], list[list[float]]]:
         inside[id(node)] = (good, bad, article + (node.tag in ("article", "main")))
         if node.tag not in BLOCK:
             continue
-        siblings = [s for s in node.parent.children if s.tag != "#"]
-        spot = next(i for i, s in enumerate(siblings) if s is node) if len(siblings) < 64 else 0
-        n, c = max(1, len(siblings)), chars[id(node)]
-        beside = sum(chars[id(s)] for s in siblings)
+        if id(node.parent) not in around:
+            siblings = [s for s in node.parent.children if s.tag != "#"]
+            around[id(node.parent)] = len(siblings), {id(s): i for i, s in enumerate(siblings)}, sum(chars[id(s)] for s in siblings), Counter(s.tag for s in siblings)
+        n, spots, beside, kinds = around[id(node.parent)]
+        spot, c = spots[id(node)], chars[id(node)]
+        articles = kinds["article"] + kinds["main"] - (node.tag in ("article", "main"))
         nodes.append(node)
         rows.append([
             float(node.depth), math.log1p(c), math.log1p(tags[id(node)]), c / tags[id(node)] / 100, links[id(node)] / max(1, c), c / total,
             ends[id(node)] / max(1, c) * 100, commas[id(node)] / max(1, c) * 100, math.log1p(blocks[id(node)]),
-            math.log1p(n), spot / n, c / max(1, beside), sum(s.tag == node.tag for s in siblings) / n,
+            math.log1p(n), spot / n, c / max(1, beside), kinds[node.tag] / n,
             float(bool(node.words & GOOD_WORDS)), float(bool(node.words & BAD_WORDS)), float(bool(node.words & AD_WORDS)), float(bool(node.words & COMMENT_WORDS)),
             float(min(good, 3)), float(min(bad, 3)), float(article > 0),
             float(node.tag in ("article", "main")), float(node.tag in ("nav", "aside", "footer")), float(node.tag == "header"), float(node.tag in ("p", "blockquote", "pre") or node.tag[0] == "h" and node.tag[1:].isdigit()),
-            float(node.tag in ("ul", "ol", "li", "dl", "dt", "dd")), float(any(s.tag in ("article", "main") for s in siblings if s is not node)),
+            float(node.tag in ("ul", "ol", "li", "dl", "dt", "dd")), float(articles > 0),
         ])
     return nodes, rows
 
@@ -338,17 +340,17 @@ class Trees:
         for tree in model.trees:
             self.start.append(add(tree._java_obj.rootNode()))
         self.feature, self.threshold, self.left, self.right, self.value = (np.array(c) for c in zip(*rows))
+        leaf = self.feature < 0
+        self.left[leaf] = self.right[leaf] = np.flatnonzero(leaf)
+        self.feature[leaf] = 0
+        self.depth = max(t.depth for t in model.trees)
 
     def odds(self, x: np.ndarray) -> np.ndarray:
-        """The log odds of each row."""
-        total, every = np.zeros(len(x)), np.arange(len(x))
-        for start, weight in zip(self.start, self.weights):
-            at = np.full(len(x), start)
-            while (inner := self.feature[at] >= 0).any():
-                goes = x[every, np.maximum(self.feature[at], 0)] <= self.threshold[at]
-                at = np.where(inner, np.where(goes, self.left[at], self.right[at]), at)
-            total += weight * self.value[at]
-        return 2 * total
+        """The log odds of each row; all trees step down together, and leaves stay where they are."""
+        at, every = np.tile(self.start, (len(x), 1)), np.arange(len(x))[:, None]
+        for _ in range(self.depth):
+            at = np.where(x[every, self.feature[at]] <= self.threshold[at], self.left[at], self.right[at])
+        return 2 * self.value[at] @ np.array(self.weights)
 
 
 def train_trees(spark: SparkSession, pages: int = 240, rounds: int = 15, depth: int = 4, seed: int = 11) -> Trees:
