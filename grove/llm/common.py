@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -13,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from grove.storage import shared_folder
+
 #: Words of the white-space contracts, as Java and Python regular expressions.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 SPACE_WORD_RE = re.compile(SPACE_WORD)
@@ -26,15 +27,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='grove-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def stored(df: DataFrame, name: str, path: str | None = None, codec: str = "zstd") -> DataFrame:
     """Writes df once as a Parquet table in the shared folder and returns the table, so that lost executors cost one task each."""
     spark = df.sparkSession

@@ -24,7 +24,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, remainder, shared_folder, stored
+from grove.storage import shared_folder
+
+from .common import LOWER, remainder, stored
 
 LOWER_TABLE = np.frombuffer(LOWER, np.uint8)
 _random = np.random.default_rng(0x5EED)

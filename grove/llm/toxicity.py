@@ -24,7 +24,7 @@ from .quality import labelled_sample
 
 WINDOW, LEVEL, ORDINARY_BYTES, TOXIC_BYTES = 100, 6, 32_768, 16_384
 STEP, DEEPEST, CLEAR, TOXIC_WEIGHT = 41, 15, (1, 2, 4), 0.3
-SHORTEST, LONGEST, LIFT, LEAST_SHARE, SHINGLE, MINIMA = 4, 12, 8.0, 0.015, 5, 4
+SHORTEST, LONGEST, LIFT, LEAST_SHARE, SHINGLE, MINIMA = 4, 12, 8.0, 0.03, 5, 4
 EDGES = "\"'()[]{}.,;:!?#*$%&|<>"
 
 
