@@ -14,6 +14,9 @@ from grove.operators.refgroups import shown
 from grove.plans.scan import scan_repository
 from grove.sources.git import Repository
 
+#: Names of the settings that stand in for options: fixed.
+VERSION, THRESHOLD, NAMES, PROGRESS = "sizer.jsonVersion", "sizer.threshold", "sizer.names", "sizer.progress"
+
 SHA_NAMES = {"none": "none", "hash": "hash", "sha-1": "hash", "sha1": "hash", "full": "full"}
 
 
@@ -59,13 +62,13 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     """Settings of the repository hold for options that aren't given."""
     args = parser().parse_args(argv)
     repository = Repository.at(args.path)
-    version = args.json_version if args.json_version is not None else int(repository.setting("sizer.jsonVersion", "1", "int"))
+    version = args.json_version if args.json_version is not None else int(repository.setting(VERSION, "1", "int"))
     if version not in (1, 2):
         print("the JSON version must be 1 or 2", file=sys.stderr)
         return 1
-    threshold = args.threshold if args.threshold is not None else float(repository.setting("sizer.threshold", "1"))
-    names = args.names or SHA_NAMES[repository.setting("sizer.names", "full")]
-    progress = args.progress if args.progress is not None else repository.setting("sizer.progress", str(sys.stderr.isatty()).lower(), "bool") == "true"
+    threshold = args.threshold if args.threshold is not None else float(repository.setting(THRESHOLD, "1"))
+    names = args.names or SHA_NAMES[repository.setting(NAMES, "full")]
+    progress = args.progress if args.progress is not None else repository.setting(PROGRESS, str(sys.stderr.isatty()).lower(), "bool") == "true"
     spark = spark or SparkSession.builder.config("spark.ui.showConsoleProgress", str(progress).lower()).getOrCreate()
     report, refs = scan_repository(spark, args.path, args.rules or (), args.roots, names)
     if args.show_refs:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grove.functions.counters import clamp32, clamp64, count32, first_max, last_max, sum64
+from grove.functions.counters import WIDE, clamp32, clamp64, count32, first_max, last_max, sum64
+
+#: Stands for every reference beside the groups' symbols; no symbol holds a line feed.
+EVERY = "\n"
 
 #: Counters of trees: column of the tree sizes, name of the maximum, name of its witness.
 TREE_MAXIMA = (
@@ -61,14 +62,14 @@ def tag_statistics(tags: DataFrame) -> DataFrame:
 
 def reference_statistics(categorized: DataFrame) -> DataFrame:
     """One row over categorised references: all of them count, walked or not, and once in each group."""
-    counts = categorized.select(F.explode("groups").alias("symbol")).groupBy("symbol").agg(count32().alias("n"))
-    groups = counts.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("symbol", "n")))).alias("reference_groups"))
-    return categorized.agg(count32().alias("reference_count")).crossJoin(F.broadcast(groups))
+    counts = categorized.select(F.explode(F.concat("groups", F.array(F.lit(EVERY)))).alias("symbol")).groupBy("symbol").agg(count32().alias("n"))
+    row = counts.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("symbol", "n")))).alias("n"))
+    return row.select(F.coalesce(F.col("n")[EVERY], F.lit(0)).alias("reference_count"), F.map_filter("n", lambda k, v: k != EVERY).alias("reference_groups"))
 
 
-def history_size(*statistics: DataFrame) -> DataFrame:
-    """The one-row statistics side by side."""
-    return reduce(lambda a, b: a.crossJoin(b), statistics)
+def metric_rows(statistics: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """(symbol, value) rows of a one-row table's columns, fields naming the column of each symbol."""
+    return statistics.select(F.inline(F.array(*[F.struct(F.lit(s).alias("symbol"), F.col(c).cast(WIDE).alias("value")) for s, c in fields.items()])))
 
 
 def dangling(objects: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from grove.functions.counters import CAP32, CAP64, clamp32, clamp64, count32, fi
 from grove.functions.parsing import batch_header, entry_kind, octal, oid_text, parsed_commits, parsed_tags, parsed_trees, reference_line
 from grove.functions.references import config_rest, folded, pattern, prefix
 from grove.operators.refgroups import Groups, group_counts, shown
-from grove.operators.statistics import TREE_MAXIMA, blob_statistics, commit_statistics, dangling, history_size, reference_statistics, repeated, tag_statistics, tree_statistics
+from grove.operators.statistics import TREE_MAXIMA, blob_statistics, commit_statistics, dangling, metric_rows, reference_statistics, repeated, tag_statistics, tree_statistics
 from grove.operators.traversal import commit_depths, reachable, tag_depths
 from grove.operators.treefold import SIZES, fold_trees
 from grove.plans.report import catalogue
@@ -409,14 +409,13 @@ REPORT_SQL = with_levels(
 
 def report_rows(spark: SparkSession, folder: str) -> DataFrame:
     """The catalogue's metrics that the sales graph has, with values, levels and stars."""
-    root = tree_sizes(spark, folder, "root").select(F.lit("root").alias("of"), *SIZES, "entries")
-    entries = tree_sizes(spark, folder, "customer").agg(F.max("entries").alias("max_entries"))
-    one = history_size(blob_statistics(blobs(spark, folder).withColumn("ord", F.col("oid"))), root, entries)
-    source = {
-        "uniqueBlobCount": "unique_blob_count", "uniqueBlobSize": "unique_blob_size", "maxBlobSize": "max_blob_size", "maxTreeEntries": "max_entries", "maxCheckoutTreeCount": "trees", "maxCheckoutPathDepth": "max_path_depth",
-        "maxCheckoutPathLength": "max_path_length", "maxCheckoutBlobCount": "blobs", "maxCheckoutBlobSize": "blob_bytes", "maxCheckoutLinkCount": "links", "maxCheckoutSubmoduleCount": "submodules",
+    blob_fields = {"uniqueBlobCount": "unique_blob_count", "uniqueBlobSize": "unique_blob_size", "maxBlobSize": "max_blob_size"}
+    root_fields = {
+        "maxCheckoutTreeCount": "trees", "maxCheckoutPathDepth": "max_path_depth", "maxCheckoutPathLength": "max_path_length", "maxCheckoutBlobCount": "blobs", "maxCheckoutBlobSize": "blob_bytes",
+        "maxCheckoutLinkCount": "links", "maxCheckoutSubmoduleCount": "submodules",
     }
-    values = one.select(F.inline(F.array(*[F.struct(F.lit(s).alias("symbol"), F.col(c).cast("decimal(20,0)").alias("value")) for s, c in source.items()])))
+    values = metric_rows(blob_statistics(blobs(spark, folder).withColumn("ord", F.col("oid"))), blob_fields)
+    values = values.union(metric_rows(tree_sizes(spark, folder, "root"), root_fields)).union(metric_rows(tree_sizes(spark, folder, "customer").agg(F.max("entries").alias("most")), {"maxTreeEntries": "most"}))
     rows = catalogue(spark).join(values, "symbol")
     over = F.col("value") >= F.col("cap")
     return rows.withColumn("level", level(F.col("value"), F.col("scale"))).withColumn("stars", stars(F.col("value"), F.col("scale"), over)).withColumn("overflow", over)

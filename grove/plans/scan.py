@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from grove.functions.counters import clamp32
 from grove.functions.parsing import oid_text, parsed_commits, parsed_tags, parsed_trees
 from grove.operators.refgroups import Groups
-from grove.operators.statistics import blob_statistics, commit_statistics, dangling, history_size, reference_statistics, repeated, tag_statistics, tree_statistics
+from grove.operators.statistics import blob_statistics, commit_statistics, dangling, reference_statistics, repeated, tag_statistics, tree_statistics
 from grove.operators.traversal import commit_depths, tag_depths
 from grove.operators.treefold import fold_trees
 from grove.operators.witness import find_links
@@ -45,7 +45,9 @@ def scan_objects(objects: DataFrame, contents: DataFrame, roots: DataFrame, grou
     history = commits.withColumn("n_parents", F.size("parents").cast("bigint")).join(depths, "oid")
     tags = tag_depths(parsed_tags(of("tag")).select("oid", "ord", "referent", "referent_type"))
 
-    row = history_size(blob_statistics(blobs), tree_statistics(sizes), commit_statistics(history), tag_statistics(tags), reference_statistics(roots.where("is_ref"))).first().asDict()
+    row: dict = {}
+    for one in (blob_statistics(blobs), tree_statistics(sizes), commit_statistics(history), tag_statistics(tags), reference_statistics(roots.where("is_ref"))):
+        row |= one.first().asDict()
     wanted = {bytes(row[m.witness]).hex(): m.kind for m in CATALOGUE if m.witness and row[m.witness] is not None}
     links = find_links(wanted, entries, objects.select("oid", "ord"), commits.select("oid", "ord", "tree"), roots) if names == "full" else {}
     return Report(row, links, list(groups), names)
