@@ -58,9 +58,15 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def spelled_out(argv: Sequence[str]) -> list[str]:
+    """Flags that may have a value get theirs with an equals sign, so that none takes a ROOT for it."""
+    flags = {f"--{no}{name}" for name in FLAGS for no in ("", "no-")} | {"--verbose", "--no-verbose", "--critical"}
+    return [f"{a}=true" if a in flags else "--verbose=true" if a == "-v" else a for a in argv]
+
+
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:
     """Settings of the repository hold for options that aren't given."""
-    args = parser().parse_args(argv)
+    args = parser().parse_intermixed_args(spelled_out(sys.argv[1:] if argv is None else argv))
     repository = Repository.at(args.path)
     version = args.json_version if args.json_version is not None else int(repository.setting(VERSION, "1", "int"))
     if version not in (1, 2):

@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from grove.cli import main
+from grove.cli import main, parser, spelled_out
 from grove.operators.witness import path
 from grove.plans.scan import scan_repository
 from grove.sources.git import Repository
@@ -123,3 +123,11 @@ def test_refused_repositories(git_repo, tmp_path):
         f.write("")
     with pytest.raises(ValueError, match="shallow"):
         Repository.at(git_repo.path)
+
+
+def test_options_leave_roots_alone():
+    args = parser().parse_intermixed_args(spelled_out(["--branches", "main", "-v", "other", "--no-tags=false", "--include", "refs/x", "--names=sha1"]))
+    assert args.roots == ["main", "other"] and args.threshold == 0 and args.names == "hash"
+    assert args.rules == [("branches", "true"), ("no-tags", "false"), ("include", "refs/x")]
+    assert parser().parse_intermixed_args(spelled_out(["--critical"])).threshold == 30
+    assert parser().parse_intermixed_args(spelled_out(["--verbose=false"])).threshold == 1
