@@ -108,6 +108,34 @@ def test_rules(docs, rows, empty, texts):
     assert apply_rules(empty).count() == 0
 
 
+def test_bands_reject_in_each_language(spark):
+    """Texts of odd words among their language's own, though another language is made of those words."""
+    import random
+
+    draw, rows = random.Random(4), []
+    parts = {"aa": ["ka", "to", "ri", "mes", "lun"], "bb": ["xo", "qu", "zy", "pfi", "wug"], None: ["ell", "ost", "and", "ire", "ung"]}
+    mixed = [p for x in parts.values() for p in x]
+    for i in range(1200):
+        lang = ["aa", "bb", None][i % 3]
+        odd = i % 20 == 0
+        rows.append((i, " ".join("".join(draw.choices(mixed if odd else parts[lang], k=draw.randint(1, 3))) for _ in range(60)), lang, odd))
+    rows += [(2000 + i, rows[1][1], "bb", False) for i in range(900)]
+    found = {r["doc_id"]: r for r in apply_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, odd boolean")).collect()}
+    assert len(found) == len(rows) and not any(r["base_failed"] for r in found.values())
+    assert not any(found[r[0]]["kept"] for r in rows if r[3])
+    plain = [r[0] for r in rows if not r[3] and r[0] < 2000]
+    assert sum(found[i]["kept"] for i in plain) > 0.95 * len(plain)
+
+
+def test_trigram_counts_by_language(spark, docs, rows):
+    from grove.llm.rules import count_trigrams, train_bytes
+
+    named = docs.selectExpr("text", "coalesce(lang, '') as language")
+    wanted = collections.Counter((r[2] or "", int(k)) for r in rows for keys in byte_trigrams(r[1]) for k in keys)
+    assert {(r["language"], r["key"]): r["n"] for r in count_trigrams(named, "text", "language").collect()} == wanted
+    assert set(train_bytes(named, "text", "language").own) <= {"en", "de", ""} and train_bytes(named, "text", "language", entries=0).own == {}
+
+
 def test_byte_model_sums_to_one():
     keys, n = np.unique(np.concatenate([k for t in ("hello there", "the other one", "abc") for k in byte_trigrams(t)]), return_counts=True)
     model = ByteModel(keys, n)
