@@ -53,6 +53,33 @@ def test_budgets():
         assert abs(passes * total + int((extra * lengths).sum()) - target) <= 8
 
 
+def test_budgets_with_long_documents():
+    """The nearest reachable sum, without slack, where long documents hold much of a source."""
+    passes, extra = fit_budget(np.array([1, 30_000]), np.array([10_000, 1]), 35_000.0, 3, 1 << 15)
+    assert (passes, extra.tolist()) == (0, [5000, 1])
+    draw = random.Random(5)
+    for _ in range(300):
+        lengths = sorted(draw.sample(range(1, 40), 3) + draw.sample(range(40, 90_000), draw.randint(1, 4)))
+        counts = [draw.randint(1, 4) if n < 40 else 1 for n in lengths]
+        sums = {0}
+        for n, c in zip(lengths, counts):
+            sums = {s + k * n for s in sums for k in range(c + 1)}
+        total, target = max(sums), draw.randint(1, 2 * max(sums))
+        passes, extra = fit_budget(np.array(lengths), np.array(counts), float(target), 3, 1 << 15)
+        assert (extra >= 0).all() and (extra <= counts).all() and passes == target // total
+        assert abs(int((extra * lengths).sum()) - target % total) == min(abs(s - target % total) for s in sums)
+
+
+def test_long_documents_get_their_share():
+    """Long lengths that occur once are taken as often as short ones."""
+    lengths = np.array([*range(1, 400), *range(5000, 20_000, 50)])
+    counts = np.array([50] * 399 + [1] * 300)
+    total = int((lengths * counts).sum())
+    passes, extra = fit_budget(lengths, counts, total / 2, 3, 1 << 15)
+    assert passes == 0 and abs(int((extra * lengths).sum()) - round(total / 2)) == 0
+    assert 0.45 < extra[399:].sum() / 300 < 0.55 and 0.45 < extra[:399].sum() / counts[:399].sum() < 0.55
+
+
 def test_mix(docs, rows, empty):
     found = mix_sources(docs).collect()
     assert len(found) == len(rows)
