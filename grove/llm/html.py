@@ -24,22 +24,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import map_rows
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
-ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+)))?")
+#: A comment, a declaration, or a tag: slash, name, attributes. Quotes count only after an equals sign, as in HTML.
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|</(?![a-zA-Z])[^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?+)*+)(?:>|\Z)", re.DOTALL)
+ATTRIBUTE = re.compile(r"([^\s=/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"?+|'([^']*+)'?+|([^\s\"'>][^\s>]*+)))?+")
 TOKEN = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 OPEN, CLOSE = "\ue000", "\ue001"
 MARKS = re.compile(f"([{OPEN}{CLOSE}])")
+UNMARK = re.compile(r' (?:class|id)="[^"]*"')
 
 #: Fixed lists of HTML element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "noscript", "template", "iframe", "textarea", "title", "xmp", "noembed", "noframes")
-GONE = frozenset("head script style noscript template iframe textarea title form button select option input svg canvas object audio video math".split())
-BLOCK = frozenset("html body div p ul ol li dl dt dd table thead tbody tfoot tr td th caption section article aside main nav header footer h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address details summary hr center fieldset dialog menu".split())
+GONE = frozenset("head script style noscript template iframe textarea title input".split())
+CONTROLS = frozenset("button select datalist".split())
+FIELDS = CONTROLS | {"input", "textarea"}
+BLOCK = frozenset("html body div p ul ol li dl dt dd table thead tbody tfoot tr td th caption section article aside main nav header footer h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address details summary hr center form fieldset dialog menu".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-FENCE = frozenset("ul ol dl table div section article body".split())
-PARTS = frozenset("article main section aside nav header footer".split())
+FENCE = ("ul", "ol", "dl", "table", "div", "section", "article", "body", "select")
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+SCOPE = frozenset("td th caption table object button".split())
+ROWS = frozenset("tr td th tbody thead tfoot caption".split())
+FOREIGN = ("svg", "math")
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.IGNORECASE) for t in RAW}
 
 #: Words in class, id and role that tell what a node is for.
@@ -54,11 +62,13 @@ AD_WORDS = frozenset("ad ads adv advert advertisement banner promo sponsor spons
 
 
 class Node:
-    __slots__ = ("children", "depth", "keep", "parent", "tag", "text", "words")
+    """An element or a text; gone marks what never holds main text."""
+
+    __slots__ = ("children", "depth", "gone", "keep", "parent", "tag", "text", "words")
 
     def __init__(self, tag: str, words: frozenset[str], parent: Node | None):
         self.tag, self.words, self.parent, self.children, self.text = tag, words, parent, [], ""
-        self.depth, self.keep = parent.depth + 1 if parent else 0, True
+        self.depth, self.keep, self.gone = parent.depth + 1 if parent else 0, True, tag in GONE
 
 
 def attribute_words(attributes: str) -> frozenset[str]:
@@ -71,16 +81,80 @@ def attribute_words(attributes: str) -> frozenset[str]:
     return frozenset(found)
 
 
+class OpenElements:
+    """The elements that are open, from the root down, with the places of each tag, of blocks and of what bounds a scope, so that no tag has to walk up."""
+
+    def __init__(self):
+        self.root = Node("#root", frozenset(), None)
+        self.stack, self.places, self.blocks, self.scopes = [self.root], {}, [0], [0]
+
+    @property
+    def top(self) -> Node:
+        return self.stack[-1]
+
+    def last(self, *tags: str) -> int:
+        """The place of the innermost open element of these tags; 0 if there is none."""
+        return max((at[-1] for t in tags if (at := self.places.get(t))), default=0)
+
+    def push(self, node: Node) -> None:
+        at = len(self.stack)
+        self.stack.append(node)
+        self.places.setdefault(node.tag, []).append(at)
+        if node.tag in BLOCK:
+            self.blocks.append(at)
+        if node.tag in SCOPE:
+            self.scopes.append(at)
+
+    def cut(self, at: int) -> None:
+        """Closes the element at this place and all below it."""
+        while len(self.stack) > max(at, 1):
+            self.places[self.stack.pop().tag].pop()
+        for places in (self.blocks, self.scopes):
+            while places[-1] >= len(self.stack):
+                places.pop()
+
+    def before(self, tag: str) -> None:
+        """Closes what the start of such an element ends without an end tag."""
+        if (head := self.last("head")) and tag not in IN_HEAD:
+            self.cut(head)
+        if tag in BLOCK and (option := self.last("option")):
+            self.cut(option)
+        if tag in CLOSES_P and (p := self.last("p")) > self.scopes[-1]:
+            self.cut(p)
+        if tag in HEADINGS and self.top.tag in HEADINGS:
+            self.cut(len(self.stack) - 1)
+        if tag in SAME:
+            fence = self.last("table") if tag == "tr" else self.last("table", "tr") if tag in ("td", "th") else self.last(*FENCE)
+            if open_ones := [at for t in SAME[tag] if (at := self.last(t)) > fence]:
+                self.cut(min(open_ones))
+
+    def end(self, tag: str) -> None:
+        """Closes the innermost such element that an end tag can reach: rows within their table, blocks within their cell, others within their block."""
+        at = self.last(tag)
+        if tag in ROWS:
+            reach = self.last("table")
+        elif tag in BLOCK:
+            reach = 0 if tag in ("table", "html", "body") else self.last("td", "th", "caption")
+        else:
+            reach = 0 if tag in CONTROLS or tag == "head" else self.blocks[-1]
+        if at > reach:
+            self.stack[at].gone |= tag in CONTROLS
+            self.cut(at)
+
+
 def parse(source: str) -> Node:
-    """The tree of the page's elements; a text is a child of tag "#". Open ends close as browsers close them."""
-    root = top = Node("#root", frozenset(), None)
+    """The tree of the page's elements; a text is a child of tag "#". Open ends close as browsers close them, in time linear in the page."""
+    elements = OpenElements()
     at = 0
 
     def text(a: int, b: int) -> None:
         if b > a:
-            child = Node("#", frozenset(), top)
-            child.text = html.unescape(source[a:b])
-            top.children.append(child)
+            found = html.unescape(source[a:b])
+            if (head := elements.last("head")) and found.strip():
+                elements.cut(head)
+            child = Node("#", frozenset(), elements.top)
+            child.text = found
+            elements.top.children.append(child)
 
     while m := TAG.search(source, at):
         text(at, m.start())
@@ -89,41 +163,22 @@ def parse(source: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            node = top
-            while node and node.tag != tag:
-                node = node.parent
-            if node and node.parent:
-                top = node.parent
+            elements.end(tag)
             continue
-        if tag in CLOSES_P:
-            node = top
-            while node and node.tag in ("p", "b", "i", "em", "strong", "a", "span", "font", "u", "small", "code", "q", "cite", "sub", "sup", "h1", "h2", "h3", "h4", "h5", "h6"):
-                if node.tag == "p" or (node.tag[0] == "h" and tag[0] == "h" and tag[1:].isdigit()):
-                    top = node.parent
-                    break
-                node = node.parent
-        if tag in SAME:
-            node = top
-            while node and node.tag not in SAME[tag] and node.tag not in FENCE:
-                node = node.parent
-            while node and node.tag in SAME[tag]:
-                top = node.parent
-                node = top if top.tag in SAME[tag] else None
-        child = Node(tag, attribute_words(m[3]) if m[3] else frozenset(), top)
-        top.children.append(child)
+        elements.before(tag)
+        child = Node(tag, attribute_words(m[3]) if m[3] else frozenset(), elements.top)
+        child.gone |= tag == "option" and elements.last(*CONTROLS) > 0
+        elements.top.children.append(child)
         if tag in RAW_END:
             end = RAW_END[tag].search(source, at)
             at = end.start() if end else len(source)
             if end:
                 close = source.find(">", at)
                 at = close + 1 if close >= 0 else len(source)
-        elif tag not in VOID and not m[3].endswith("/"):
-            top = child
+        elif tag not in VOID and not (m[3].endswith("/") and (tag in FOREIGN or elements.last(*FOREIGN))):
+            elements.push(child)
     text(at, len(source))
-    return root
-
-
-FEATURES = 26
+    return elements.root
 
 
 def describe(root: Node) -> tuple[list[Node], list[list[float]]]:
@@ -133,12 +188,12 @@ def describe(root: Node) -> tuple[list[Node], list[list[float]]]:
         node = stack.pop()
         order.append(node)
         stack.extend(reversed(node.children))
-    chars, links, tags, ends, commas, blocks = ({} for _ in range(6))
+    chars, links, tags, ends, commas, blocks, fields = ({} for _ in range(7))
     for node in reversed(order):
         own = [0, 0, 1, 0, 0, 1]
         if node.tag == "#":
             own = [len(node.text.strip()), 0, 0, sum(map(node.text.count, ".!?")), node.text.count(","), 0]
-        elif node.tag in GONE:
+        elif node.gone:
             own = [0, 0, 1, 0, 0, 0]
         else:
             own[5] = node.tag in BLOCK
@@ -147,16 +202,18 @@ def describe(root: Node) -> tuple[list[Node], list[list[float]]]:
                     own[i] += x
             if node.tag == "a":
                 own[1] = own[0]
+            fields[id(node)] = sum(fields.get(id(c), 0) + (c.tag in FIELDS) for c in node.children)
         for d, x in zip((chars, links, tags, ends, commas, blocks), own):
             d[id(node)] = x
     total = max(1, chars[id(root)])
-    nodes, rows, around, inside = [], [], {}, {id(root): (0, 0, 0)}
+    nodes, rows, around, inside = [], [], {}, {id(root): (0, 0, 0, 0.0)}
     for node in order[1:]:
-        if node.tag == "#" or node.tag in GONE or id(node.parent) not in inside:
+        if node.tag == "#" or node.gone or id(node.parent) not in inside:
             continue
-        good, bad, article = inside[id(node.parent)]
-        good, bad = good + bool(node.words & GOOD_WORDS), bad + bool(node.words & BAD_WORDS)
-        inside[id(node)] = (good, bad, article + (node.tag in ("article", "main")))
+        good, bad, article, form = inside[id(node.parent)]
+        good, bad = good + bool(node.words & GOOD_WORDS), bad + bool(node.words & BAD_WORDS or node.tag in ("nav", "aside", "footer"))
+        form = max(chars[id(node)], 1) / total if node.tag == "form" else form
+        inside[id(node)] = (good, bad, article + (node.tag in ("article", "main")), form)
         if node.tag not in BLOCK:
             continue
         if id(node.parent) not in around:
@@ -172,8 +229,9 @@ def describe(root: Node) -> tuple[list[Node], list[list[float]]]:
             math.log1p(n), spot / n, c / max(1, beside), kinds[node.tag] / n,
             float(bool(node.words & GOOD_WORDS)), float(bool(node.words & BAD_WORDS)), float(bool(node.words & AD_WORDS)), float(bool(node.words & COMMENT_WORDS)),
             float(min(good, 3)), float(min(bad, 3)), float(article > 0),
-            float(node.tag in ("article", "main")), float(node.tag in ("nav", "aside", "footer")), float(node.tag == "header"), float(node.tag in ("p", "blockquote", "pre") or node.tag[0] == "h" and node.tag[1:].isdigit()),
+            float(node.tag in ("article", "main")), float(node.tag in ("nav", "aside", "footer")), float(node.tag == "header"), float(node.tag in ("p", "blockquote", "pre")), float(node.tag[1] if node.tag in HEADINGS else 0), float(bool(node.parent.words & BAD_WORDS)),
             float(node.tag in ("ul", "ol", "li", "dl", "dt", "dd")), float(articles > 0),
+            float(form > 0), form, math.log1p(fields[id(node)]), fields[id(node)] / max(1, c) * 100,
         ])
     return nodes, rows
 
@@ -193,7 +251,7 @@ def decode(root: Node, nodes: list[Node], odds: list[float]) -> None:
         best[id(node)] = kept if id(node) in own else max(kept, dropped[id(node)]) if node.tag != "#" else 0.0
     for node in order:
         above = node.parent.keep if node.parent else True
-        node.keep = above and node.tag not in GONE and (id(node) not in own or best[id(node)] >= dropped[id(node)])
+        node.keep = above and not node.gone and (id(node) not in own or best[id(node)] >= dropped[id(node)])
 
 
 def main_text(root: Node) -> str:
@@ -226,10 +284,10 @@ def main_text(root: Node) -> str:
 
 
 class Layouts:
-    """Seeded made-up pages whose block nodes are known to hold main text or not."""
+    """Seeded made-up pages whose block nodes are known to hold main text or not; a share of them, bare, has no class or id at all."""
 
-    def __init__(self, seed: int = 11):
-        self.draw = random.Random(seed)
+    def __init__(self, seed: int = 11, bare: float = 0.1):
+        self.draw, self.bare = random.Random(seed), bare
         self.syllables = ["".join(self.draw.choice(x) for x in ("bcdfglmnprstv", "aeiou", "nrstl ")).strip() for _ in range(80)]
 
     def words(self, low: int, high: int) -> str:
@@ -263,7 +321,12 @@ class Layouts:
             lambda: f'<div class="{d.choice(("share", "social", "newsletter"))}"><p>{self.words(2, 6)}</p></div>',
             lambda: f'<div class="{d.choice(("ad", "sponsor", "banner"))}">{self.sentences(1, 3)}</div>',
         ]
-        return d.choice(top if where == "top" else below)()
+        either = [
+            lambda: f'<form{self.marked("search", "signup", "subscribe")}><label>{self.words(1, 3)}</label> <input type="text" name="q"><button>{self.words(1, 2)}</button></form>',
+            lambda: f'<form action="/{self.words(1, 1)}" method="post">{d.choice(("<p>", "<div>", "<h3>"))}{d.choice((self.words(2, 6), self.sentences(1, 3)))}<input type="email"><select><option>{self.words(1, 2)}<option>{self.words(1, 2)}</select><button type="submit">{self.words(1, 2)}</button></form>',
+            lambda: f"<form>{d.choice(('<p>', '<div>', ''))}{self.words(2, 9)}</form>",
+        ]
+        return d.choice(either if d.random() < (0.65 if where == "inside" else 0.17) else top if where == "top" else below)()
 
     def article(self) -> str:
         d, parts = self.draw, []
@@ -272,12 +335,13 @@ class Layouts:
         for _ in range(d.randint(1, 14)):
             kind = d.random()
             parts.append(
-                f"<p>{self.sentences(1, d.choice((1, 3, 9)))}</p>" if kind < 0.75 else f"<h2>{self.words(1, 6)}</h2>" if kind < 0.82 else f"<p><b>{self.words(2, 8)}.<br><p>{self.sentences(1, 4)}</p>" if kind < 0.88
+                f"<p>{self.sentences(1, d.choice((1, 3, 9)))}</p>" if kind < 0.58 else f"<p><{(t := d.choice(('em', 'span', 'math', 'code')))}><i>{self.words(1, 3)}</i></{t}> {self.sentences(1, 3)}</p>" if kind < 0.65 else f"<p>{d.choice((self.words(8, 200), ' '.join([self.words(1, 1)] * d.randint(8, 200))))}</p>" if kind < 0.75 else f"<h2>{self.words(1, 6)}</h2>" if kind < 0.82 else f"<p><b>{self.words(2, 8)}.<br><p>{self.sentences(1, 4)}</p>" if kind < 0.88
                 else "<ul>" + "".join(f"<li>{self.sentences(1, 2)}</li>" for _ in range(d.randint(2, 6))) + "</ul>" if kind < 0.93 else f"<blockquote><p>{self.sentences(1, 3)}</p></blockquote>" if kind < 0.96
-                else f"<p>{self.words(3, 9)} <a href='/x'>{self.words(1, 3)}</a> {self.words(3, 9)}.</p>"
+                else f"<p>{self.words(3, 9)} <a href='/x'>{self.words(1, 3)}</a> {self.words(3, 9)}.</p>" if kind < 0.98
+                else "<table>" + "".join("<tr>" + "".join(f"<td>{self.words(1, 4)}" for _ in range(3)) for _ in range(d.randint(1, 6))) + "</table>" if kind < 0.99 else f"<pre>{self.words(5, 60)}</pre>"
             )
-            if d.random() < 0.04:
-                parts.append(f"{CLOSE}{self.boilerplate('below')}{OPEN}")
+            if d.random() < 0.06:
+                parts.append(f"{CLOSE}{self.boilerplate('inside')}{OPEN}")
         return "".join(parts)
 
     def page(self) -> str:
@@ -286,7 +350,13 @@ class Layouts:
         tops = "".join(self.boilerplate("top") for _ in range(d.randint(0, 4)))
         below = "".join(self.boilerplate("below") for _ in range(d.randint(0, 4)))
         opened, closed = d.choice((("<article>", "</article>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div id="main"><article>', "</article></div>"), ("<div>", "</div>"), ('<section class="post-body">', "</section>")))
-        return f"<!DOCTYPE html><html><head><title>{self.words(2, 8)}</title><style>p{{}}</style></head><body>{tops}{opened}{OPEN}{self.article()}{CLOSE}{closed}{below}</body></html>"
+        article = f"{opened}{OPEN}{self.article()}{CLOSE}{closed}"
+        form = f'<form method="post" id="{d.choice(("form1", "aspnetForm", "main"))}">' + "".join(f'<input type="hidden" name="{i}">' for i in range(d.randint(0, 4)))
+        around = d.random()
+        article = f"{form}{article}</form>" if around < 0.06 else article
+        body = f"{form}{tops}{article}{below}</form>" if 0.06 < around < 0.15 else f"{tops}{article}{below}"
+        page = f"<!DOCTYPE html><html><head><title>{self.words(2, 8)}</title><style>p{{}}</style></head><body>{body}</body></html>"
+        return UNMARK.sub("", page) if d.random() < self.bare else page
 
     def rows(self, pages: int) -> Iterator[tuple[list[float], float]]:
         """(features, label) of the block nodes: a node is main text if some of its text is."""
@@ -314,7 +384,7 @@ class Layouts:
                 main[id(node)], node.text = some, "".join(p for p in pieces if not MARKS.fullmatch(p))
             else:
                 stack.append((node, True))
-                if node.tag not in GONE:
+                if not node.gone:
                     stack.extend((c, False) for c in reversed(node.children))
                 else:
                     main.update((id(c), False) for c in node.children)
@@ -353,7 +423,7 @@ class Trees:
         return 2 * self.value[at] @ np.array(self.weights)
 
 
-def train_trees(spark: SparkSession, pages: int = 240, rounds: int = 15, depth: int = 4, seed: int = 11) -> Trees:
+def train_trees(spark: SparkSession, pages: int = 900, rounds: int = 40, depth: int = 4, seed: int = 11) -> Trees:
     """Fitted on `pages` made-up pages, a bounded sample that doesn't depend on the table."""
     rows = [(y, Vectors.dense(x)) for x, y in Layouts(seed).rows(pages)]
     frame = spark.createDataFrame(rows, ["label", "features"]).coalesce(1)

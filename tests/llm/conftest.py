@@ -32,3 +32,10 @@ def docs(spark, rows):
 @pytest.fixture(scope="session")
 def empty(docs):
     return docs.limit(0)
+
+
+@pytest.fixture(scope="session")
+def trees(spark):
+    from grove.llm.html import train_trees
+
+    return train_trees(spark)
