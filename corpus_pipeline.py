@@ -26,9 +26,14 @@ def hidden(docs: DataFrame) -> DataFrame:
     return docs.select(*[F.col(c).alias(c if c in OWN else f"_column{i}") for i, c in enumerate(docs.columns)])
 
 
-def shown(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns by their own names again."""
-    return docs.select(*[F.col(c if c in OWN else f"_column{i}").alias(c) for i, c in enumerate(columns)])
+def shown(docs: DataFrame, columns: list[str], *more: str) -> DataFrame:
+    """The columns by their own names again, and more."""
+    return docs.select(*[F.col(c if c in OWN else f"_column{i}").alias(c) for i, c in enumerate(columns)], *more)
+
+
+def keyed(docs: DataFrame, name: str) -> DataFrame:
+    """docs, hidden, with a key for each row, written once: ids may be null or repeat, so stages decide by row."""
+    return stored(hidden(docs).withColumn("_row", F.monotonically_increasing_id()), f"pipeline-{name}-rows")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,17 +44,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document with the smallest id stays; of rows that repeat that id, one. Rows without an id stay."""
-    first = stored(near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "pipeline-firsts")
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.union(docs.where(F.col("doc_id").isNull())).select(docs.columns)
+    """Of each near-duplicate group the row with the smallest id stays, one without an id only where all lack it; of rows that repeat that id, one."""
+    own = keyed(docs, "dedup")
+    found = near_duplicates(own, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))
+    first = found.join(own.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(place)["_row"].alias("_row"))
+    return shown(own.join(stored(first.select("_row"), "pipeline-firsts"), "_row", "left_semi"), docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more stands in the benchmark go."""
-    found = find_contamination(docs, read_table(spark, sf_dir, "benchmark"))
-    hit = stored(found.where("contaminated").select("doc_id").distinct(), "pipeline-contaminated")
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    """Rows of which a twentieth or more stands in the benchmark go."""
+    own = keyed(docs, "contamination")
+    found = find_contamination(own, read_table(spark, sf_dir, "benchmark"), id_col="_row")
+    hit = stored(found.where("contaminated").select(F.col("doc_id").alias("_row")), "pipeline-contaminated")
+    return shown(own.join(hit, "_row", "left_anti"), docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,11 +68,12 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with their size in words, their source's target, and their number of copies, in place of columns of these names."""
+    """Rows that the mix takes, with their size in words, their source's target, and their number of copies, in place of columns of these names."""
     added = ("size", "target", "copies")
-    mixed = mix_sources(docs).where("copies > 0").groupBy("doc_id").agg(*[F.max(c).alias(c) for c in added])
-    own = docs.drop(*added)
-    return own.join(mixed, "doc_id").select(*own.columns, *added)
+    docs = docs.drop(*added)
+    own = keyed(docs, "mix")
+    mixed = mix_sources(own, source_col=f"_column{docs.columns.index('source')}", row_col="_row").where("copies > 0").select("_row", *added)
+    return shown(own.join(mixed, "_row"), docs.columns, *added)
 
 
 STAGES = [("quality classifier", quality), ("SimHash near-dedup", near_dedup), ("benchmark decontamination", decontamination), ("PII", personal_data), ("mixing sources to target weights", mixing)]
