@@ -13,7 +13,7 @@ from collections.abc import Callable
 from operator import eq
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_rows, remainder
@@ -136,17 +136,30 @@ def fit_field(samples: list[np.ndarray], labels: np.ndarray, rounds: int = 250,
     return field
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str, text_col: str, modulus: int = 5) -> DataFrame:
-    """(text, y) of at most per_class labelled rows for each label whose crc32 remainder isn't 0, drawn by a hash of the id.
+#: Bytes of a label's sample, and the largest part of them that one document may be.
+SAMPLE_BYTES, LARGEST_PART, LINE_BYTES = 16 << 20, 32, 64
 
-    Only this many ids are broadcast, whatever the size of the tables.
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str, text_col: str, modulus: int = 5, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(_id, text, y) of labelled documents whose crc32 remainder isn't 0, drawn by a hash of the id: at most per_class for each label, and at most sample_bytes of text (a line counts LINE_BYTES besides).
+
+    Of an id that documents or labels repeat, one text and one label count.
+    Documents of more than a LARGEST_PART-th of the bytes aren't drawn. Only
+    per_class ids are broadcast, whatever the size of the tables.
     """
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1) & (remainder(id_col, modulus) != 0)).select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("y"))
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1) & (remainder(id_col, modulus) != 0))
+    known = known.groupBy(F.col(id_col).alias("_id")).agg(F.min(F.col(label).cast("int")).alias("y"))
+    draw = F.xxhash64("_id", F.lit(7))
     drawn = None
     for y in (0, 1):
-        part = known.where(F.col("y") == y).orderBy(F.xxhash64("_id", F.lit(7)), "_id").limit(per_class)
+        part = known.where(F.col("y") == y).orderBy(draw, "_id").limit(per_class)
         drawn = part if drawn is None else drawn.union(part)
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(drawn.dropDuplicates(["_id"])), "_id")
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    size = F.octet_length("text") + LINE_BYTES * F.regexp_count("text", F.lit("\n"))
+    found = texts.join(F.broadcast(drawn), "_id").withColumn("size", size.cast("long")).where(F.col("size") * LARGEST_PART <= sample_bytes)
+    found = found.groupBy("_id", "y").agg(F.min("text").alias("text"), F.min("size").alias("size"))
+    so_far = F.sum("size").over(Window.partitionBy("y").orderBy(draw, "_id"))
+    return found.withColumn("so_far", so_far).where(F.col("so_far") <= sample_bytes).select("_id", "text", "y")
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> LineField | None:

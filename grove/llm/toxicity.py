@@ -1,10 +1,15 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained on a bounded labelled sample: one on
-ordinary text, one on the segments of toxic documents that ordinary ones lack.
-Each window of a text is compressed with the ordinary dictionary alone and
-with both; what the toxic one saves, summed up and at its most, goes through
-a calibrated logistic threshold.
+ordinary text, one on toxic text. Each window of a text is compressed with
+either, and the difference of the lengths, summed up and at its most, goes
+through a calibrated logistic threshold.
+
+Most of a toxic document is like an ordinary one; dictionaries of whole texts
+then differ by chance more than by class (see README for figures). So toxic
+text enters its dictionary in two parts: what it shares with ordinary text is
+the same bytes as in the ordinary dictionary, where it cancels, and the
+segments that toxic documents have far more often stand in front of it.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from .quality import labelled_sample
 
 WINDOW, LEVEL, ORDINARY_BYTES, TOXIC_BYTES = 100, 6, 32_768, 16_384
 STEP, DEEPEST, CLEAR, TOXIC_WEIGHT = 41, 15, (1, 2, 4), 0.3
-SHORTEST, LONGEST, LIFT, LEAST_SHARE, SHINGLE, MINIMA = 4, 12, 8.0, 0.03, 5, 4
+SHORTEST, LONGEST, LIFT, EVIDENCE, LEAST, SHINGLE, MINIMA, SAMPLE_PIECE = 4, 12, 8.0, 20.0, 4, 5, 4, 800
 EDGES = "\"'()[]{}.,;:!?#*$%&|<>"
 
 
@@ -50,14 +55,23 @@ def one_of_each(texts: list[str]) -> list[str]:
     return kept
 
 
+def evidence(n: int, of: int, m: int, among: int) -> float:
+    """The likelihood-ratio statistic that n of `of` and m of `among` documents differ in their share."""
+    share, total = (n + m) / (of + among), 0.0
+    for k, size in ((n, of), (m, among)):
+        total += k * math.log(k / size / share) if k else 0.0
+        total += (size - k) * math.log((1 - k / size) / (1 - share)) if k < size else 0.0
+    return 2 * total
+
+
 def marked_starts(toxic: list[str], ordinary: list[str]) -> dict[str, int]:
-    """Word beginnings that a toxic document has at least LIFT times as often as an ordinary one, and how many toxic ones have them."""
+    """Word beginnings that a toxic document has at least LIFT times as often as an ordinary one, beyond chance, and how many toxic ones have them; no share is asked for, so that a language with few toxic documents isn't drowned."""
     seen = [Counter(), Counter()]
     for counter, texts in zip(seen, (toxic, ordinary)):
         for text in texts:
             counter.update(starts_of(set(words_of(text))))
-    least = max(5, LEAST_SHARE * len(toxic))
-    return {s: n for s, n in seen[0].items() if n >= least and n / len(toxic) >= LIFT * (seen[1][s] + 1) / len(ordinary)}
+    of, among = len(toxic), len(ordinary)
+    return {s: n for s, n in seen[0].items() if n >= LEAST and n / of >= LIFT * (seen[1][s] + 1) / among and evidence(n, of, seen[1][s], among) >= EVIDENCE}
 
 
 def segment_of(word: str, marks: dict[str, int]) -> str:
@@ -131,7 +145,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: in
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> CompressionDistance | None:
-    """The dictionaries from two thirds of at most per_class labelled documents a label, the calibration from the rest; None without both labels."""
+    """The dictionaries from two thirds of at most per_class labelled documents and SAMPLE_BYTES a label, the calibration from the rest; None without both labels."""
     rows = labelled_sample(docs, labels, label, per_class, id_col, text_col).orderBy("_id").collect()
     texts = [[r["text"] or "" for r in rows if r["y"] == y] for y in (0, 1)]
     if not texts[0] or not texts[1]:
@@ -141,7 +155,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per
     marks = marked_starts(one_of_each(own[1]), one_of_each(own[0]))
     segments = [f" {s}" for t in own[1] for w in words_of(t) if (s := segment_of(w, marks))]
     toxic = trained([aligned("".join(segments[i : i + 24]).strip()).tobytes() for i in range(0, len(segments), 24)] or [b" "], TOXIC_BYTES)
-    ordinary = trained([aligned(t[i : i + 800]).tobytes() for t in own[0] for i in range(0, len(t), 4000)], ORDINARY_BYTES)
+    ordinary = trained([aligned(t[i : i + SAMPLE_PIECE]).tobytes() for t in own[0] for i in range(0, len(t), SAMPLE_PIECE)], ORDINARY_BYTES)
     model = CompressionDistance(toxic, ordinary)
     plain, both = model.compressors()
     x = np.array([model.features(t, plain, both) for y in (0, 1) for t in rest[y]])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from grove.llm.html import Layouts, decode, describe, extract, extract_pages, parse
 from grove.llm.lm import Block, Owners, hashed_words, pack, score_texts, unpack
-from grove.llm.quality import LineField, line_features, score_quality
+from grove.llm.quality import LineField, labelled_sample, line_features, score_quality
 from grove.llm.rules import ByteModel, apply_rules, byte_trigrams, rule_counts
 from grove.llm.toxicity import score_toxicity
 
@@ -181,6 +181,17 @@ def test_classifiers_on_held_out_rows(labelled, docs, rows, empty, score, label)
     assert len(unlabelled) == 6
 
 
+def test_labelled_sample_is_bounded(spark):
+    """One text and label of a repeated id, no null ids, rows and bytes within the bounds, the same rows each time."""
+    texts = [(i, "word " * (i % 7 + 1)) for i in range(200)] + [(7, "aaa"), (7, None), (8, "x" * 5000), (None, "no id")] * 3
+    labels = [(i, i % 2) for i in range(200)] + [(9, 0), (9, 1), (None, 1), (11, None), (12, 5)] * 2
+    docs, known = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    found = [sorted(map(tuple, labelled_sample(d, k, "toxic", 40, "doc_id", "text", sample_bytes=n).collect())) for d, k, n in ((docs, known, 1 << 20), (docs.repartition(5), known.repartition(3), 1 << 20), (docs, known, 1500))]
+    assert found[0] == found[1] and len({r[0] for r in found[0]}) == len(found[0]) and all(r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 for r in found[0])
+    assert collections.Counter(r[2] for r in found[0]) == {0: 40, 1: 40} and dict((r[0], r[1]) for r in found[0]).get(7, "") == ""
+    assert all(0 < sum(len(r[1]) + 64 * r[1].count("\n") for r in found[2] if r[2] == y) <= 1500 for y in (0, 1))
+
+
 def test_scores_do_not_see_held_out_labels(labelled):
     texts, labels = labelled
     wrong = labels.withColumn("quality", F.when(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
