@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 
 import ahocorasick
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import ALNUM, map_rows
 
@@ -37,8 +39,8 @@ NOTICES = {
 }
 
 
-def edits(notice: str, rate: float, most: int) -> int:
-    return min(most, int(len(notice) * rate))
+def edits(notice: str, rate: float) -> int:
+    return int(len(notice) * rate)
 
 
 def seeds_of(notice: str, k: int) -> list[tuple[str, int]]:
@@ -47,12 +49,17 @@ def seeds_of(notice: str, k: int) -> list[tuple[str, int]]:
     return [(notice[a:b], a) for a, b in zip(cuts, cuts[1:])]
 
 
+Find = tuple[int, int, str, int]
+
+
 class NoticeSearch:
-    """Fuzzy search for notices in normalised text."""
+    """Fuzzy search for notices in normalised text, within `rate` edits a character."""
 
-    def __init__(self, notices: dict[str, str] = NOTICES, rate: float = 0.08, most: int = 3):
-        self.notices = [(n, label, edits(n, rate, most)) for n, label in notices.items()]
+    def __init__(self, notices: dict[str, str] = NOTICES, rate: float = 0.08):
+        self.notices = [(n, label, edits(n, rate)) for n, label in notices.items()]
         self.exact = [regex.compile(r"(?b)(?<![^ ])(?:" + regex.escape(n, literal_spaces=True) + rf"){{e<={k}}}(?![^ ])") for n, _, k in self.notices]
+        #: For each notice the longer ones that contain it.
+        self.wider = [[i for i, (n, _, _) in enumerate(self.notices) if m in n and m != n] for m, _, _ in self.notices]
         by_seed = defaultdict(list)
         for i, (n, _, k) in enumerate(self.notices):
             for seed, at in seeds_of(n, k):
@@ -62,31 +69,48 @@ class NoticeSearch:
             self.seeds.add_word(seed, (len(seed), where))
         self.seeds.make_automaton()
 
-    def find(self, text: str) -> list[tuple[int, int, str, int]]:
-        """(start, end, label, edits) in the normalised text; of overlapping finds, the one with the fewest edits, then the longest."""
-        regions = defaultdict(list)
+    def finds(self, text: str) -> list[tuple[int, int, int, int]]:
+        """(start, end, notice's number, edits) of every verified candidate; each place that a seed points to is verified by itself, so that a better match near by hides none."""
+        places = defaultdict(set)
         for end, (length, where) in self.seeds.iter(text):
             for i, at in where:
-                n, _, k = self.notices[i]
-                start = end + 1 - length - at - k
-                regions[i].append((max(0, start), min(len(text), start + len(n) + 2 * k)))
-        found = []
-        for i, spans in regions.items():
-            spans.sort()
-            merged = [list(spans[0])]
-            for a, b in spans[1:]:
-                if a <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], b)
-                else:
-                    merged.append([a, b])
-            for a, b in merged:
-                found += [(m.start(), m.end(), self.notices[i][1], sum(m.fuzzy_counts)) for m in self.exact[i].finditer(text, a, b) if m.end() > m.start()]
-        found.sort(key=lambda f: (f[3], f[0] - f[1], f[0]))
-        kept = []
+                places[i].add(end + 1 - length - at)
+        found, seen = set(), {}
+        for i, starts in places.items():
+            n, _, k = self.notices[i]
+            last = None
+            for start in sorted(starts):
+                if last is not None and start - last <= k // 2:
+                    continue
+                last = start
+                a, b = max(0, start - k - 1), min(len(text), start + len(n) + 3 * k + 1)
+                key = (i, text[a:b], a == 0, b == len(text))
+                if key not in seen:
+                    m = self.exact[i].search(text[a:b], 0 if a == 0 else 1)
+                    inside = m and m.end() > m.start() and (m.end() < b - a or b == len(text))
+                    seen[key] = (m.start(), m.end(), sum(m.fuzzy_counts)) if inside else None
+                if hit := seen[key]:
+                    found.add((a + hit[0], a + hit[1], i, hit[2]))
+        return sorted(found)
+
+    def find(self, text: str) -> list[Find]:
+        """(start, end, label, edits) in the normalised text, disjoint. Of overlapping finds, a longer notice that contains another one comes first, then the one with the fewest edits, then the longest."""
+        found, kept, of_notice = self.finds(text), [], defaultdict(list)
         for f in found:
-            if not any(f[0] < g[1] and g[0] < f[1] for g in kept):
-                kept.append(f)
-        return sorted(kept)
+            of_notice[f[2]].append(f)
+        order = [f for f in found if not any(self._around(of_notice[i], f) for i in self.wider[f[2]] if i in of_notice)]
+        order.sort(key=lambda f: (f[3], f[0] - f[1], f[0]))
+        for f in order:
+            at = bisect_left(kept, f)
+            if not (at < len(kept) and kept[at][0] < f[1] or at and f[0] < kept[at - 1][1]):
+                kept.insert(at, f)
+        return [(a, b, self.notices[i][1], e) for a, b, i, e in kept]
+
+    @staticmethod
+    def _around(finds: list[tuple[int, int, int, int]], f: tuple[int, int, int, int]) -> list[tuple[int, int, int, int]]:
+        """Those of a notice's finds, sorted, that overlap f; of one notice only neighbours do."""
+        at = bisect_left(finds, f)
+        return [g for g in finds[max(0, at - 2) : at + 2] if g[0] < f[1] and f[0] < g[1]]
 
 
 def phrase_places(text: str) -> list[tuple[int, str]]:
@@ -122,12 +146,20 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...]
             words = (text or "").encode().translate(ALNUM).split()
             plain = b" ".join(words).decode()
             base, fuzzy = phrase_places(plain), search.find(plain)
-            at = [plain.count(" ", 0, c) for c, _ in base]
+            at = [plain.count(" ", 0, c) for c in {base[0][0], base[-1][0]}] if base else []
             labels = {label for _, label in base}
-            found = [{"first_word": plain.count(" ", 0, a), "n_words": plain.count(" ", a, b) + 1, "label": label, "edits": e} for a, b, label, e in fuzzy]
+            found, word, place = [], 0, 0
+            for a, b, label, e in fuzzy:
+                word, place = word + plain.count(" ", place, a), a
+                found.append({"first_word": word, "n_words": plain.count(" ", a, b) + 1, "label": label, "edits": e})
             score = 1.0 if base else max((1 - e / (b - a) for a, b, _, e in fuzzy), default=0.0)
-            return len(words), len(base), at[0] if at else None, at[-1] if at else None, ",".join(sorted(labels)), ",".join(sorted(labels | {f[2] for f in fuzzy})), score, found
+            return len(words), len(base), min(at, default=None), max(at, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | {f[2] for f in fuzzy})), score, found
 
         return row
 
     return map_rows(docs, [text_col], keep, SCHEMA, setup)
+
+
+def notices_as_text(found: DataFrame) -> DataFrame:
+    """notices as label:first_word:n_words:edits, comma-joined by place."""
+    return found.withColumn("notices", F.array_join(F.transform("notices", lambda n: F.concat_ws(":", n["label"], n["first_word"], n["n_words"], n["edits"])), ","))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -97,7 +98,8 @@ def find_spans(text: str | None) -> list[tuple[int, int, str, float]]:
     """(start, end, kind, score) of every span that stays, by start, then kind as listed.
 
     Base kinds always stay, whatever their score; a span of an added kind
-    stays if it scores ACCEPT or more and overlaps no base span.
+    stays if it scores ACCEPT or more and overlaps no base span, which a
+    search in the runs of overlapping base spans tells.
     """
     text = text or ""
     base, added = [], []
@@ -105,11 +107,20 @@ def find_spans(text: str | None) -> list[tuple[int, int, str, float]]:
         near = WORDS[kind].search(text, max(0, start - REACH), start) or WORDS[kind].search(text, end, end + REACH)
         score = min(1.0, START.get(kind, BASE_SCORE) + CONTEXT_GAIN * bool(near))
         (added if kind in START else base).append((start, end, kind, score))
-    base.sort(key=lambda s: (s[0], KINDS.index(s[2])))
+    base.sort()
+    starts, ends = [], []
+    for start, end, *_ in base:
+        if ends and start < ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    stay = list(base)
     for span in added:
-        if span[3] >= ACCEPT and not any(span[0] < b[1] and b[0] < span[1] for b in base):
-            base.append(span)
-    return sorted(base, key=lambda s: (s[0], KINDS.index(s[2])))
+        at = bisect_right(ends, span[0])
+        if span[3] >= ACCEPT and not (at < len(starts) and starts[at] < span[1]):
+            stay.append(span)
+    return sorted(stay, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
 def redact(text: str | None, spans: list[tuple[int, int, str, float]]) -> str | None:

@@ -10,7 +10,7 @@ from .common import read_table
 from .decontamination import ORACLE as OP1_SQL
 from .decontamination import find_contamination
 from .html import extract_pages
-from .licenses import scan_licenses
+from .licenses import notices_as_text, scan_licenses
 from .lm import score_texts
 from .mixing import mix_sources
 from .pii import detect_pii, pii_digest
@@ -55,7 +55,7 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(read_table(spark, sf_dir, "documents")).drop("notices")
+    return notices_as_text(scan_licenses(read_table(spark, sf_dir, "documents")))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
