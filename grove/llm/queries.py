@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .decontamination import ORACLE as OP1_SQL
-from .decontamination import find_contamination
+from .decontamination import find_contamination, matches_as_text
 from .html import extract_pages
 from .licenses import notices_as_text, scan_licenses
 from .lm import score_texts
@@ -23,7 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("items", "hits")
+    return matches_as_text(find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))
 
 
 def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

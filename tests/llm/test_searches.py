@@ -1,12 +1,14 @@
 import hashlib
+import pickle
 import random
 import re
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
 
-from grove.llm.decontamination import find_contamination, words_of
+from grove.llm.decontamination import BLOCK_WORDS, Phrases, find_contamination, matches_as_text, words_of
 from grove.llm.licenses import NOTICES, PHRASES, NoticeSearch, scan_licenses
 from grove.llm.pii import detect_pii, find_spans, luhn, mod97, pii_digest, redact
 from grove.llm.simhash import GrayIndex, block_widths, fingerprint, masks, near_duplicates, reordered, roots
@@ -41,6 +43,29 @@ def test_contamination(spark, docs, rows, texts, empty, block_words):
     assert find_contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_text_ids_and_long_items(spark):
+    """Ids of other types, and an item that is cut into many pieces, which blocks take apart."""
+    words = [f"w{i % 50}" if i % 3 else f"u{i}" for i in range(400)]
+    docs = spark.createDataFrame([("a", " ".join(words[20:60])), ("b", " ".join(words)), ("c", "other words"), (None, " ".join(words[390:]))], "doc_id string, text string")
+    bench = spark.createDataFrame([("x", " ".join(words)), ("y", "other")], "item_id string, text string")
+    for block_words, block_bytes in ((1 << 18, 1 << 20), (30, 1 << 20), (1 << 18, 150)):
+        found = {r["doc_id"]: r for r in matches_as_text(find_contamination(docs, bench, block_words=block_words, block_bytes=block_bytes)).collect()}
+        assert (found["a"]["hits"], found["b"]["hits"], found["c"]["hits"], found[None]["hits"]) == ("0:40", "0:400", "0:1", "")
+        assert (found["a"]["items"], found["c"]["items"], found[None]["items"]) == ("x", "y", "")
+
+
+def test_blocks_stay_small():
+    """What goes to the tasks for a block of test words, as bytes, and what a search adds to it."""
+    draw = random.Random(2)
+    items = [(i, [b"word%d" % draw.randrange(1 << 18) for _ in range(1000)]) for i in range(BLOCK_WORDS // 1000)]
+    tracemalloc.start()
+    phrases = Phrases(items, 13)
+    assert len(pickle.dumps(phrases)) < 12_000_000
+    phrases.rarest(np.ones(len(phrases.codes), np.int32))
+    assert tracemalloc.get_traced_memory()[1] < 100_000_000
+    tracemalloc.stop()
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "a x b y c"), (2, "c b a"), (3, "a b"), (4, "a x x x x x x b c")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
