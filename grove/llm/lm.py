@@ -1,13 +1,14 @@
 """LM scoring: interpolated modified Kneser-Ney over word bigrams, counted in Spark.
 
-Texts are read in blocks. A block's distinct bigrams go, as sorted arrays of
-word hashes, to the shards that own them; a shard merges what all blocks sent
-into one sorted hash array with counts, which is stored as the model. It
-writes its arrays to a local file, maps that into memory, and looks up each
-block's bigrams. Words, whose counts, continuations and contexts follow from
-the bigrams, are stored and looked up the same way. No array is ever whole at
-the driver or in one task: a shard's part shrinks as shards are added, and
-contexts found frequent in a sample are dealt by both their words.
+Texts are read in blocks. A block's distinct bigrams go, as arrays of word
+hashes, to the shards that own them. A shard merges what all blocks sent into
+the model: the sorted hashes of its bigrams with their counts. It stores
+these arrays in the model's table, maps them into memory from a local file,
+and looks up every block's bigrams in them. Words, whose counts, continuations
+and contexts follow from the bigrams, are stored, mapped and looked up the
+same way. No array is ever whole at the driver or in one task: shards are cut
+from the bytes of text, and contexts found frequent in a sample are dealt by
+both their words.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,13 +31,11 @@ from grove.storage import shared_folder
 from .common import LOWER, remainder, stored
 
 LOWER_TABLE = np.frombuffer(LOWER, np.uint8)
-_random = np.random.default_rng(0x5EED)
-BYTE_HASH = _random.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-PLACE_HASH = _random.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Hashes of the symbols before the first word and after the last one.
 START, END = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
-#: Bytes of text that are hashed at once, and that make up a block.
-CHUNK, BLOCK = 1 << 22, 12 << 20
+#: Bytes of text that are hashed at once, that make up a block, and for which there is one shard.
+CHUNK, BLOCK, SHARD = 1 << 22, 12 << 20, 12 << 20
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -82,8 +82,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def drawn(n: int, seed: int) -> np.ndarray:
+    """n odd numbers, each its own, however many there are."""
+    return mix((np.arange(n, dtype=np.uint64) + np.uint64(seed)) * GOLDEN) | np.uint64(1)
+
+
+BYTE_HASH = drawn(256, 1 << 40)
+
+
+def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(v ^ (w * GOLDEN))
+
+
 def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all lower-cased white-space words, and the number of words of each text."""
+    """The hashes of all lower-cased white-space words, and the number of words of each text; every byte of a word counts with a factor of its place."""
     texts = pc.fill_null(texts, "")
     edges = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
@@ -100,9 +112,8 @@ def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         starts = np.flatnonzero(begins)
         if len(starts):
             place = np.arange(len(data)) - np.repeat(starts, np.diff(np.r_[starts, len(data)])) if starts[0] == 0 else np.r_[np.zeros(starts[0], np.int64), np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(np.r_[starts, len(data)]))]
-            value = BYTE_HASH[data] * PLACE_HASH[place & 63]
-            if place.max() > 63:
-                value *= (2 * (place >> 6) + 1).astype(np.uint64)
+            place[~word] = 0
+            value = BYTE_HASH[data] * drawn(int(place.max()) + 1, 1 << 41)[place]
             value[~word] = 0
             hashes.append(mix(np.add.reduceat(value, starts)))
             counts[first:last] = np.bincount(np.searchsorted(cut, starts, "right") - 1, minlength=last - first)[: last - first]
@@ -132,17 +143,20 @@ class Block:
         tokens[tokens >= at] += 1
         return cls(np.insert(vocabulary, at, START), tokens, counts + 1)
 
-    def pairs(self, owners: Owners) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The distinct bigrams in the order in which they are sent: code, owner, and each owner's first and last place."""
+    def pairs(self, owners: Owners) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct bigrams and their owners, in the order in which they are sent."""
         codes = np.sort(self.codes())
         codes = codes[np.r_[True, codes[1:] != codes[:-1]]]
-        owner = owners.of(self.vocabulary[codes >> 32], self.vocabulary[codes & 0xFFFFFFFF])
+        owner = owners.of(*self.words_of(codes))
         order = np.argsort(owner, kind="stable")
-        return codes[order], owner[order], *owners.slices(owner[order])
+        return codes[order], owner[order]
 
     def codes(self) -> np.ndarray:
         return self.before << 32 | self.tokens
 
+    def words_of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.vocabulary[codes >> 32], self.vocabulary[codes & 0xFFFFFFFF]
+
 
 class Owners:
     """Which shard owns a bigram or a word; contexts in `frequent` are dealt by both words."""
@@ -157,11 +171,14 @@ class Owners:
         if not len(self.frequent):
             return self.word(v)
         at = np.minimum(np.searchsorted(self.frequent, v), len(self.frequent) - 1)
-        return self.word(np.where(self.frequent[at] == v, mix(v ^ (w * np.uint64(0x9E3779B97F4A7C15))), v))
+        return self.word(np.where(self.frequent[at] == v, pair_hash(v, w), v))
 
-    def slices(self, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        every = np.arange(self.shards)
-        return np.searchsorted(owner, every), np.searchsorted(owner, every, "right")
+    @staticmethod
+    def slices(owner: np.ndarray) -> Iterator[tuple[int, slice]]:
+        """Each owner that there is and its part of the ascending array."""
+        cuts = np.r_[np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]), len(owner)] if len(owner) else np.zeros(1, np.int64)
+        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            yield int(owner[a]), slice(a, z)
 
 
 ROW = "shard int, kind string, block string, data binary"
@@ -174,7 +191,7 @@ def rows(made: list[tuple[int, str, str, bytes]]) -> pa.RecordBatch:
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """The texts with the number of their partition, which with a batch's place names a block."""
+    """The texts with the number of their partition, which with a batch's place and a checksum of ids and words names a block."""
     return docs.withColumn("part", F.spark_partition_id())
 
 
@@ -186,7 +203,10 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordBa
         while first < b.num_rows:
             last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + BLOCK, "right")))
             part = b.slice(first, last - first)
-            yield f"{b.column(3)[0]}-{i}", part, Block.read(part.column(2))
+            block = Block.read(part.column(2))
+            ids = pc.fill_null(part.column(0), 0).to_numpy(zero_copy_only=False)
+            same = xxhash.xxh64(np.r_[block.vocabulary, block.tokens.view(np.uint64), block.lengths.view(np.uint64), ids.view(np.uint64)].tobytes()).hexdigest()
+            yield f"{b.column(3)[0]}-{i}-{same}", part, block
             first, i = last, i + 1
 
 
@@ -208,51 +228,60 @@ def send_pairs(docs: DataFrame, owners: Owners) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, b, block in blocks(batches):
-            codes, _, first, last = block.pairs(owners)
+            codes, owner = block.pairs(owners)
             train = np.repeat(~b.column(1).to_numpy(zero_copy_only=False), block.lengths)
             seen = np.sort(block.codes()[train])
-            n = (np.searchsorted(seen, codes, "right") - np.searchsorted(seen, codes)).astype(np.uint32)
-            v, w = block.vocabulary[codes >> 32], block.vocabulary[codes & 0xFFFFFFFF]
-            for p in range(owners.shards):
-                if last[p] > first[p]:
-                    s = slice(first[p], last[p])
-                    yield rows([(p, "pairs", name, pack(v[s], w[s], n[s]))])
+            n = (np.searchsorted(seen, codes, "right") - np.searchsorted(seen, codes)).astype(np.uint64)
+            v, w = block.words_of(codes)
+            for p, part in owners.slices(owner):
+                yield rows([(p, "pairs", name, pack(v[part], w[part], n[part]))])
 
     return scanned(docs).mapInArrow(run, ROW)
 
 
+class Mapped:
+    """Sorted hashes with what is known of each, in local files that are mapped into memory."""
+
+    def __init__(self, keys: np.ndarray, *values: np.ndarray):
+        self.keys, self.values = mapped(keys), [mapped(v) for v in values]
+
+    def look_up(self, want: np.ndarray) -> list[np.ndarray]:
+        """The values of each hash; 0 for those that aren't there."""
+        if not len(self.keys):
+            return [np.zeros(len(want), v.dtype) for v in self.values]
+        at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
+        there = self.keys[at] == want
+        return [np.where(there, v[at], 0) for v in self.values]
+
+
 def merge_pairs(sent: DataFrame, owners: Owners) -> DataFrame:
-    """For each shard its sorted bigrams with counts (kind model), each block's answers, and what its words add up to."""
+    """For each shard its sorted bigram hashes with counts (kind model), each block's answers from them, and what its words add up to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in by_key(batches, 0):
-            parts = [unpack(g[3]) for g in group]
-            v, w = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-            n = np.concatenate([p[2] for p in parts])
-            order = np.lexsort((w, v))
-            v, w = v[order], w[order]
-            new = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (w[1:] != w[:-1])])
-            total = np.add.reduceat(n[order].astype(np.int64), new)
-            mine = np.empty(len(order), np.int64)
-            mine[order] = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(order)]))
-            counts = mapped(np.minimum(total, 2**32 - 1).astype(np.uint32))
-            cut = np.cumsum([0, *(len(p[0]) for p in parts)])
-            for g, a, z in zip(group, cut, cut[1:]):
-                yield rows([(g[0], "answer", g[2], pack(counts[mine[a:z]]))])
-            held = total > 0
-            v, w, total = v[new][held], w[new][held], total[held]
-            yield rows([(group[0][0], "model", "", pack(v, w, total.astype(np.uint32)))])
-            classes = np.bincount(np.minimum(total, 5), minlength=6)
-            yield rows([(group[0][0], "classes", "", pack(classes[1:5].astype(np.int64)))])
+            shard = group[0][0]
+            v, w, n = (np.concatenate(x) for x in zip(*(unpack(g[3]) for g in group)))
+            v, w, n = v[n > 0], w[n > 0], n[n > 0]
+            keys = pair_hash(v, w)
+            order = np.argsort(keys)
+            keys = keys[order]
+            new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+            keys, total = keys[new], np.add.reduceat(n[order], new) if len(new) else np.zeros(0, np.uint64)
+            v, w = v[order][new], w[order][new]
+            yield rows([(shard, "model", "", pack(keys, total))])
+            yield rows([(shard, "classes", "", pack(np.bincount(np.minimum(total, 5).astype(np.int64), minlength=6)[1:5].astype(np.int64)))])
             words = word_sums(v, w, total)
+            del v, w, n, order
+            model = Mapped(keys, total)
+            del keys, total
+            for g in group:
+                yield rows([(shard, "answer", g[2], pack(*model.look_up(pair_hash(*unpack(g[3])[:2]))))])
             to = owners.word(words[0])
             order = np.argsort(to, kind="stable")
-            first, last = owners.slices(to[order])
-            for q in range(owners.shards):
-                if last[q] > first[q]:
-                    yield rows([(q, "words", "", pack(*(x[order[first[q] : last[q]]] for x in words)))])
+            for q, part in owners.slices(to[order]):
+                yield rows([(q, "words", "", pack(*(x[order[part]] for x in words)))])
 
-    return sent.repartition(owners.shards, "shard").sortWithinPartitions("shard").mapInArrow(run, ROW)
+    return sent.repartitionById(owners.shards, "shard").sortWithinPartitions("shard").mapInArrow(run, ROW)
 
 
 def word_sums(v: np.ndarray, w: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
@@ -286,7 +315,7 @@ def merge_words(sums: DataFrame, owners: Owners) -> DataFrame:
             classes = np.bincount(np.minimum(more, 5).astype(np.int64), minlength=6)
             yield rows([(group[0][0], "words", "", pack(*words)), (group[0][0], "totals", "", pack(np.array([words[1].sum(), known.sum(), more.sum(), *classes[1:5], (more > 2).sum()], dtype=np.int64)))])
 
-    return sums.repartition(owners.shards, "shard").sortWithinPartitions("shard").mapInArrow(run, ROW)
+    return sums.repartitionById(owners.shards, "shard").sortWithinPartitions("shard").mapInArrow(run, ROW)
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -319,10 +348,8 @@ def send_words(docs: DataFrame, owners: Owners) -> DataFrame:
         for name, _, block in blocks(batches):
             owner = owners.word(block.vocabulary)
             order = np.argsort(owner, kind="stable")
-            first, last = owners.slices(owner[order])
-            for q in range(owners.shards):
-                if last[q] > first[q]:
-                    yield rows([(q, "~ask", name, pack(block.vocabulary[order[first[q] : last[q]]]))])
+            for q, part in owners.slices(owner[order]):
+                yield rows([(q, "~ask", name, pack(block.vocabulary[order[part]]))])
 
     return scanned(docs).mapInArrow(run, ROW)
 
@@ -333,19 +360,16 @@ def answer_words(words: DataFrame, asked: DataFrame, owners: Owners, totals: Tot
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in by_key(batches, 0):
             own = [g for g in group if g[1] == "words"]
-            known = [mapped(a) for a in unpack(own[0][3])] if own else [np.zeros(0, np.uint64)] * 7
+            model = Mapped(*(unpack(own[0][3]) if own else [np.zeros(0, np.uint64)] * 7))
             for g in group:
                 if g[1] == "words":
                     continue
-                (want,) = unpack(g[3])
-                at = np.minimum(np.searchsorted(known[0], want), max(0, len(known[0]) - 1))
-                there = known[0][at] == want if len(known[0]) else np.zeros(len(want), bool)
-                n, more, after, *classes = (np.where(there, a[at], 0).astype(np.float64) if len(a) else np.zeros(len(want)) for a in known[1:])
+                n, more, after, *classes = (x.astype(np.float64) for x in model.look_up(unpack(g[3])[0]))
                 left = sum(d * c for d, c in zip(totals.pair[1:], classes))
                 weight = np.where(after > 0, left / np.maximum(after, 1), 1.0)
                 yield rows([(g[0], "words", g[2], pack(n.astype(np.uint64), totals.single(more), after.astype(np.uint64), weight))])
 
-    return words.unionByName(asked).repartition(owners.shards, "shard").sortWithinPartitions("shard", F.col("kind") == "~ask").mapInArrow(run, ROW)
+    return words.unionByName(asked).repartitionById(owners.shards, "shard").sortWithinPartitions("shard", F.col("kind") == "~ask").mapInArrow(run, ROW)
 
 
 def send_tokens(docs: DataFrame) -> DataFrame:
@@ -362,7 +386,8 @@ def send_tokens(docs: DataFrame) -> DataFrame:
     return scanned(docs).mapInArrow(run, ROW)
 
 
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+CHANGED = "a block of a later reading differs from the first: store the table before scoring it"
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
 
 
 def score_blocks(tokens: DataFrame, answers: DataFrame, owners: Owners, totals: Totals) -> DataFrame:
@@ -371,15 +396,19 @@ def score_blocks(tokens: DataFrame, answers: DataFrame, owners: Owners, totals:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in by_key(batches, 2):
             whole = [g for g in group if g[1] == "tokens"]
+            if len(whole) != 1:
+                raise RuntimeError(CHANGED)
             ids, valid, held, lengths, vocabulary, by_frequency, places = unpack(whole[0][3])
             block = Block(vocabulary, by_frequency[places].astype(np.int64), lengths)
             pair_answers, word_answers = (sorted((g for g in group if g[1] == kind), key=lambda g: g[0]) for kind in ("answer", "words"))
-            codes, *_ = block.pairs(owners)
+            codes, _ = block.pairs(owners)
+            if not pair_answers or not word_answers:
+                raise RuntimeError(CHANGED)
             found = np.concatenate([unpack(g[3])[0] for g in pair_answers]).astype(np.float64)
             order = np.argsort(owners.word(vocabulary), kind="stable")
             columns = [np.concatenate(c) for c in zip(*(unpack(g[3]) for g in word_answers))]
             if len(found) != len(codes) or len(columns[0]) != len(vocabulary):
-                raise RuntimeError("a block of the second reading differs from the first: store the table before scoring it")
+                raise RuntimeError(CHANGED)
             n, single, after, weight = (np.empty(len(vocabulary)) for _ in range(4))
             for to, c in zip((n, single, after, weight), columns):
                 to[order] = c
@@ -389,9 +418,10 @@ def score_blocks(tokens: DataFrame, answers: DataFrame, owners: Owners, totals:
             at = by_code[np.searchsorted(codes[by_code], block.codes())]
             ends = np.cumsum(lengths)
             by_text = lambda x: np.add.reduceat(x, ends - lengths)
+            score = by_text(np.log10(p)[at])
             base = np.log10((n + 1) / (totals.tokens + totals.words + 1))
-            out = [pa.array(ids, mask=valid == 0), pa.array(held.astype(bool)), pa.array(lengths), pa.array(by_text((n > 0).astype(np.int64)[block.tokens])), pa.array(np.full(len(ids), totals.tokens)), pa.array(by_text(base[block.tokens])), pa.array(by_text(np.log10(p)[at]))]
-            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            out = [pa.array(ids, mask=valid == 0), pa.array(held.astype(bool)), pa.array(lengths), pa.array(by_text((n > 0).astype(np.int64)[block.tokens])), pa.array(np.full(len(ids), totals.tokens)), pa.array(by_text(base[block.tokens])), pa.array(score), pa.array(10 ** (-score / lengths))]
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
     return tokens.unionByName(answers).repartition("block").sortWithinPartitions("block").mapInArrow(run, SCORES)
 
@@ -411,21 +441,22 @@ def frequent_words(docs: DataFrame, shards: int, fraction: float, seed: int = 5)
     return np.array([START, *(np.uint64(r["h"] % 2**64) for r in found)], dtype=np.uint64)
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held_out: int = 2, sample: float = 0.02, rescannable: bool = False) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held_out: int = 2, sample: float = 0.02, rescannable: bool = False, shard_bytes: int = SHARD) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity (for each token).
 
     The model learns from the texts whose crc32 remainder isn't held_out and
     scores all of them. The table is read three times and must give the same
-    partitions each time, as plain files do; without rescannable, ids and
-    texts are stored first. One row per row; a null or empty text is its end
+    blocks each time, as plain files do and as a checksum confirms; without
+    rescannable, ids and texts are stored first. There is a shard for each
+    shard_bytes of text, so that a task's memory stays as it is. One row per row; a null or empty text is its end
     token alone; rows that repeat an id are texts of their own; an empty table
     gives no rows; without training texts every word is unknown.
     """
-    spark = docs.sparkSession
     held = remainder(id_col, modulus) == held_out
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text"))
     docs = docs if rescannable else stored(docs, "lm-texts")
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-size // shard_bytes))
     owners = Owners(shards, frequent_words(docs, shards, sample))
     merged = stored_kinds(merge_pairs(send_pairs(docs, owners), owners), "lm-pairs")
     kind = lambda df, k: df.where(F.col("kind") == k).select(*ROW_NAMES)

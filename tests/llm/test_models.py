@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from grove.llm.html import Layouts, decode, describe, extract, extract_pages, parse
-from grove.llm.lm import Block, Owners, hashed_words, pack, score_texts, unpack
+from grove.llm.lm import Block, Mapped, Owners, hashed_words, pack, score_texts, unpack
 from grove.llm.quality import LineField, labelled_sample, line_features, score_quality
 from grove.llm.rules import ByteModel, apply_rules, byte_trigrams, rule_counts
 from grove.llm.toxicity import score_toxicity
@@ -52,18 +52,19 @@ def brute_scores(rows):
     return [(r[0], h, len(d), sum(w in words for w in d), total, sum(math.log10((words[w] + 1) / (total + kinds + 1)) for w in d), sum(math.log10(double(v, w)) for v, w in zip(["\n", *d[:-1]], d))) for r, d, h in zip(rows, docs, held)]
 
 
-@pytest.mark.parametrize("shards", ["2", "7"])
-def test_scores_equal_brute_force(spark, docs, rows, empty, shards):
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", shards)
-    try:
-        found = score_texts(docs, sample=0.5).collect()
-        assert score_texts(empty).count() == 0
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+@pytest.mark.parametrize("shard_bytes", [1 << 30, 40_000])
+def test_scores_equal_brute_force(docs, rows, empty, shard_bytes):
+    found = score_texts(docs, sample=0.5, shard_bytes=shard_bytes).collect()
+    assert score_texts(empty).count() == 0
     key = lambda r: (repr(r[0]), r[2])
     for a, b in zip(sorted(map(tuple, found), key=key), sorted(brute_scores(rows), key=key), strict=True):
-        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
+        assert a[:5] == b[:5] and a[5:7] == pytest.approx(b[5:], rel=1e-9) and a[7] == pytest.approx(10 ** (-b[6] / b[2]), rel=1e-9)
+
+
+def test_changed_readings_are_noticed(docs):
+    changing = docs.select("doc_id", F.concat_ws(" ", "text", F.current_timestamp().cast("string")).alias("text"))
+    with pytest.raises(Exception, match="differs from the first"):
+        score_texts(changing, rescannable=True).collect()
 
 
 def test_packed_arrays():
@@ -80,8 +81,23 @@ def test_hashed_words():
     words = [w for t in texts for w in SPACE_WORD.findall((t or "").translate(LOWER))]
     assert {(a == b) == (x == y) for a, x in zip(words, hashes) for b, y in zip(words, hashes)} == {True}
     block = Block.read(pa.array(texts))
-    codes, owner, first, last = block.pairs(Owners(3, block.vocabulary[:2]))
-    assert len(codes) == len(set(block.codes().tolist())) and (np.diff(owner) >= 0).all() and int((last - first).sum()) == len(codes)
+    codes, owner = block.pairs(Owners(3, block.vocabulary[:2]))
+    parts = list(Owners.slices(owner))
+    assert len(codes) == len(set(block.codes().tolist())) and (np.diff(owner) >= 0).all() and [p for p, _ in parts] == sorted(set(owner.tolist()))
+    assert all((owner[part] == p).all() for p, part in parts) and sum(part.stop - part.start for _, part in parts) == len(codes)
+    draw = np.random.default_rng(4)
+    long = ["".join(draw.choice(list("ab"), 64 * 5)) for _ in range(200)] + ["".join(c * 64 for c in x) for x in ("abba", "baab", "aabb", "bbaa", "abab")]
+    assert len(set(hashed_words(pa.array(long))[0].tolist())) == len(set(long))
+
+
+def test_mapped_arrays():
+    draw = np.random.default_rng(3)
+    keys = np.unique(draw.integers(0, 2**63, 5000).astype(np.uint64))
+    model = Mapped(keys[::2].copy(), np.arange(len(keys[::2]), dtype=np.uint64) + np.uint64(1))
+    assert isinstance(model.keys, np.memmap)
+    found = model.look_up(keys)[0]
+    assert (found[::2] == np.arange(len(keys[::2])) + 1).all() and (found[1::2] == 0).all()
+    assert Mapped(keys[:0], keys[:0]).look_up(keys[:3])[0].tolist() == [0, 0, 0]
 
 
 def brute_rules(text):
