@@ -7,6 +7,8 @@ counts in becomes one array column; counting explodes it.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,20 +47,6 @@ class Group:
             found = found | child.matches(name)
         return found
 
-    def symbols(self, name: Column) -> Column:
-        """The symbols that a name counts in, own first, then the children's.
-
-        With a filter: nothing if it fails, else the own symbol and, where no
-        child takes the name, the "other" one. Without: the own symbol if
-        some child takes the name.
-        """
-        below = F.flatten(F.array(*[c.symbols(name) for c in self.children])) if self.children else F.array().cast("array<string>")
-        mine, some = F.array(F.lit(self.symbol)), F.size(below) > 0
-        if self.own is None:
-            return F.when(some, F.concat(mine, below)).otherwise(below)
-        rest = F.array(F.lit(self.other)) if self.other is not None else F.array().cast("array<string>")
-        return F.when(self.own(name), F.concat(mine, F.when(some, below).otherwise(rest))).otherwise(F.array().cast("array<string>"))
-
 
 class Groups:
     """The tree of standard and configured groups, and the selection rules on top of it."""
@@ -130,11 +118,47 @@ class Groups:
         return self
 
     def categorized(self, refs: DataFrame, name_col: str = "refname") -> DataFrame:
-        """Adds walk and groups; a reference that isn't walked counts as ignored."""
-        name = F.col(name_col)
-        symbols = self.top.symbols(name)
-        walk = self.top.own(name)
-        return refs.withColumn("walk", walk).withColumn("groups", F.when(walk, symbols).otherwise(F.array(F.lit(IGNORED))))
+        """Adds walk and groups; a reference that isn't walked counts as ignored.
+
+        A group counts if its own filter, or without one any child's, takes
+        the name and no filter above turns it down; "other" if the group's
+        filter does and no child counts. Every filter is evaluated once, into
+        an array of flags, so the expression grows with the number of groups
+        and not with their nesting.
+        """
+        flags = f"_{name_col}_flags"
+        place: dict[str, int] = {}
+        filters: list[Filter] = []
+        symbols: list[Column] = []
+
+        def number(group: Group) -> None:
+            if group.own is not None:
+                place[group.symbol] = len(filters)
+                filters.append(group.own)
+            for child in group.children:
+                number(child)
+
+        def owners(group: Group) -> list[str]:
+            """The nearest groups with a filter of their own, from the group downwards."""
+            return [group.symbol] if group.own is not None else [s for child in group.children for s in owners(child)]
+
+        def some(found: list[str]) -> Column:
+            return reduce(or_, (F.col(flags)[place[s]] for s in found), F.lit(False))
+
+        def add(group: Group, above: list[Column]) -> None:
+            counts = reduce(and_, above, some(owners(group)))
+            symbols.append(F.when(counts, F.lit(group.symbol)))
+            inner = [*above, F.col(flags)[place[group.symbol]]] if group.own is not None else above
+            for child in group.children:
+                add(child, inner)
+            if group.other is not None and group.own is not None:
+                symbols.append(F.when(reduce(and_, inner) & ~some([s for child in group.children for s in owners(child)]), F.lit(group.other)))
+
+        number(self.top)
+        add(self.top, [])
+        flagged = refs.withColumn(flags, F.array(*[f(F.col(name_col)) for f in filters])).withColumn("walk", F.col(flags)[place[""]])
+        taken = F.filter(F.array(*symbols), lambda x: x.isNotNull())
+        return flagged.withColumn("groups", F.when(F.col("walk"), taken).otherwise(F.array(F.lit(IGNORED)))).drop(flags)
 
 
 def group_counts(categorized: DataFrame) -> DataFrame:

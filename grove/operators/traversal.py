@@ -4,32 +4,101 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grove.storage import stored
 
 
+#: Tables of rounds that are kept apart before they are written as one.
+MOST_TABLES = 16
+
+
 def reachable(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """(oid) of all that the roots (oid) reach over edges (src, dst), themselves included; each round follows only what is new."""
     edges = stored(edges.select("src", "dst").distinct(), "reach-edges")
     frontier = stored(roots.select("oid").distinct(), "reach-roots")
     seen = [frontier]
-    while frontier.limit(1).count():
+    while not frontier.isEmpty():
         new = edges.join(frontier.withColumnRenamed("oid", "src"), "src").select(F.col("dst").alias("oid")).distinct()
         frontier = stored(new.join(reduce(DataFrame.union, seen), "oid", "left_anti"), "reach-frontier")
         seen.append(frontier)
+        if len(seen) > MOST_TABLES:
+            seen = [stored(reduce(DataFrame.union, seen).coalesce(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "reach-seen")]
     return reduce(DataFrame.union, seen)
 
 
-def commit_depths(commits: DataFrame, parents: DataFrame) -> DataFrame:
-    """(oid, depth): 1 and the depth of the deepest parent, from commits (oid) and parents (oid, parent).
+#: Commits of a block that one task folds.
+BLOCK = 1 << 18
+
+
+def block_depths(own: pd.DataFrame) -> pd.DataFrame:
+    """Depths within a block of (oid, ord, base, inner) in an order in which parents come first; base is what settled parents give, inner lists the ord of the others."""
+    depths: dict[int, int] = {}
+    for ord_, base, inner in zip(own["ord"].tolist(), own["base"].tolist(), own["inner"]):
+        depths[ord_] = max([base, *(depths[p] + 1 for p in inner)])
+    return own[["oid", "ord"]].assign(depth=list(depths.values()))
+
+
+def ordered_depths(commits: DataFrame, edges: DataFrame, newest_first: bool, n: int, block: int) -> DataFrame:
+    """(oid, depth) from commits (oid, ord) and edges (src, src_ord, dst, dst_ord) that all lead on in the order, block by block from the oldest; a block reads the depths of only those blocks that its edges lead to."""
+    spark, parts = commits.sparkSession, -(-n // block)
+    cuts = sorted(set(commits.approxQuantile("ord", [i / parts for i in range(1, parts)], 1 / (4 * parts)))) if parts > 1 else []
+    number = lambda c: F.size(F.filter(F.lit([int(x) for x in cuts]), lambda x: x < F.col(c))) if cuts else F.lit(0)
+    commits = stored(commits.withColumn("block", number("ord")), "depth-commits")
+    edges = stored(edges.withColumn("block", number("src_ord")).withColumn("dst_block", number("dst_ord")), "depth-ordered")
+    leads = {}
+    for r in edges.where("block <> dst_block").select("block", "dst_block").distinct().collect():
+        leads.setdefault(r["block"], []).append(r["dst_block"])
+    done: dict[int, DataFrame] = {}
+    for i in sorted(range(len(cuts) + 1), reverse=newest_first):
+        own, out = commits.where(F.col("block") == i).select("oid", "ord"), edges.where(F.col("block") == i)
+        inner = out.where(F.col("dst_block") == i).groupBy(F.col("src").alias("oid")).agg(F.collect_list("dst_ord").alias("inner"))
+        rows = own.join(inner, "oid", "left")
+        base = F.lit(1).cast("bigint")
+        if below := [done[j] for j in leads.get(i, ())]:
+            settled = reduce(DataFrame.union, below).select(F.col("oid").alias("dst"), "depth")
+            outer = out.where(F.col("dst_block") != i).join(settled, "dst").groupBy(F.col("src").alias("oid")).agg((F.max("depth") + 1).alias("via"))
+            rows, base = rows.join(outer, "oid", "left"), F.coalesce("via", base)
+        rows = rows.select("oid", "ord", base.alias("base"), F.coalesce("inner", F.array().cast("array<bigint>")).alias("inner"))
+        first = F.desc("ord") if newest_first else F.asc("ord")
+
+        def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+            return block_depths(pdf.sort_values("ord", ascending=not newest_first))
+
+        done[i] = stored(rows.withColumn("block", F.lit(i)).groupBy("block").applyInPandas(fold, own.withColumn("depth", F.lit(0).cast("bigint")).schema), "depth-block")
+    return reduce(DataFrame.union, done.values()).select("oid", "depth") if done else commits.select("oid", F.lit(1).cast("bigint").alias("depth"))
+
+
+def commit_depths(commits: DataFrame, parents: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(oid, depth): 1 and the depth of the deepest parent, from commits (oid, and ord if there is one) and parents (oid, parent).
+
+    With an ord that no two commits share and that every edge follows, up or
+    down, the history is folded in one task for each `block` commits: rounds
+    don't depend on its merges. Without one, see waiting_depths. A parent
+    that isn't a commit of the table, and a cycle, are errors.
+    """
+    if "ord" in commits.columns:
+        commits = stored(commits.select("oid", F.col("ord").cast("bigint").alias("ord")), "depth-all")
+        at = lambda name: commits.select(F.col("oid").alias(name), F.col("ord").alias(f"{name}_ord"))
+        edges = stored(parents.select(F.col("oid").alias("src"), F.col("parent").alias("dst")).distinct().join(at("src"), "src").join(at("dst"), "dst", "left"), "depth-edges")
+        n, ords = commits.agg(F.count("ord"), F.count_distinct("ord")).first()
+        up, down, missing = edges.agg(F.count_if(F.col("dst_ord") > F.col("src_ord")), F.count_if(F.col("dst_ord") < F.col("src_ord")), F.count_if(F.col("dst_ord").isNull())).first()
+        if missing:
+            raise ValueError("a parent commit is missing")
+        if n == ords and not (up and down) and edges.where("dst_ord = src_ord").isEmpty():
+            return ordered_depths(commits, edges, up > 0, n, block)
+    return waiting_depths(commits.select("oid"), parents)
+
+
+def waiting_depths(commits: DataFrame, parents: DataFrame) -> DataFrame:
+    """Depths without an order.
 
     Rounds settle what has only settled parents, and shorten the rest: an
     edge to a commit that waits for one parent only is moved on to that
     parent, with the steps between added, so that chains halve with each
-    round however long they are. A parent that isn't a commit of the table,
-    and a cycle, are errors.
+    round however long they are.
     """
     edges = stored(parents.groupBy(F.col("oid").alias("src"), F.col("parent").alias("dst")).agg(F.lit(1).cast("bigint").alias("steps")), "depth-edges")
     if edges.join(commits.select(F.col("oid").alias("dst")), "dst", "left_anti").limit(1).count():

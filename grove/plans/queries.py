@@ -205,14 +205,14 @@ CHAIN_SQL = "WITH RECURSIVE c AS (SELECT conv_id * 1000 + turn AS oid, CASE WHEN
 @query(f"{CHAIN_SQL} SELECT oid, depth FROM d")
 def commit_depth(spark: SparkSession, folder: str) -> DataFrame:
     found = commits(spark, folder)
-    return commit_depths(found.select("oid"), found.where("parent is not null").select("oid", "parent")).select("oid", "depth")
+    return commit_depths(found.select("oid", "ord"), found.where("parent is not null").select("oid", "parent")).select("oid", "depth")
 
 
 @query(f"{CHAIN_SQL} SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(size) AS BIGINT) AS total, max(size) AS largest, max(CASE WHEN size = (SELECT max(size) FROM c) THEN c.oid END) AS largest_witness, max(depth) AS depth, CAST(1 AS BIGINT) AS parents, max(CASE WHEN parent IS NOT NULL THEN c.oid END) AS parents_witness FROM c JOIN d ON c.oid = d.oid")
 def commit_stats(spark: SparkSession, folder: str) -> DataFrame:
     """Lax maxima: of equals, the newest is the witness."""
     found = commits(spark, folder)
-    depths = commit_depths(found.select("oid"), found.where("parent is not null").select("oid", "parent"))
+    depths = commit_depths(found.select("oid", "ord"), found.where("parent is not null").select("oid", "parent"))
     row = commit_statistics(found.withColumn("n_parents", F.when(F.col("parent").isNull(), 0).otherwise(1)).join(depths, "oid"))
     return row.select(F.col("unique_commit_count").alias("n"), F.col("unique_commit_size").cast("bigint").alias("total"), F.col("max_commit_size").alias("largest"), F.col("max_commit").alias("largest_witness"), F.col("max_history_depth").alias("depth"), F.col("max_parent_count").alias("parents"), F.col("max_parent_count_commit").alias("parents_witness"))
 

@@ -41,7 +41,7 @@ def scan_objects(objects: DataFrame, contents: DataFrame, roots: DataFrame, grou
     commits = stored(parsed_commits(of("commit")).select("oid", "ord", "size", "tree", "parents"), "commits")
     if dangling(trees, commits.select(F.col("tree").alias("oid"))).limit(1).count():
         raise ValueError("a commit's tree is missing")
-    depths = commit_depths(commits.select("oid"), commits.select("oid", F.explode("parents").alias("parent")))
+    depths = commit_depths(commits.select("oid", "ord"), commits.select("oid", F.explode("parents").alias("parent")))
     history = commits.withColumn("n_parents", F.size("parents").cast("bigint")).join(depths, "oid")
     tags = tag_depths(parsed_tags(of("tag")).select("oid", "ord", "referent", "referent_type"))
 
