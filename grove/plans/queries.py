@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,7 +18,8 @@ from grove.operators.refgroups import Groups, group_counts, shown
 from grove.operators.statistics import TREE_MAXIMA, blob_statistics, commit_statistics, dangling, metric_rows, reference_statistics, repeated, tag_statistics, tree_statistics
 from grove.operators.traversal import commit_depths, reachable, tag_depths
 from grove.operators.treefold import SIZES, fold_trees
-from grove.plans.report import catalogue
+from grove.operators.witness import find_links, path
+from grove.plans.report import CATALOGUE, Report, catalogue
 from grove.plans.star import blobs, commits, line_entries, mode_of, order_sizes, plain_sizes, refs, table, tags, tree_sizes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -464,7 +468,7 @@ def footnotes(spark: SparkSession, folder: str) -> DataFrame:
     used = best.join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("o_orderkey", F.col("n_name").alias("note"))
     first = used.groupBy("note").agg(F.min("o_orderkey").alias("first"))
     numbered = first.withColumn("citation", F.dense_rank().over(Window.orderBy("first")).cast("bigint"))
-    return used.join(F.broadcast(numbered), "note").select("o_orderkey", "note", "citation")
+    return used.join(numbered, "note").select("o_orderkey", "note", "citation")
 
 
 @query("SELECT o_orderkey, r_name || ':' || n_name || '/c' || c_custkey || '/o' || o_orderkey AS path FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")
@@ -474,6 +478,62 @@ def witness_paths(spark: SparkSession, folder: str) -> DataFrame:
     return hop.select("o_orderkey", F.concat("r_name", F.lit(":"), F.concat_ws("/", "n_name", F.concat(F.lit("c"), F.col("c_custkey").cast("string")), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")))).alias("path"))
 
 
+def sales_report(spark: SparkSession, folder: str, names: str = "none") -> Report:
+    """The report of the sales graph; its own witnesses are the largest part, the customer with most orders, and the root."""
+    key = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
+    values: dict = dict.fromkeys((m.field for m in CATALOGUE), 0) | dict.fromkeys((m.witness for m in CATALOGUE if m.witness))
+    values |= blob_statistics(blobs(spark, folder).select(key(F.col("oid")).alias("oid"), F.col("oid").alias("ord"), "size")).first().asDict()
+    customers = tree_sizes(spark, folder, "customer").select(key(F.col("oid")).alias("max_tree_entries_tree"), F.col("entries").alias("max_tree_entries"))
+    values |= customers.orderBy(F.desc("max_tree_entries"), "max_tree_entries_tree").first().asDict()
+    row = tree_sizes(spark, folder, "root").first().asDict()
+    for column, field, by in TREE_MAXIMA:
+        if column != "entries":
+            values |= {field: row[column], by: (0).to_bytes(8, "big")}
+    return Report(values, {}, [], names)
+
+
+OF_SALES = ("uniqueBlobCount", "uniqueBlobSize", "maxBlobSize", "maxTreeEntries", "maxCheckoutTreeCount", "maxCheckoutPathDepth", "maxCheckoutPathLength", "maxCheckoutBlobCount", "maxCheckoutBlobSize", "maxCheckoutLinkCount", "maxCheckoutSubmoduleCount")
+
+
+@query(SQL["json_v2_rows"])
+def json_v2_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The second JSON format as the report writes it, read back."""
+    written = json.loads(sales_report(spark, folder).json_metrics())
+    rows = [(s, written[s]["value"], float(written[s]["referenceValue"]), float(written[s]["levelOfConcern"]), written[s]["unit"], written[s]["prefixes"]) for s in OF_SALES]
+    return spark.createDataFrame(rows, "symbol string, value long, reference_value double, level double, unit string, prefixes string")
+
+
+@query("WITH most AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey ORDER BY n DESC, o_custkey LIMIT 1), part_of AS (SELECT p_partkey FROM part ORDER BY p_size DESC, p_partkey LIMIT 1), w AS (SELECT 'Maximum entries' AS name, o_custkey AS id FROM most UNION ALL SELECT 'Maximum size', p_partkey FROM part_of UNION ALL SELECT unnest(['Number of directories', 'Maximum path depth', 'Maximum path length', 'Number of files', 'Total size of files', 'Number of symlinks', 'Number of submodules']), 0), n AS (SELECT name, lower(lpad(to_hex(id), 16, '0')) AS note, CASE name WHEN 'Maximum entries' THEN 0 WHEN 'Maximum size' THEN 1 ELSE 2 END AS place FROM w) SELECT name, note, CAST(dense_rank() OVER (ORDER BY first) AS BIGINT) AS citation FROM (SELECT name, note, min(place) OVER (PARTITION BY note) AS first FROM n)")
+def report_footnotes(spark: SparkSession, folder: str) -> DataFrame:
+    """The report's table, read back: lines with a citation, and the notes below. Equal notes share a number."""
+    text = sales_report(spark, folder, "hash").table(threshold=0)
+    notes = dict(re.findall(r"^\[(\d+)\] +(\S+)$", text, re.MULTILINE))
+    cited = re.findall(r"^\| [ *]*(\S[^|]*?) *\[(\d+)\] \|", text, re.MULTILINE)
+    return spark.createDataFrame([(name, notes[n], int(n)) for name, n in cited], "name string, note string, citation long")
+
+
+@query("WITH named AS (SELECT o_orderkey, 'refs/heads/main:' || r_name || '/' || n_name || '/c' || c_custkey || '/o' || o_orderkey AS path, o_totalprice FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey), tops AS (SELECT 'o' || o_orderkey AS object, path FROM named ORDER BY o_totalprice DESC, o_orderkey LIMIT 20), used AS (SELECT p_partkey, min(p_size) AS size, min(l_orderkey) AS first_order FROM part JOIN lineitem ON l_partkey = p_partkey AND l_returnflag = 'N' GROUP BY p_partkey ORDER BY size DESC, p_partkey LIMIT 20), parts AS (SELECT 'p' || p_partkey AS object, path || '/l' || (SELECT min(l_linenumber) FROM lineitem WHERE l_orderkey = first_order AND l_partkey = p_partkey AND l_returnflag = 'N') AS path FROM used JOIN named ON o_orderkey = first_order) SELECT object, path FROM tops UNION ALL SELECT object, path FROM parts")
+def witness_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Names of the dearest orders and of the largest parts in use, by hops to the first tree that holds each, up to the commit of a reference."""
+    code = lambda letter, key: F.concat(F.lit(letter), F.col(key).cast("string")).cast("binary")
+    steps = [("region", None, "r_regionkey", "r", "", "r_name", None), ("nation", "n_regionkey", "n_nationkey", "n", "", "n_name", "r"), ("customer", "c_nationkey", "c_custkey", "c", "c", "c_custkey", "n"), ("orders", "o_custkey", "o_orderkey", "o", "o", "o_orderkey", "c")]
+    held, order = [], [spark.createDataFrame([(bytearray(b"root"), 0)], "oid binary, ord long")]
+    for i, (name, above, key, letter, head, called, parent) in enumerate(steps):
+        rows = table(spark, folder, name)
+        tree = code(parent, above) if above else F.lit("root").cast("binary")
+        held.append(rows.select(tree.alias("tree"), F.col(key).cast("long").alias("pos"), code(head, called).alias("name"), code(letter, key).alias("child"), F.lit("tree").alias("kind")))
+        order.append(rows.select(code(letter, key).alias("oid"), (F.lit(i + 1) * F.lit(1 << 40) + F.col(key)).alias("ord")))
+    lines = table(spark, folder, "lineitem").where("l_returnflag = 'N'")
+    held.append(lines.select(code("o", "l_orderkey").alias("tree"), F.col("l_linenumber").cast("long").alias("pos"), code("l", "l_linenumber").alias("name"), code("p", "l_partkey").alias("child"), F.lit("blob").alias("kind")))
+    order.append(table(spark, folder, "part").select(code("p", "p_partkey").alias("oid"), (F.lit(9 << 40) + F.col("p_partkey")).alias("ord")))
+    dearest = table(spark, folder, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20).select(F.hex(code("o", "o_orderkey")).alias("oid"), F.lit("tree").alias("kind"))
+    used = table(spark, folder, "part").join(lines, F.col("l_partkey") == F.col("p_partkey"), "left_semi").orderBy(F.desc("p_size"), "p_partkey").limit(20)
+    wanted = {r["oid"].lower(): r["kind"] for r in dearest.union(used.select(F.hex(code("p", "p_partkey")), F.lit("blob"))).collect()}
+    head = bytearray(b"commit")
+    links = find_links(wanted, reduce(DataFrame.union, held), reduce(DataFrame.union, order), spark.createDataFrame([(head, 1, bytearray(b"root"))], "oid binary, ord long, tree binary"), spark.createDataFrame([(1, "refs/heads/main", head, True)], "ord long, name string, oid binary, walk boolean"))
+    return spark.createDataFrame([(bytes.fromhex(o).decode(), path(o, kind, links)) for o, kind in wanted.items()], "object string, path string")
+
+
 # Parsers
 
 
