@@ -7,6 +7,7 @@ run() writes as Parquet and reads again.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +33,17 @@ def shown(docs: DataFrame, columns: list[str], *more: str) -> DataFrame:
 
 
 def keyed(docs: DataFrame, name: str) -> DataFrame:
-    """docs, hidden, with a key for each row, written once: ids may be null or repeat, so stages decide by row."""
-    return stored(hidden(docs).withColumn("_row", F.monotonically_increasing_id()), f"pipeline-{name}-rows")
+    """docs, hidden, with a key for each row: ids may be null or repeat, so stages decide by row.
+
+    The key is the row's file and its place in it, which every reading finds
+    again however files are split. What isn't read from files is written first.
+    """
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        docs = stored(docs, f"pipeline-{name}-rows")
+    row = F.concat_ws(":", F.hex(F.xxhash64("_metadata.file_path")), "_metadata.row_index")
+    return docs.select(*[F.col(c).alias(c if c in OWN else f"_column{i}") for i, c in enumerate(docs.columns)], row.alias("_row"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +59,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = near_duplicates(own, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
     place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))
     first = found.join(own.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(place)["_row"].alias("_row"))
-    return shown(own.join(stored(first.select("_row"), "pipeline-firsts"), "_row", "left_semi"), docs.columns)
+    return shown(own.join(stored(first.select("_row"), "pipeline-firsts").hint("shuffle_hash"), "_row", "left_semi"), docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +83,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.drop(*added)
     own = keyed(docs, "mix")
     mixed = mix_sources(own, source_col=f"_column{docs.columns.index('source')}", row_col="_row").where("copies > 0").select("_row", *added)
-    return shown(own.join(mixed, "_row"), docs.columns, *added)
+    return shown(own.join(mixed.hint("shuffle_hash"), "_row"), docs.columns, *added)
 
 
 STAGES = [("quality classifier", quality), ("SimHash near-dedup", near_dedup), ("benchmark decontamination", decontamination), ("PII", personal_data), ("mixing sources to target weights", mixing)]
