@@ -152,6 +152,42 @@ def test_trigram_counts_by_language(spark, docs, rows):
     assert set(train_bytes(named, "text", "language").own) <= {"en", "de", ""} and train_bytes(named, "text", "language", entries=0).own == {}
 
 
+def test_byte_model_equals_brute_force():
+    """Interpolated modified Kneser-Ney written out with dictionaries."""
+    import random
+
+    draw = random.Random(21)
+    texts = ["".join(draw.choice("abcde é") for _ in range(draw.randint(0, 60))) for _ in range(200)]
+    padded = [bytes([2, 2]) + t.encode() + bytes([3]) for t in texts]
+    three = collections.Counter(b[i : i + 3] for b in padded for i in range(len(b) - 2))
+    two = collections.Counter(k[1:] for k in three)
+    one = collections.Counter(k[1:] for k in two)
+
+    def weights(counts):
+        d, total, kinds = discounts(counts), collections.Counter(), collections.defaultdict(float)
+        for k, n in counts.items():
+            total[k[:-1]] += n
+            kinds[k[:-1]] += d[min(n, 3)]
+        return d, total, kinds
+
+    levels = [(two_or_more, *weights(two_or_more)) for two_or_more in (one, two, three)]
+
+    def p(k):
+        counts, d, total, kinds = levels[len(k) - 1]
+        below = p(k[1:]) if len(k) > 1 else 1 / 256
+        if not total[k[:-1]]:
+            return below
+        n = counts.get(k, 0)
+        return (max(n - d[min(n, 3)], 0) + kinds[k[:-1]] * below) / total[k[:-1]]
+
+    keys, n = np.unique(np.concatenate([k for t in texts for k in byte_trigrams(t)]), return_counts=True)
+    model = ByteModel(keys, n)
+    for t in [*texts[:40], "zzz", "abcxyz", "ééé", ""]:
+        b = bytes([2, 2]) + t.encode() + bytes([3])
+        total, size = model.log_probability(t)
+        assert size == len(b) - 2 and total == pytest.approx(sum(math.log10(p(b[i : i + 3])) for i in range(len(b) - 2)), rel=1e-4)
+
+
 def test_byte_model_sums_to_one():
     keys, n = np.unique(np.concatenate([k for t in ("hello there", "the other one", "abc") for k in byte_trigrams(t)]), return_counts=True)
     model = ByteModel(keys, n)
