@@ -13,6 +13,7 @@ from grove.functions.references import FLAGS
 from grove.operators.refgroups import shown
 from grove.plans.scan import scan_repository
 from grove.sources.git import Repository
+from grove.storage import remove_intermediates
 
 #: Names of the settings that stand in for options: fixed.
 VERSION, THRESHOLD, NAMES, PROGRESS = "sizer.jsonVersion", "sizer.threshold", "sizer.names", "sizer.progress"
@@ -75,13 +76,16 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     threshold = args.threshold if args.threshold is not None else float(repository.setting(THRESHOLD, "1"))
     names = args.names or SHA_NAMES[repository.setting(NAMES, "full")]
     progress = args.progress if args.progress is not None else repository.setting(PROGRESS, str(sys.stderr.isatty()).lower(), "bool") == "true"
-    spark = spark or SparkSession.builder.config("spark.ui.showConsoleProgress", str(progress).lower()).getOrCreate()
+    given = spark
+    spark = given or SparkSession.builder.config("spark.ui.showConsoleProgress", str(progress).lower()).getOrCreate()
     report, refs = scan_repository(spark, args.path, args.rules or (), args.roots, names)
     if args.show_refs:
         print("References (included references marked with '+'):", file=sys.stderr)
         for row in shown(refs.orderBy("ord")).toLocalIterator():
             print(row["line"], file=sys.stderr)
     print((report.json_fields() if version == 1 else report.json_metrics()) if args.json else report.table(threshold), end="" if not args.json else "\n")
+    if given is None:
+        remove_intermediates(spark)
     return 0
 
 

@@ -14,14 +14,19 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where it is unset and all tasks run on this machine, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        app = spark.sparkContext.applicationId
-        found = _own.get(app) or _own.setdefault(app, f"file://{tempfile.mkdtemp(prefix='grove-')}")
-    return found
+    """This application's folder in spark.checkpoint.dir, or a temporary folder where that is unset and all tasks run on this machine, as in tests."""
+    found, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
+    if found:
+        return f"{found.rstrip('/')}/grove-{app}"
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own.get(app) or _own.setdefault(app, f"file://{tempfile.mkdtemp(prefix='grove-')}")
+
+
+def remove_intermediates(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application; results that haven't been written yet can't be read afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
