@@ -3,7 +3,9 @@
 Fingerprints are made in one pass. Distinct fingerprints are then sent, once
 for every choice of `blocks - distance` of their bit blocks, to the task that
 owns those blocks' values: two fingerprints that differ in at most `distance`
-bits agree on at least one choice. Each task sorts what it has by Gray rank,
+bits agree on at least one choice. Where very many fingerprints share one
+choice's values, they are dealt once more by pieces of their other bits, one
+more than the distance, of which near ones share one. Each task sorts what it has by Gray rank,
 which keeps equal leading bits together; the shared masked patterns form the
 upper nodes of a hierarchy, and pairs of nodes are followed downwards with
 their accumulated differences. A pair is dropped as a whole once these exceed
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, map_rows, stored
 
 BITS, SEED, CHUNK, PAIRS = 64, 42, 1 << 16, 1 << 21
+#: Fingerprints that may share a choice's values before they are dealt by more bits.
+CROWD = 1 << 20
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -60,18 +64,17 @@ def signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-def bit_mask(chosen: tuple[int, ...], widths: list[int]) -> int:
-    below = [BITS - sum(widths[: i + 1]) for i in range(len(widths))]
-    return sum(((1 << widths[i]) - 1) << below[i] for i in chosen)
-
-
-def reordered(fps: np.ndarray, order: list[int], widths: list[int], back: bool = False) -> np.ndarray:
-    """The fingerprints with their blocks in another order, or back again."""
-    below, out, at = [BITS - sum(widths[: i + 1]) for i in range(len(widths))], np.zeros_like(fps), BITS
-    for i in order:
-        at -= widths[i]
-        source, to = (at, below[i]) if back else (below[i], at)
-        out |= ((fps >> np.uint64(source)) & np.uint64((1 << widths[i]) - 1)) << np.uint64(to)
+def moved_bits(fps: np.ndarray, order: list[int], back: bool = False) -> np.ndarray:
+    """The fingerprints with their bits, counted from the top, in another order, or back again; runs of bits move together."""
+    out, at = np.zeros_like(fps), 0
+    while at < BITS:
+        width = 1
+        while at + width < BITS and order[at + width] == order[at] + width:
+            width += 1
+        source, to = BITS - order[at] - width, BITS - at - width
+        source, to = (to, source) if back else (source, to)
+        out |= ((fps >> np.uint64(source)) & np.uint64((1 << width) - 1)) << np.uint64(to)
+        at += width
     return out
 
 
@@ -151,11 +154,42 @@ def roots(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return root
 
 
-def local_links(fps: DataFrame, distance: int, blocks: int) -> DataFrame:
-    """(a, b) fingerprint pairs whose components are those of all pairs within the distance; at most one pair for each fingerprint and choice of blocks."""
-    widths, chosen = block_widths(blocks), masks(blocks, distance)
-    masked = F.array(*[F.struct(F.lit(i).alias("m"), F.col("fp").bitwiseAND(F.lit(signed(bit_mask(c, widths)))).alias("key")) for i, c in enumerate(chosen)])
-    sent = fps.select("fp", F.explode(masked).alias("x")).select("fp", "x.m", "x.key").repartition("m", "key").select("m", "fp")
+class Way:
+    """A way to deal fingerprints: the bits that must agree come first, in levels that end after `ends` bits."""
+
+    def __init__(self, parts: list[list[int]], agree: int):
+        self.order = [bit for part in parts for bit in part]
+        ends = [int(e) for e in np.cumsum([len(p) for p in parts])]
+        self.ends, self.mask = ends[agree - 1 :], sum(1 << (BITS - 1 - bit) for part in parts[:agree] for bit in part)
+
+
+def ways_of(distance: int, blocks: int) -> list[Way]:
+    """One way for each choice of blocks, then for each choice one for every piece of its other bits."""
+    widths = block_widths(blocks)
+    starts = np.cumsum([0, *widths]).tolist()
+    bits = [list(range(a, a + w)) for a, w in zip(starts, widths)]
+    plain, split = [], []
+    for chosen in masks(blocks, distance):
+        rest = [i for i in range(blocks) if i not in chosen]
+        plain.append(Way([*(bits[i] for i in chosen), *(bits[i] for i in rest)], len(chosen)))
+        other = [bit for i in rest for bit in bits[i]]
+        pieces = [other[k * len(other) // (distance + 1) : (k + 1) * len(other) // (distance + 1)] for k in range(distance + 1)]
+        split += [Way([*(bits[i] for i in chosen), pieces[k], *(p for n, p in enumerate(pieces) if n != k)], len(chosen) + 1) for k in range(distance + 1)]
+    return plain + split
+
+
+def local_links(fps: DataFrame, distance: int, blocks: int, crowd: int = CROWD) -> DataFrame:
+    """(a, b) fingerprint pairs whose components are those of all pairs within the distance; at most one pair for each fingerprint and way."""
+    ways, n = ways_of(distance, blocks), len(masks(blocks, distance))
+    key = lambda m: F.col("fp").bitwiseAND(F.element_at(F.lit([signed(w.mask) for w in ways]), m + 1))
+    dealt = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("m")).select("fp", "m", key(F.col("m")).alias("key"))
+    if fps.count() > crowd:
+        crowds = stored(dealt.groupBy("m", "key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("m", "key", F.lit(True).alias("many")), "simhash-crowds")
+        if not crowds.isEmpty():
+            marked = dealt.join(crowds, ["m", "key"], "left")
+            again = marked.where("many").select("fp", F.explode(F.transform(F.sequence(F.lit(0), F.lit(distance)), lambda k: n + F.col("m") * (distance + 1) + k)).alias("m"))
+            dealt = marked.where("many is null").select("fp", "m", "key").union(again.select("fp", "m", key(F.col("m")).alias("key")))
+    sent = dealt.repartition("m", "key").select("m", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
@@ -163,13 +197,11 @@ def local_links(fps: DataFrame, distance: int, blocks: int) -> DataFrame:
             return
         m, values = (np.concatenate(x) for x in zip(*got))
         values = values.view(np.uint64)
-        for i in np.flatnonzero(np.bincount(m, minlength=len(chosen)) > 1):
-            order = [*chosen[i], *(k for k in range(blocks) if k not in chosen[i])]
-            ends = [int(e) for e in np.cumsum([widths[k] for k in order])][blocks - distance - 1 :]
-            index = GrayIndex(reordered(values[m == i], order, widths), ends, distance)
+        for i in np.flatnonzero(np.bincount(m, minlength=len(ways)) > 1):
+            index = GrayIndex(moved_bits(values[m == i], ways[i].order), ways[i].ends, distance)
             root = roots(len(index.values), index.links())
             moved = np.flatnonzero(root != np.arange(len(root)))
-            plain = reordered(index.values, order, widths, back=True).view(np.int64)
+            plain = moved_bits(index.values, ways[i].order, back=True).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(plain[moved]), pa.array(plain[root[moved]])], names=["a", "b"])
 
     return sent.mapInArrow(run, "a long, b long")
@@ -194,7 +226,7 @@ def connected(links: DataFrame, name: str = "simhash") -> DataFrame:
         labels = stored(lower.select("node", "label").join(jumped, "label").select("node", F.least("label", "next").alias("label")), f"{name}-labels")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, blocks: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, blocks: int = 6, crowd: int = CROWD) -> DataFrame:
     """doc_id, fingerprint and component_id, the smallest id that links of at most `distance` bits reach.
 
     One row per row. A text of fewer words than a shingle is one shingle; a
@@ -204,7 +236,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     made = stored(fingerprints(docs, id_col, text_col), "simhash-fingerprints")
     fps = stored(made.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    labels = connected(local_links(fps.select("fp"), distance, blocks))
+    labels = connected(local_links(fps.select("fp"), distance, blocks, crowd))
     labelled = fps.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     lowest = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
     classes = labelled.join(lowest, "label").select("fp", "component_id")

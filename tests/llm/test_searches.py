@@ -11,7 +11,7 @@ import pytest
 from grove.llm.decontamination import BLOCK_WORDS, Phrases, find_contamination, matches_as_text, words_of
 from grove.llm.licenses import NOTICES, PHRASES, NoticeSearch, scan_licenses
 from grove.llm.pii import detect_pii, find_spans, luhn, mod97, pii_digest, redact
-from grove.llm.simhash import GrayIndex, block_widths, fingerprint, masks, near_duplicates, reordered, roots
+from grove.llm.simhash import GrayIndex, connected, fingerprint, local_links, moved_bits, near_duplicates, roots, signed, ways_of
 
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -78,15 +78,16 @@ def test_gray_index():
     values = {int(x) ^ sum(1 << int(b) for b in set(draw.integers(0, 64, draw.integers(0, 6)))) for x in draw.integers(0, 2**63, 30) for _ in range(25)} | {0, 1, 2**64 - 1}
     values = np.array(sorted(values), dtype=np.uint64)
     wanted = roots(len(values), iter([np.nonzero(np.bitwise_count(values[:, None] ^ values[None, :]) <= 3)]))
-    widths, links = block_widths(6), []
-    for chosen in masks(6, 3):
-        order = [*chosen, *(k for k in range(6) if k not in chosen)]
-        index = GrayIndex(reordered(values, order, widths), np.cumsum([widths[k] for k in order])[2:].tolist(), 3)
-        plain = reordered(index.values, order, widths, back=True)
-        for a, b in index.links():
-            assert (np.bitwise_count(plain[a] ^ plain[b]) <= 3).all()
-            links.append((np.searchsorted(values, plain[a]), np.searchsorted(values, plain[b])))
-    assert (roots(len(values), iter(links)) == wanted).all()
+    for ways in (ways_of(3, 6)[:20], ways_of(3, 6)[20:]):
+        links = []
+        for way in ways:
+            assert sorted(way.order) == list(range(64)) and (moved_bits(moved_bits(values, way.order), way.order, back=True) == values).all()
+            index = GrayIndex(moved_bits(values, way.order), way.ends, 3)
+            plain = moved_bits(index.values, way.order, back=True)
+            for a, b in index.links():
+                assert (np.bitwise_count(plain[a] ^ plain[b]) <= 3).all()
+                links.append((np.searchsorted(values, plain[a]), np.searchsorted(values, plain[b])))
+        assert (roots(len(values), iter(links)) == wanted).all()
 
 
 def test_near_duplicates(spark, docs, rows, empty):
@@ -116,6 +117,16 @@ def test_near_duplicates(spark, docs, rows, empty):
     assert fingerprint(None) == fingerprint(" \n") == 0
 
 
+def crowd_split(spark):
+    """Fingerprints that share a choice's bits come out the same when they are dealt by more bits."""
+    draw = np.random.default_rng(8)
+    centres = [int(x) for x in draw.integers(0, 2**63, 3)]
+    values = {c ^ sum(1 << int(b) for b in set(draw.integers(0, 32, draw.integers(0, 9)))) for c in centres for _ in range(250)}
+    fps = spark.createDataFrame([(signed(v),) for v in values], "fp long")
+    found = [sorted((r["node"], r["label"]) for r in connected(local_links(fps, 3, 6, crowd)).collect()) for crowd in (1 << 20, 20)]
+    return found[0] == found[1] and len(found[0]) > 300
+
+
 def test_simhash_joins_large_groups(spark):
     """One group of copies and one of near copies, which hold most rows."""
     draw = random.Random(9)
@@ -125,6 +136,7 @@ def test_simhash_joins_large_groups(spark):
         w = list(words)
         w[draw.randrange(400)] = f"v{i}"
         near.append(" ".join(w))
+    assert crowd_split(spark)
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["same text here again"] * 300 + near + [" ".join(draw.sample(words, 60)) for _ in range(50)])], "doc_id long, text string")
     found = near_duplicates(docs).collect()
     assert {r["component_id"] for r in found if r["doc_id"] < 300} == {0}
