@@ -21,6 +21,7 @@ from grove.operators.treefold import SIZES, fold_trees
 from grove.operators.witness import find_links, path
 from grove.plans.report import CATALOGUE, Report, catalogue
 from grove.plans.star import blobs, commits, line_entries, mode_of, order_sizes, plain_sizes, refs, table, tags, tree_sizes
+from grove.storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -418,8 +419,9 @@ def report_rows(spark: SparkSession, folder: str) -> DataFrame:
         "maxCheckoutTreeCount": "trees", "maxCheckoutPathDepth": "max_path_depth", "maxCheckoutPathLength": "max_path_length", "maxCheckoutBlobCount": "blobs", "maxCheckoutBlobSize": "blob_bytes",
         "maxCheckoutLinkCount": "links", "maxCheckoutSubmoduleCount": "submodules",
     }
+    customers = stored(tree_sizes(spark, folder, "customer"), "customer-sizes")
     values = metric_rows(blob_statistics(blobs(spark, folder).withColumn("ord", F.col("oid"))), blob_fields)
-    values = values.union(metric_rows(tree_sizes(spark, folder, "root"), root_fields)).union(metric_rows(tree_sizes(spark, folder, "customer").agg(F.max("entries").alias("most")), {"maxTreeEntries": "most"}))
+    values = values.union(metric_rows(tree_sizes(spark, folder, "root", {"customer": customers}), root_fields)).union(metric_rows(customers.agg(F.max("entries").alias("most")), {"maxTreeEntries": "most"}))
     rows = catalogue(spark).join(values, "symbol")
     over = F.col("value") >= F.col("cap")
     return rows.withColumn("level", level(F.col("value"), F.col("scale"))).withColumn("stars", stars(F.col("value"), F.col("scale"), over)).withColumn("overflow", over)
@@ -483,9 +485,10 @@ def sales_report(spark: SparkSession, folder: str, names: str = "none") -> Repor
     key = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
     values: dict = dict.fromkeys((m.field for m in CATALOGUE), 0) | dict.fromkeys((m.witness for m in CATALOGUE if m.witness))
     values |= blob_statistics(blobs(spark, folder).select(key(F.col("oid")).alias("oid"), F.col("oid").alias("ord"), "size")).first().asDict()
-    customers = tree_sizes(spark, folder, "customer").select(key(F.col("oid")).alias("max_tree_entries_tree"), F.col("entries").alias("max_tree_entries"))
+    sizes = stored(tree_sizes(spark, folder, "customer"), "customer-sizes")
+    customers = sizes.select(key(F.col("oid")).alias("max_tree_entries_tree"), F.col("entries").alias("max_tree_entries"))
     values |= customers.orderBy(F.desc("max_tree_entries"), "max_tree_entries_tree").first().asDict()
-    row = tree_sizes(spark, folder, "root").first().asDict()
+    row = tree_sizes(spark, folder, "root", {"customer": sizes}).first().asDict()
     for column, field, by in TREE_MAXIMA:
         if column != "entries":
             values |= {field: row[column], by: (0).to_bytes(8, "big")}

@@ -8,26 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grove.functions.counters import clamp32
-from grove.functions.parsing import oid_text, parsed_commits, parsed_tags, parsed_trees
+from grove.functions.parsing import parsed_commits, parsed_tags, parsed_trees
 from grove.operators.refgroups import Groups
 from grove.operators.statistics import blob_statistics, commit_statistics, dangling, reference_statistics, repeated, tag_statistics, tree_statistics
 from grove.operators.traversal import commit_depths, tag_depths
 from grove.operators.treefold import fold_trees
 from grove.operators.witness import find_links
 from grove.plans.report import CATALOGUE, Report
-from grove.sources.git import Repository, read
+from grove.sources.git import Repository, read, read_contents, read_objects
 from grove.storage import stored
 
 KINDS = ("blob", "tree", "commit", "tag")
 
 
 def scan_objects(objects: DataFrame, contents: DataFrame, roots: DataFrame, groups: Sequence[tuple[str, str]], names: str = "full") -> Report:
-    """The report over objects (ord, oid, type, size), contents (oid, type, data) and roots (ord, name, oid, walk, is_ref, groups).
+    """The report over stored objects (ord, oid, type, size), contents (oid, type, data) and roots (ord, name, oid, walk, is_ref, groups).
 
     Objects of another type, listed twice, or referred to but missing, are
     errors.
     """
-    objects = stored(objects, "objects")
     if objects.where(~F.col("type").isin(*KINDS)).limit(1).count():
         raise ValueError("an object has an unknown type")
     if repeated(objects).limit(1).count():
@@ -69,6 +68,6 @@ def scan_repository(spark: SparkSession, path: str, options: Sequence[tuple[str,
         added = spark.createDataFrame(explicit, "ord long, name string, oid binary")
         walked = walked.unionByName(added.withColumns({"walk": F.lit(True), "is_ref": F.lit(False), "groups": F.array().cast("array<string>")}))
     walked = stored(walked, "roots")
-    starts = [r[0] for r in walked.where("walk").groupBy(oid_text(F.col("oid")).alias("o")).agg(F.min("ord").alias("i")).orderBy("i").collect()]
-    objects, contents = read(spark, path, "objects", starts), read(spark, path, "contents", starts, partitions)
+    objects = stored(read_objects(walked.where("walk").select("ord", "oid"), path), "objects")
+    contents = read_contents(objects, path, partitions)
     return scan_objects(objects, stored(contents, "contents"), walked, groups.order, names), refs

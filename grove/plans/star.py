@@ -7,6 +7,9 @@ also chains of tags, and documents have reference names.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from types import MappingProxyType
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,12 +66,14 @@ def order_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return leaf_sizes(trees, line_entries(spark, folder), blobs(spark, folder))
 
 
-def tree_sizes(spark: SparkSession, folder: str, level: str) -> DataFrame:
-    """The folded sizes of all trees of a level, in straight-line joins as the number of levels is known."""
+def tree_sizes(spark: SparkSession, folder: str, level: str, known: Mapping[str, DataFrame] = MappingProxyType({})) -> DataFrame:
+    """The folded sizes of all trees of a level, in straight-line joins as the number of levels is known; levels in `known` are taken from there."""
+    if level in known:
+        return known[level]
     if level == "order":
         return order_sizes(spark, folder)
     below = {"customer": "order", "nation": "customer", "region": "nation", "root": "region"}[level]
-    return fold_level(level_trees(spark, folder, level), level_entries(spark, folder, level), tree_sizes(spark, folder, below))
+    return fold_level(level_trees(spark, folder, level), level_entries(spark, folder, level), tree_sizes(spark, folder, below, known))
 
 
 def plain_sizes(sizes: DataFrame) -> DataFrame:

@@ -4,8 +4,9 @@
     spark.read.format("git").option("path", p).option("table", "refs").load()
 
 Tables: refs, objects (in the order of git's own walk), contents (of trees,
-commits and tags; blobs are never read). Contents are read in parts, each by
-a process of its own that asks for its share of the ids.
+commits and tags; blobs are never read). The source finds a part's share of
+contents by a walk of its own; read_objects and read_contents, which a scan
+uses, walk once and deal the stored ids out.
 """
 
 from __future__ import annotations
@@ -15,11 +16,13 @@ import os
 import shutil
 import subprocess
 import threading
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from decimal import Decimal
+from itertools import chain
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMAS = {
@@ -120,9 +123,9 @@ class Repository:
                 raise ValueError(f"bad reference line: {line!r}")
             yield i, words[3].decode("utf-8", "replace"), words[1].decode(), int(words[2]), bytes.fromhex(words[0].decode())
 
-    def walk(self, roots: list[str]) -> Iterator[bytes]:
+    def walk(self, roots: Iterable[str]) -> Iterator[bytes]:
         """Hexadecimal ids of all objects that the roots reach, each once, newest commits first."""
-        for line in self.lines("rev-list", "--objects", "--stdin", "--date-order", feed=[r.encode() for r in roots]) if roots else ():
+        for line in self.lines("rev-list", "--objects", "--stdin", "--date-order", feed=(r.encode() for r in roots)):
             if len(line) < 40:
                 raise ValueError(f"short line: {line!r}")
             yield line[:40]
@@ -170,27 +173,35 @@ class GitReader(DataSourceReader):
     def partitions(self) -> list[Share]:
         return [Share(i, self.parts) for i in range(self.parts)]
 
+    def walked(self, repository: Repository) -> Iterator[bytes]:
+        return repository.walk(self.roots) if self.roots else iter(())
+
     def rows(self, share: Share) -> Iterator[tuple]:
         repository = Repository.at(self.path)
         if self.table == "refs":
             yield from repository.references()
         elif self.table == "objects":
-            for i, (oid, kind, size) in enumerate(repository.headers(repository.walk(self.roots))):
+            for i, (oid, kind, size) in enumerate(repository.headers(self.walked(repository))):
                 yield i, oid, kind, Decimal(size)
         else:
-            own = (o for o in repository.walk(self.roots) if int(o[:8], 16) % share.parts == share.part)
+            own = (o for o in self.walked(repository) if int(o[:8], 16) % share.parts == share.part)
             yield from repository.contents([oid for oid, kind, _ in repository.headers(own) if kind != "blob"])
 
     def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
-        schema, rows, size = ARROW[self.table], [], 0
-        for row in self.rows(partition):
-            rows.append(row)
-            size += len(row[2]) if self.table == "contents" else 0
-            if len(rows) == BATCH or size > BATCH_BYTES:
-                yield batch(rows, schema)
-                rows, size = [], 0
-        if rows:
-            yield batch(rows, schema)
+        yield from batched(self.rows(partition), self.table)
+
+
+def batched(rows: Iterator[tuple], table: str) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of bounded rows and, for contents, bytes."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[2]) if table == "contents" else 0
+        if len(held) == BATCH or size > BATCH_BYTES:
+            yield batch(held, ARROW[table])
+            held, size = [], 0
+    if held:
+        yield batch(held, ARROW[table])
 
 
 def batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -215,3 +226,29 @@ class GitSource(DataSource):
 def read(spark: SparkSession, path: str, table: str, roots: list[str] = (), partitions: int = 4):
     spark.dataSource.register(GitSource)
     return spark.read.format("git").option("path", path).option("table", table).option("roots", ",".join(roots)).option("partitions", str(partitions)).load()
+
+
+def read_objects(roots: DataFrame, path: str) -> DataFrame:
+    """The objects table over roots (ord, oid), in one task as git walks in one process; the roots stream into it and never gather at the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next((b for b in batches if b.num_rows), None)
+        if first is None:
+            return
+        repository = Repository.at(path)
+        oids = (oid.as_py().hex() for b in chain([first], batches) for oid in b.column(0))
+        yield from batched(((i, oid, kind, Decimal(size)) for i, (oid, kind, size) in enumerate(repository.headers(repository.walk(oids)))), "objects")
+
+    once = roots.groupBy("oid").agg(F.min("ord").alias("ord")).repartition(1).sortWithinPartitions("ord").select("oid")
+    return once.mapInArrow(run, SCHEMAS["objects"])
+
+
+def read_contents(objects: DataFrame, path: str, partitions: int) -> DataFrame:
+    """The contents table of all objects but blobs, dealt to tasks with a git process each; nothing is walked again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repository = Repository.at(path)
+        for b in batches:
+            yield from batched(repository.contents([oid.as_py() for oid in b.column(0)]), "contents")
+
+    return objects.where("type <> 'blob'").select("oid").repartition(partitions).mapInArrow(run, SCHEMAS["contents"])
