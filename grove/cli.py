@@ -78,7 +78,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     progress = args.progress if args.progress is not None else repository.setting(PROGRESS, str(sys.stderr.isatty()).lower(), "bool") == "true"
     given = spark
     spark = given or SparkSession.builder.config("spark.ui.showConsoleProgress", str(progress).lower()).getOrCreate()
-    report, refs = scan_repository(spark, args.path, args.rules or (), args.roots, names)
+    report, refs = scan_repository(spark, args.path, args.rules or (), args.roots, names, tell=(lambda text: print(text, file=sys.stderr)) if progress else (lambda text: None))
     if args.show_refs:
         print("References (included references marked with '+'):", file=sys.stderr)
         for row in shown(refs.orderBy("ord")).toLocalIterator():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,18 +21,22 @@ from grove.storage import stored
 KINDS = ("blob", "tree", "commit", "tag")
 
 
-def scan_objects(objects: DataFrame, contents: DataFrame, roots: DataFrame, groups: Sequence[tuple[str, str]], names: str = "full") -> Report:
-    """The report over stored objects (ord, oid, type, size), contents (oid, type, data) and roots (ord, name, oid, walk, is_ref, groups).
+#: The phases of a scan as progress names them: fixed.
+PHASES = ("Processing blobs: {}", "Processing trees: {}", "Processing commits: {}", "Matching commits to trees: {}", "Processing annotated tags: {}", "Processing references: {}")
+
+
+def scan_objects(objects: DataFrame, contents: Callable[[str], DataFrame], roots: DataFrame, groups: Sequence[tuple[str, str]], names: str = "full", tell: Callable[[str], None] = lambda text: None) -> Report:
+    """The report over stored objects (ord, oid, type, size), the contents (oid, data) of a type, and roots (ord, name, oid, walk, is_ref, groups).
 
     Objects of another type, listed twice, or referred to but missing, are
-    errors.
+    errors. tell hears of each phase with its count once it is done.
     """
     if objects.where(~F.col("type").isin(*KINDS)).limit(1).count():
         raise ValueError("an object has an unknown type")
     if repeated(objects).limit(1).count():
         raise ValueError("an object is listed twice")
     sized = objects.withColumn("size", clamp32(F.col("size")))
-    of = lambda kind: contents.where(F.col("type") == kind).join(sized.where(F.col("type") == kind).select("oid", "ord"), "oid")
+    of = lambda kind: contents(kind).join(sized.where(F.col("type") == kind).select("oid", "ord"), "oid")
     blobs, trees = (sized.where(F.col("type") == k).select("oid", "ord", "size") for k in ("blob", "tree"))
     entries = stored(parsed_trees(of("tree").select("oid", "data")).withColumn("name_length", F.octet_length("name").cast("bigint")), "entries")
     sizes = stored(fold_trees(trees, entries, blobs).join(trees.select("oid", F.col("size").alias("object_size")), "oid"), "tree-sizes")
@@ -45,14 +49,18 @@ def scan_objects(objects: DataFrame, contents: DataFrame, roots: DataFrame, grou
     tags = tag_depths(parsed_tags(of("tag")).select("oid", "ord", "referent", "referent_type"))
 
     row: dict = {}
-    for one in (blob_statistics(blobs), tree_statistics(sizes), commit_statistics(history), tag_statistics(tags), reference_statistics(roots.where("is_ref"))):
+    steps = ((blob_statistics(blobs), ("unique_blob_count",)), (tree_statistics(sizes), ("unique_tree_count",)), (commit_statistics(history), ("unique_commit_count",) * 2), (tag_statistics(tags), ("unique_tag_count",)), (reference_statistics(roots.where("is_ref")), ("reference_count",)))
+    phases = iter(PHASES)
+    for one, counted in steps:
         row |= one.first().asDict()
+        for field in counted:
+            tell(next(phases).format(row[field]))
     wanted = {bytes(row[m.witness]).hex(): m.kind for m in CATALOGUE if m.witness and row[m.witness] is not None}
     links = find_links(wanted, entries, objects.select("oid", "ord"), commits.select("oid", "ord", "tree"), roots) if names == "full" else {}
     return Report(row, links, list(groups), names)
 
 
-def scan_repository(spark: SparkSession, path: str, options: Sequence[tuple[str, str]] = (), roots: Sequence[str] = (), names: str = "full", partitions: int = 4) -> tuple[Report, DataFrame]:
+def scan_repository(spark: SparkSession, path: str, options: Sequence[tuple[str, str]] = (), roots: Sequence[str] = (), names: str = "full", partitions: int = 4, tell: Callable[[str], None] = lambda text: None) -> tuple[Report, DataFrame]:
     """The report of a repository, and its categorised references in order.
 
     options are the selection rules in order; roots are names of objects to
@@ -69,5 +77,5 @@ def scan_repository(spark: SparkSession, path: str, options: Sequence[tuple[str,
         walked = walked.unionByName(added.withColumns({"walk": F.lit(True), "is_ref": F.lit(False), "groups": F.array().cast("array<string>")}))
     walked = stored(walked, "roots")
     objects = stored(read_objects(walked.where("walk").select("ord", "oid"), path), "objects")
-    contents = read_contents(objects, path, partitions)
-    return scan_objects(objects, stored(contents, "contents"), walked, groups.order, names), refs
+    contents = lambda kind: read_contents(objects.where(F.col("type") == kind), path, partitions)
+    return scan_objects(objects, contents, walked, groups.order, names, tell), refs

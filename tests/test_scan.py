@@ -112,6 +112,8 @@ def test_command_line(spark, git_repo, capsys):
     found = json.loads(capsys.readouterr().out)
     assert found["uniqueCommitCount"]["value"] == 7 and found["refgroup.tags.releases"]["value"] == 1 and found["refgroup.other"]["value"] == 1
     assert main(["-C", r.path, "--json-version", "3"], spark) == 1
+    assert main(["-C", r.path, "--progress"], spark) == 0
+    assert capsys.readouterr().err.splitlines()[-6:] == ["Processing blobs: 1", "Processing trees: 1", "Processing commits: 7", "Matching commits to trees: 7", "Processing annotated tags: 0", "Processing references: 7"]
 
 
 def test_refused_repositories(git_repo, tmp_path):
