@@ -125,7 +125,7 @@ def test_rules(docs, rows, empty, texts):
 
 
 def test_bands_reject_in_each_language(spark):
-    """Texts of odd words among their language's own, though another language is made of those words."""
+    """Above the band: texts of odd words among their language's own, though another language is made of those words; below: a text whose copies are much of its language."""
     import random
 
     draw, rows = random.Random(4), []
@@ -141,6 +141,9 @@ def test_bands_reject_in_each_language(spark):
     assert not any(found[r[0]]["kept"] for r in rows if r[3])
     plain = [r[0] for r in rows if not r[3] and r[0] < 2000]
     assert sum(found[i]["kept"] for i in plain) > 0.95 * len(plain)
+    usual = sorted(found[i]["log_ppl"] for i in plain if i % 3 == 1)
+    assert all(found[r[0]]["log_ppl"] > usual[-1] for r in rows if r[3] and r[0] % 3 == 1)
+    assert not any(found[r[0]]["kept"] for r in rows[1200:]) and found[2000]["log_ppl"] < usual[len(usual) // 4]
 
 
 def test_trigram_counts_by_language(spark, docs, rows):
