@@ -423,7 +423,7 @@ def score_blocks(tokens: DataFrame, answers: DataFrame, owners: Owners, totals:
             out = [pa.array(ids, mask=valid == 0), pa.array(held.astype(bool)), pa.array(lengths), pa.array(by_text((n > 0).astype(np.int64)[block.tokens])), pa.array(np.full(len(ids), totals.tokens)), pa.array(by_text(base[block.tokens])), pa.array(score), pa.array(10 ** (-score / lengths))]
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
-    return tokens.unionByName(answers).repartition(owners.shards, "block").sortWithinPartitions("block").mapInArrow(run, SCORES)
+    return tokens.unionByName(answers).repartition(4 * owners.shards, "block").sortWithinPartitions("block").mapInArrow(run, SCORES)
 
 
 def frequent_words(docs: DataFrame, shards: int, fraction: float, seed: int = 5) -> np.ndarray:
