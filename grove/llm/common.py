@@ -6,8 +6,10 @@ import re
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -68,3 +70,58 @@ def map_rows(
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(kept)), *new], names=names)
 
     return source.mapInArrow(run, out)
+
+
+#: A key with over one in so many rows is joined on its own; there are fewer such keys than this.
+OFTEN = 1000
+
+
+def join_one(rows: DataFrame, table: DataFrame, keys: Sequence[str], n: str, total: int, apart: Sequence[str]) -> DataFrame:
+    """rows with what table has for their keys, null where it has nothing; table has one row for a key.
+
+    The table's column n tells how many rows have the key and isn't returned.
+    Keys with over a thousandth of all total rows, fewer than a thousand, are
+    broadcast; their rows then go by the columns `apart`, so that no task of
+    the join by keys gets more than that share of one key.
+    """
+    keys, cols = list(keys), [c for c in table.columns if c not in keys and c != n]
+    often = table.where(F.col(n) * OFTEN > total).select(*keys, *[F.col(c).alias(f"_often_{c}") for c in cols], F.lit(True).alias("_often"))
+    rest = table.where(F.col(n) * OFTEN <= total).select(*keys, *cols, F.lit(0).alias("_apart"))
+    found = rows.join(F.broadcast(often), keys, "left")
+    found = found.withColumn("_apart", F.when(F.col("_often"), 1 + F.pmod(F.xxhash64(*apart), F.lit(1 << 30)).cast("int")).otherwise(0))
+    found = found.join(rest, [*keys, "_apart"], "left")
+    return found.select(*rows.columns, *[F.coalesce(c, f"_often_{c}").alias(c) for c in cols])
+
+
+def numbered(rows: DataFrame, order: Sequence[Column], group: str, name: str) -> DataFrame:
+    """rows with `number`, the place of each from 0 on among the rows of the same group (a column without nulls) in the given order.
+
+    rows is a stored table. Ranges of (group, order) are sorted task by task,
+    so one group may take many tasks; where it goes on from one range to the
+    next, its rows in the ranges before are added. No range has more than one
+    such group, so what is broadcast has fewer rows than there are ranges.
+    """
+    rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    keys = [F.col(group), *order, F.col("_row")]
+    at = rows.columns.index(group)
+    out = StructType(rows.schema.fields).add("number", "long").add("_range", "int")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, count = TaskContext.get().partitionId(), None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            own = b.column(at).to_numpy(zero_copy_only=False)
+            starts = np.concatenate(([True], own[1:] != own[:-1]))
+            places = np.arange(len(own)) - np.maximum.accumulate(np.where(starts, np.arange(len(own)), 0))
+            if last is not None and own[0] == last:
+                run_end = int(np.argmin(own == own[0])) if (own != own[0]).any() else len(own)
+                places[:run_end] += count
+            last, count = own[-1], int(places[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(places, pa.int64()), pa.array(np.full(len(own), part, np.int32))], names=out.names)
+
+    ranges = stored(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, out), name)
+    counts = ranges.groupBy(group, "_range").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))).where("_before > 0")
+    found = ranges.join(F.broadcast(before.select(group, "_range", "_before")), [group, "_range"], "left")
+    return found.withColumn("number", F.col("number") + F.coalesce("_before", F.lit(0))).drop("_row", "_range", "_before")

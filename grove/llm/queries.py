@@ -18,6 +18,8 @@ from .quality import score_quality
 from .rules import apply_rules
 from .simhash import near_duplicates
 from .toxicity import score_toxicity
+from .warc import ORACLE as OP11_SQL
+from .warc import archive_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,6 +64,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_lm, op3_simhash, op4_html, op5_mixing, op6_pii, op7_quality, op8_rules, op9_licenses, op10_toxicity)}
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(read_table(spark, sf_dir, "pages"))
 
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL}
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_lm, op3_simhash, op4_html, op5_mixing, op6_pii, op7_quality, op8_rules, op9_licenses, op10_toxicity, op11_warc)}
+
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op11_warc": OP11_SQL}
