@@ -104,7 +104,7 @@ def numbered(rows: DataFrame, order: Sequence[Column], group: str, name: str) ->
     rows = rows.withColumn("_row", F.monotonically_increasing_id())
     keys = [F.col(group), *order, F.col("_row")]
     at = rows.columns.index(group)
-    out = StructType(rows.schema.fields).add("number", "long").add("_range", "int")
+    out = StructType(rows.schema.fields).add("number", "long").add("_range", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, last, count = TaskContext.get().partitionId(), None, 0

@@ -15,6 +15,8 @@ from .lm import score_texts
 from .mixing import mix_sources
 from .pii import detect_pii, pii_digest
 from .quality import score_quality
+from .resampling import ORACLE as OP13_SQL
+from .resampling import resample
 from .rules import apply_rules
 from .simhash import near_duplicates
 from .toxicity import score_toxicity
@@ -68,6 +70,10 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_lm, op3_simhash, op4_html, op5_mixing, op6_pii, op7_quality, op8_rules, op9_licenses, op10_toxicity, op11_warc)}
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op11_warc": OP11_SQL}
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_lm, op3_simhash, op4_html, op5_mixing, op6_pii, op7_quality, op8_rules, op9_licenses, op10_toxicity, op11_warc, op13_resampling)}
+
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op11_warc": OP11_SQL, "op13_resampling": OP13_SQL}

@@ -75,7 +75,7 @@ def magics(draw, n):
     return b"".join(draw.choice([MAGIC, MAGIC + b"\x00" * 6, MAGIC[:2], b"ab", MAGIC + b"\x08\x00\x00\x00\x00\x00\x03x\x03"]) for _ in range(n))
 
 
-@pytest.mark.parametrize("size", [61, 300, 5000])
+@pytest.mark.parametrize("size", [149, 700, 5000])
 def test_magic_within_members(spark, tmp_path, ranges, size):
     """Members stored without compression, whose payloads hold magics, read whole however ranges cut them; names ending in .gz as well."""
     draw = random.Random(size)
