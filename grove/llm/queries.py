@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
+from .conversations import ORACLE as OP12_SQL
+from .conversations import prefix_trie
 from .decontamination import ORACLE as OP1_SQL
 from .decontamination import find_contamination, matches_as_text
 from .html import extract_pages
@@ -70,10 +72,14 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(read_table(spark, sf_dir, "pages"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_lm, op3_simhash, op4_html, op5_mixing, op6_pii, op7_quality, op8_rules, op9_licenses, op10_toxicity, op11_warc, op13_resampling)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_lm, op3_simhash, op4_html, op5_mixing, op6_pii, op7_quality, op8_rules, op9_licenses, op10_toxicity, op11_warc, op12_prefix_trie, op13_resampling)}
 
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op11_warc": OP11_SQL, "op13_resampling": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op11_warc": OP11_SQL, "op12_prefix_trie": OP12_SQL, "op13_resampling": OP13_SQL}
