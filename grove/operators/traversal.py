@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,75 +33,124 @@ def reachable(roots: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 #: Commits of a block that one task folds.
-BLOCK = 1 << 18
+BLOCK = 1 << 14
+
+#: Border commits whose paths one pass over a block follows together.
+ENTRIES = 16
+
+#: No path, far enough below zero for sums to stay there.
+NO_PATH = -(1 << 60)
+
+
+def transfers(own: pd.DataFrame) -> pd.DataFrame:
+    """A block's max-plus table: (exit, entry, steps), the longest path from each commit of older blocks that it builds on to each of its own that newer ones build on.
+
+    own (ord, inner, outer, exits) is in an order in which parents come first;
+    inner lists the ord of parents in the block, outer of those in older ones.
+    An entry that is null stands for paths that begin in the block: steps is
+    then the number of commits on the longest.
+    """
+    ords, inner, outer, exits = own["ord"].tolist(), [list(x) for x in own["inner"]], [list(x) for x in own["outer"]], own["exits"].tolist()
+    place = {o: i for i, o in enumerate(ords)}
+    inner = [[place[p] for p in ps] for ps in inner]
+    rows, best = [], np.full(len(ords), NO_PATH, np.int64)
+    for i, ps in enumerate(inner):
+        best[i] = max([1 if not ps and not outer[i] else NO_PATH, *(best[p] + 1 for p in ps)])
+        if exits[i] and best[i] > 0:
+            rows.append((ords[i], None, int(best[i])))
+    entries = sorted({e for es in outer for e in es})
+    for start in range(0, len(entries), ENTRIES):
+        some = {e: k for k, e in enumerate(entries[start : start + ENTRIES])}
+        steps = np.full((len(ords), len(some)), NO_PATH, np.int64)
+        for i in range(next(i for i, es in enumerate(outer) if not some.keys().isdisjoint(es)), len(ords)):
+            if inner[i]:
+                steps[i] = steps[inner[i]].max(axis=0) + 1
+            for e in outer[i]:
+                if e in some:
+                    steps[i, some[e]] = max(steps[i, some[e]], 1)
+            if exits[i]:
+                rows += [(ords[i], e, int(steps[i, k])) for e, k in some.items() if steps[i, k] > 0]
+    return pd.DataFrame(rows, columns=["exit", "entry", "steps"]).astype({"exit": "int64", "entry": "Int64", "steps": "int64"})
+
+
+def border_depths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The depth of each border commit (ord, depth) from all blocks' tables (exit, entry, steps), the oldest block's first."""
+    depths: dict[int, int] = {}
+    for b in batches:
+        for out, entry, steps in zip(*(b.column(c).to_pylist() for c in ("exit", "entry", "steps")), strict=True):
+            depths[out] = max(depths.get(out, 0), steps if entry is None else depths[entry] + steps)
+    yield pa.RecordBatch.from_arrays([pa.array(list(depths), pa.int64()), pa.array(list(depths.values()), pa.int64())], names=["ord", "depth"])
 
 
 def block_depths(own: pd.DataFrame) -> pd.DataFrame:
-    """Depths within a block of (oid, ord, base, inner) in an order in which parents come first; base is what settled parents give, inner lists the ord of the others."""
+    """Depths within a block of (oid, ord, base, inner) in an order in which parents come first; base is what older blocks give, inner lists the ord of parents in the block."""
     depths: dict[int, int] = {}
     for ord_, base, inner in zip(own["ord"].tolist(), own["base"].tolist(), own["inner"]):
         depths[ord_] = max([base, *(depths[p] + 1 for p in inner)])
-    return own[["oid", "ord"]].assign(depth=list(depths.values()))
-
-
-def ordered_depths(commits: DataFrame, edges: DataFrame, newest_first: bool, n: int, block: int) -> DataFrame:
-    """(oid, depth) from commits (oid, ord) and edges (src, src_ord, dst, dst_ord) that all lead on in the order, block by block from the oldest; a block reads the depths of only those blocks that its edges lead to."""
-    spark, parts = commits.sparkSession, -(-n // block)
-    cuts = sorted(set(commits.approxQuantile("ord", [i / parts for i in range(1, parts)], 1 / (4 * parts)))) if parts > 1 else []
-    number = lambda c: F.size(F.filter(F.lit([int(x) for x in cuts]), lambda x: x < F.col(c))) if cuts else F.lit(0)
-    commits = stored(commits.withColumn("block", number("ord")), "depth-commits")
-    edges = stored(edges.withColumn("block", number("src_ord")).withColumn("dst_block", number("dst_ord")), "depth-ordered")
-    leads = {}
-    for r in edges.where("block <> dst_block").select("block", "dst_block").distinct().collect():
-        leads.setdefault(r["block"], []).append(r["dst_block"])
-    done: dict[int, DataFrame] = {}
-    for i in sorted(range(len(cuts) + 1), reverse=newest_first):
-        own, out = commits.where(F.col("block") == i).select("oid", "ord"), edges.where(F.col("block") == i)
-        inner = out.where(F.col("dst_block") == i).groupBy(F.col("src").alias("oid")).agg(F.collect_list("dst_ord").alias("inner"))
-        rows = own.join(inner, "oid", "left")
-        base = F.lit(1).cast("bigint")
-        if below := [done[j] for j in leads.get(i, ())]:
-            settled = reduce(DataFrame.union, below).select(F.col("oid").alias("dst"), "depth")
-            outer = out.where(F.col("dst_block") != i).join(settled, "dst").groupBy(F.col("src").alias("oid")).agg((F.max("depth") + 1).alias("via"))
-            rows, base = rows.join(outer, "oid", "left"), F.coalesce("via", base)
-        rows = rows.select("oid", "ord", base.alias("base"), F.coalesce("inner", F.array().cast("array<bigint>")).alias("inner"))
-        first = F.desc("ord") if newest_first else F.asc("ord")
-
-        def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-            return block_depths(pdf.sort_values("ord", ascending=not newest_first))
-
-        done[i] = stored(rows.withColumn("block", F.lit(i)).groupBy("block").applyInPandas(fold, own.withColumn("depth", F.lit(0).cast("bigint")).schema), "depth-block")
-    return reduce(DataFrame.union, done.values()).select("oid", "depth") if done else commits.select("oid", F.lit(1).cast("bigint").alias("depth"))
+    return own[["oid"]].assign(depth=list(depths.values()))
+
+
+def ordered_depths(commits: DataFrame, edges: DataFrame, newest_first: bool) -> DataFrame:
+    """(oid, depth) from commits (oid, ord, block), blocks being ranges of ord, and edges (src, src_block, dst_ord, dst_block) that all lead on in the order.
+
+    All blocks are folded at once, twice. First each gives its max-plus table,
+    whose rows are for pairs of commits at its borders; one scan over these
+    tables finds the depths at the borders, from which the blocks then count.
+    """
+    across = edges.where("src_block <> dst_block")
+    rows = commits.join(across.select(F.col("dst_ord").alias("ord"), F.lit(True).alias("exits")).distinct(), "ord", "left")
+    within = F.when(F.col("src_block") == F.col("dst_block"), F.col("dst_ord"))
+    parents = edges.groupBy(F.col("src").alias("oid")).agg(F.collect_list(within).alias("inner"), F.collect_list(F.when(within.isNull(), F.col("dst_ord"))).alias("outer"))
+    none = F.array().cast("array<bigint>")
+    rows = rows.join(parents, "oid", "left").select("oid", "ord", "block", F.coalesce("inner", none).alias("inner"), F.coalesce("outer", none).alias("outer"), F.coalesce("exits", F.lit(False)).alias("exits"))
+    rows = stored(rows, "depth-rows")
+
+    def table(pdf: pd.DataFrame) -> pd.DataFrame:
+        return transfers(pdf.sort_values("ord", ascending=not newest_first)).assign(block=pdf["block"].iloc[0])
+
+    tables = stored(rows.groupBy("block").applyInPandas(table, "exit long, entry long, steps long, block int"), "depth-tables")
+    age = F.desc("block") if newest_first else F.asc("block")
+    borders = stored(tables.repartition(1).sortWithinPartitions(age).mapInArrow(border_depths, "ord long, depth long"), "depth-borders")
+    via = across.join(borders.select(F.col("ord").alias("dst_ord"), "depth"), "dst_ord").groupBy(F.col("src").alias("oid")).agg((F.max("depth") + 1).alias("via"))
+    rows = rows.join(via, "oid", "left").select("oid", "ord", "block", F.coalesce("via", F.lit(1).cast("bigint")).alias("base"), "inner")
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        return block_depths(pdf.sort_values("ord", ascending=not newest_first))
+
+    return rows.groupBy("block").applyInPandas(fold, commits.select("oid").withColumn("depth", F.lit(0).cast("bigint")).schema)
 
 
 def commit_depths(commits: DataFrame, parents: DataFrame, block: int = BLOCK) -> DataFrame:
     """(oid, depth): 1 and the depth of the deepest parent, from commits (oid, and ord if there is one) and parents (oid, parent).
 
     With an ord that no two commits share and that every edge follows, up or
-    down, the history is folded in one task for each `block` commits: rounds
-    don't depend on its merges. Without one, see waiting_depths. A parent
-    that isn't a commit of the table, and a cycle, are errors.
+    down, the history is cut into blocks of about `block` commits that are
+    folded all at once. Without one, see waiting_depths. A parent that isn't
+    a commit of the table, and a cycle, are errors.
     """
     if "ord" in commits.columns:
         commits = stored(commits.select("oid", F.col("ord").cast("bigint").alias("ord")), "depth-all")
-        at = lambda name: commits.select(F.col("oid").alias(name), F.col("ord").alias(f"{name}_ord"))
-        edges = stored(parents.select(F.col("oid").alias("src"), F.col("parent").alias("dst")).distinct().join(at("src"), "src").join(at("dst"), "dst", "left"), "depth-edges")
         n, ords = commits.agg(F.count("ord"), F.count_distinct("ord")).first()
+        commits = stored(commits.repartitionByRange(max(1, -(-n // block)), "ord").withColumn("block", F.spark_partition_id()), "depth-commits")
+        at = lambda name: commits.select(*[F.col(c).alias(f"{name}_{c}" if c != "oid" else name) for c in commits.columns])
+        edges = stored(parents.select(F.col("oid").alias("src"), F.col("parent").alias("dst")).distinct().join(at("src"), "src").join(at("dst"), "dst", "left"), "depth-edges")
         up, down, missing = edges.agg(F.count_if(F.col("dst_ord") > F.col("src_ord")), F.count_if(F.col("dst_ord") < F.col("src_ord")), F.count_if(F.col("dst_ord").isNull())).first()
         if missing:
             raise ValueError("a parent commit is missing")
         if n == ords and not (up and down) and edges.where("dst_ord = src_ord").isEmpty():
-            return ordered_depths(commits, edges, up > 0, n, block)
+            return ordered_depths(commits, edges, up > 0)
     return waiting_depths(commits.select("oid"), parents)
 
 
 def waiting_depths(commits: DataFrame, parents: DataFrame) -> DataFrame:
     """Depths without an order.
 
-    Rounds settle what has only settled parents, and shorten the rest: an
-    edge to a commit that waits for one parent only is moved on to that
-    parent, with the steps between added, so that chains halve with each
-    round however long they are.
+    Rounds settle what has only settled parents, and reduce the rest. In
+    series: an edge to a commit that waits for one parent only is moved on to
+    that parent, with the steps between added, so that chains halve with each
+    round however long they are. In parallel: of edges between the same
+    commits the longest stays, and an edge goes if two others lead the same
+    way and are as long together.
     """
     edges = stored(parents.groupBy(F.col("oid").alias("src"), F.col("parent").alias("dst")).agg(F.lit(1).cast("bigint").alias("steps")), "depth-edges")
     if edges.join(commits.select(F.col("oid").alias("dst")), "dst", "left_anti").limit(1).count():
@@ -109,7 +161,7 @@ def waiting_depths(commits: DataFrame, parents: DataFrame) -> DataFrame:
     done, most = [settled], commits.count()
     while edges.limit(1).count():
         known = edges.join(settled.select(F.col("oid").alias("dst"), "depth"), "dst").groupBy(F.col("src").alias("oid")).agg(F.max(F.col("steps") + F.col("depth")).alias("via"))
-        waiting = edges.join(settled.select(F.col("oid").alias("dst")), "dst", "left_anti")
+        waiting = longest_edges(stored(edges.join(settled.select(F.col("oid").alias("dst")), "dst", "left_anti"), "depth-left"))
         best = stored(best.join(known, "oid", "left").select("oid", F.greatest("best", F.coalesce("via", F.lit(0))).alias("best")), "depth-best")
         single = waiting.groupBy(F.col("src").alias("dst")).agg(F.count("*").alias("n"), F.first("dst").alias("next"), F.first("steps").alias("more")).where("n = 1").drop("n")
         single = single.join(best.select(F.col("oid").alias("dst"), F.col("best").alias("so_far")), "dst")
@@ -123,7 +175,19 @@ def waiting_depths(commits: DataFrame, parents: DataFrame) -> DataFrame:
         best = best.join(settled, "oid", "left_anti")
         done.append(settled)
         edges = new
-    return reduce(DataFrame.union, done)
+    found = stored(reduce(DataFrame.union, done), "depth-found")
+    of = lambda name: found.select(F.col("oid").alias(name), F.col("depth").alias(f"{name}_depth"))
+    if not parents.join(of("oid"), "oid").join(of("parent"), "parent").where("oid_depth <= parent_depth").isEmpty():
+        raise ValueError("commits form a cycle")
+    return found
+
+
+def longest_edges(edges: DataFrame) -> DataFrame:
+    """edges (src, dst, steps) without those that two others make up for."""
+    forks = edges.join(edges.groupBy("src").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "src")
+    through = forks.join(edges.select(F.col("src").alias("dst"), F.col("dst").alias("end"), F.col("steps").alias("more")), "dst")
+    through = through.groupBy("src", F.col("end").alias("dst")).agg(F.max(F.col("steps") + F.col("more")).alias("around"))
+    return stored(edges.join(through, ["src", "dst"], "left").where("around is null or around < steps").drop("around"), "depth-reduced")
 
 
 def tag_depths(tags: DataFrame) -> DataFrame:

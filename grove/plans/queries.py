@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from grove.functions.counters import CAP32, CAP64, clamp32, clamp64, count32, first_max, formatted, last_max, level, overflowed, stars, sum32, sum64
 from grove.functions.parsing import batch_header, entry_kind, octal, oid_text, parsed_commits, parsed_tags, parsed_trees, reference_line
 from grove.functions.references import config_rest, folded, pattern, prefix
+from grove.operators.history import reachable_commits
 from grove.operators.refgroups import Groups, group_counts, shown
 from grove.operators.statistics import TREE_MAXIMA, blob_statistics, commit_statistics, dangling, metric_rows, reference_statistics, repeated, tag_statistics, tree_statistics
 from grove.operators.traversal import commit_depths, reachable, tag_depths
 from grove.operators.treefold import SIZES, fold_trees
 from grove.operators.witness import find_links, path
 from grove.plans.report import CATALOGUE, Report, catalogue
-from grove.plans.star import blobs, commits, line_entries, mode_of, order_sizes, plain_sizes, refs, table, tags, tree_sizes
+from grove.plans.star import blobs, commits, line_entries, mode_of, order_history, order_sizes, plain_sizes, refs, table, tags, tree_sizes
 from grove.storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -237,6 +238,25 @@ def event_history_depth(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").withColumn("depth", place.cast("bigint")).groupBy("user_id").agg(F.max("depth").alias("depth"), F.max_by("event_id", "depth").alias("tip"))
 
 
+MERGES_SQL = """WITH RECURSIVE o AS (SELECT o_orderkey AS oid, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE), o_orderkey) AS first,
+    CASE WHEN o_orderkey % 3 = 0 THEN lag(o_orderkey) OVER (PARTITION BY CAST(o_orderdate AS DATE) ORDER BY o_orderkey) END AS second FROM orders),
+  p AS (SELECT oid, first AS parent FROM o WHERE first IS NOT NULL UNION SELECT oid, second FROM o WHERE second IS NOT NULL)"""
+
+
+@query(f"{MERGES_SQL}, d AS (SELECT oid, CAST(1 AS BIGINT) AS depth FROM o WHERE first IS NULL AND second IS NULL UNION SELECT p.oid, depth + 1 FROM d JOIN p ON p.parent = d.oid) SELECT oid, max(depth) AS depth FROM d GROUP BY oid")
+def merge_depth(spark: SparkSession, folder: str) -> DataFrame:
+    """Depths of a history with merges, all blocks at once."""
+    found, parents = order_history(spark, folder)
+    return commit_depths(found, parents.select("oid", "parent"), block=4096)
+
+
+@query(f"{MERGES_SQL}, r AS (SELECT oid FROM o WHERE oid % 1000 = 7 UNION SELECT p.parent FROM r JOIN p ON p.oid = r.oid) SELECT oid FROM r")
+def reachable_history(spark: SparkSession, folder: str) -> DataFrame:
+    """All that every thousandth order is built on, by chains."""
+    found, parents = order_history(spark, folder)
+    return reachable_commits(found.where("oid % 1000 = 7"), found, parents)
+
+
 TAG_SQL = "WITH RECURSIVE d AS (SELECT p_partkey AS oid, CAST(1 AS BIGINT) AS depth FROM part WHERE p_partkey % 2 = 1 UNION ALL SELECT p.p_partkey, d.depth + 1 FROM part p JOIN d ON p.p_partkey = 2 * d.oid)"
 
 

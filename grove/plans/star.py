@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from types import MappingProxyType
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grove.functions.parsing import entry_kind, octal
@@ -101,6 +101,18 @@ def commits(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def order_history(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as commits (oid, ord) and their parents (oid, parent, nr): an order is on top of the same customer's order before it, and every third one also merges the order before it of the same day."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day"))
+    before = lambda key: F.lag("o_orderkey").over(Window.partitionBy(key).orderBy("day", "o_orderkey"))
+    own = orders.withColumns({"first": before("o_custkey"), "second": before("day")})
+    second = F.when((F.col("o_orderkey") % 3 == 0) & ~F.col("second").eqNullSafe(F.col("first")), F.col("second"))
+    listed = F.array_compact(F.array("first", second))
+    commits = own.select(F.col("o_orderkey").alias("oid"), (F.unix_date("day").cast("bigint") * (1 << 40) + F.col("o_orderkey")).alias("ord"))
+    parents = own.select(F.col("o_orderkey").alias("oid"), F.posexplode(listed).alias("nr", "parent")).select("oid", "parent", "nr")
+    return commits, parents
+
+
 def tags(spark: SparkSession, folder: str) -> DataFrame:
     """(oid, ord, referent, referent_type): an even part key is a tag of its half, an odd one the tag of a commit."""
     key = F.col("p_partkey")
