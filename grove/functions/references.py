@@ -6,20 +6,20 @@ column, so that a whole selection becomes one expression of one scan.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterable
 
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from grove.functions.patterns import BadPattern, translated
+
 Filter = Callable[[Column], Column]
 
 #: Selection flags: fixed names and what each stands for.
 FLAGS = {"branches": "refs/heads", "tags": "refs/tags", "remotes": "refs/remotes", "notes": "refs/notes", "stash": "/refs/stash/"}
 
-#: Pattern syntax that only one of the two regular-expression dialects accepts.
-FOREIGN = re.compile(r"\(\?(?:[=!>]|<[=!])|\\[1-9]|[*+?}]\+")
-
 
 def everything(name: Column) -> Column:
     return F.lit(True)
@@ -39,14 +39,22 @@ def prefix(wanted: str) -> Filter:
 
 
 def pattern(wanted: str) -> Filter:
-    """Names that match ^wanted$, with no group around it: of alternatives, the first is bound to the start and the last to the end."""
-    if FOREIGN.search(wanted):
-        raise ValueError(f"look-around, back-references and possessive repeats aren't supported: {wanted!r}")
-    try:
-        re.compile(wanted)
-    except re.error as e:
-        raise ValueError(f"bad regular expression {wanted!r}: {e}") from e
-    return lambda name: name.rlike(f"^{wanted}$")
+    """Names that match ^wanted$, with no group around it: of alternatives, the first is bound to the start and the last to the end.
+
+    wanted is in RE2's syntax; what that refuses is an error here, and what
+    the session's engine refuses (a script it doesn't know) as soon as the
+    filter is used.
+    """
+    java = f"(?d)^{translated(wanted)}$"
+
+    def matches(name: Column) -> Column:
+        try:
+            SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(java)
+        except IllegalArgumentException as e:
+            raise BadPattern(f"bad regular expression {wanted!r}: {e}") from None
+        return name.rlike(java)
+
+    return matches
 
 
 def include(so_far: Filter | None, more: Filter) -> Filter:

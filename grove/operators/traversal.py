@@ -70,7 +70,7 @@ def transfers(own: pd.DataFrame) -> pd.DataFrame:
                     steps[i, some[e]] = max(steps[i, some[e]], 1)
             if exits[i]:
                 rows += [(ords[i], e, int(steps[i, k])) for e, k in some.items() if steps[i, k] > 0]
-    return pd.DataFrame(rows, columns=["exit", "entry", "steps"]).astype({"exit": "int64", "entry": "Int64", "steps": "int64"})
+    return pd.DataFrame({c: pd.array([r[i] for r in rows], dtype="Int64") for i, c in enumerate(("exit", "entry", "steps"))})
 
 
 def border_depths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -321,6 +321,18 @@ def ref_group_filter(spark: SparkSession, folder: str) -> DataFrame:
     return refs(spark, folder).select("refname", rule(F.col("refname")).alias("included"))
 
 
+#: Patterns in RE2's syntax, which DuckDB reads as it is.
+DIALECT = (
+    r"refs/(?P<kind>[[:alpha:]]+)/src\d+/[a-z]{2}/[^/]+", r"refs/[a-z&&t]+/.*[02468]", r"refs/\pL+/\p{Latin}+[[:^alpha:]]/.*", r"\Qrefs/heads/\E.*|refs/(?i:TAGS)/.*", r"refs/[]p[u-]+ll?/.*\b(?:1|3)\d*", r"refs/notes{1}/.{1,12}|.*{x}",
+)
+
+
+@query(f"WITH {REFS_SQL} SELECT refname, " + ", ".join(f"regexp_matches(refname, '^{p}$') AS p{i}" for i, p in enumerate(DIALECT)) + " FROM refs")
+def ref_regexp_dialect(spark: SparkSession, folder: str) -> DataFrame:
+    """Named groups, classes by name, brackets and ampersands within classes, properties, quoted text, flags, borders, and braces that count nothing."""
+    return refs(spark, folder).select("refname", *[pattern(p)(F.col("refname")).alias(f"p{i}") for i, p in enumerate(DIALECT)])
+
+
 GROUP_SQL = """CASE WHEN starts_with(refname, 'refs/heads/') THEN 'branches' WHEN starts_with(refname, 'refs/tags/') THEN 'tags' WHEN starts_with(refname, 'refs/remotes/') THEN 'remotes' WHEN starts_with(refname, 'refs/pull/') THEN 'pulls'
   WHEN regexp_matches(refname, '^refs/changes/\\d{2}/\\d+/\\d+$') THEN 'changes' WHEN starts_with(refname, 'refs/notes/') THEN 'notes' WHEN refname = 'refs/stash' THEN 'stash' ELSE 'other' END"""
 

@@ -30,6 +30,7 @@ def test_counters(spark):
     assert [r["s"] for r in shown] == ["1.12 kB", None]
 
 
+# Selections and what they take.
 PREFIXES = [
     ("refs/heads", "refs/heads/master", True), ("refs/heads", "refs/he", False), ("refs/heads", "refs/headstrong", False), ("refs/heads", "refs/tags/refs/heads", False), ("refs/foo", "refs/foo", True),
     ("refs/foo/", "refs/foo/bar", True), ("refs/foo/", "refs/foo", False), ("refs/foo/", "refs/foobar", False), ("refs/stash", "refs/stash", True), ("", "anything", True),
