@@ -1,17 +1,23 @@
-"""Names for the few objects that hold a maximum.
+"""Names of objects.
 
-At most a dozen objects are named, after the maxima are known. Each hop joins
-those still without a name to what refers to them: a tree, else the newest
-commit whose root they are, else the first walked root. A tag isn't followed.
+What refers to an object is a tree, else the newest commit whose root it is,
+else the first walked root; a tag isn't followed. find_links names the dozen
+objects that hold a report's maxima, after these are known, hop by hop.
+named_objects names any number: first referrers make a forest, along which
+paths grow by doubling.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grove.operators.joins import join_one
+from grove.storage import stored
+
+#: Objects that find_links names, one driver round for each hop; a report has fewer maxima.
 MOST = 64
 
 
@@ -32,7 +38,7 @@ def find_links(wanted: dict[str, str], entries: DataFrame, order: DataFrame, com
     referrer of a subtree only if it was read first.
     """
     if len(wanted) > MOST:
-        raise ValueError("too many objects to name")
+        raise ValueError("too many objects to name one by one; use named_objects")
     spark, found, todo = entries.sparkSession, {}, dict(wanted)
     while todo:
         sought = F.broadcast(spark.createDataFrame([(bytearray.fromhex(o), t) for o, t in todo.items()], "oid binary, type string"))
@@ -51,6 +57,71 @@ def find_links(wanted: dict[str, str], entries: DataFrame, order: DataFrame, com
     return found
 
 
+def first_holders(entries: DataFrame, order: DataFrame) -> DataFrame:
+    """(oid, tree, name): the tree that was read first of those that hold a blob, link or subtree, and its first name for it there; a tree holds a subtree only if it was read before it."""
+    place = lambda name: order.select(F.col("oid").alias(name), F.col("ord").alias(f"{name}_ord"))
+    sizes = entries.groupBy("tree").agg(F.count("*").alias("n"))
+    total = entries.count()
+    held = join_one(entries.where("kind <> 'submodule'").select("tree", "pos", "name", "child", "kind"), stored(sizes.join(place("tree"), "tree"), "witness-trees"), ["tree"], "n", total, ["pos", "child"])
+    subtrees = held.where("kind = 'tree'").groupBy("child").agg(F.min_by(F.struct("tree", "name"), F.struct("tree_ord", "pos")).alias("x"), F.min("tree_ord").alias("tree_ord"))
+    subtrees = subtrees.join(place("child"), "child").where("tree_ord < child_ord").drop("tree_ord", "child_ord")
+    others = held.where("kind <> 'tree'").groupBy("child").agg(F.min_by(F.struct("tree", "name"), F.struct("tree_ord", "pos")).alias("x"))
+    return subtrees.unionByName(others).select(F.col("child").alias("oid"), "x.tree", "x.name")
+
+
+def doubled_paths(holders: DataFrame) -> DataFrame:
+    """(oid, top, path): the highest tree over each object of holders (oid, tree, name), and the names on the way down from it.
+
+    Each round joins the paths so far to those of the trees that they begin
+    at, so a depth of n takes log2 n rounds. Trees that hold themselves are
+    an error.
+    """
+    done, open_ = [], stored(holders.select("oid", F.col("tree").alias("top"), F.col("name").alias("path")), "paths")
+    for _ in range(64):
+        used = open_.groupBy("top").agg(F.count("*").alias("n"))
+        upper = open_.select(F.col("oid").alias("top"), F.col("top").alias("next"), F.col("path").alias("before"))
+        if done:
+            upper = upper.unionByName(done[-1].select(F.col("oid").alias("top"), F.col("top").alias("next"), F.col("path").alias("before")))
+        longer = stored(join_one(open_, stored(upper.join(used, "top"), "paths-upper"), ["top"], "n", open_.count(), ["oid"]), "paths-longer")
+        settled = longer.where("next is null").select("oid", "top", "path")
+        done.append(settled if not done else stored(done[-1].unionByName(settled), "paths-done"))
+        open_ = longer.where("next is not null").select("oid", F.col("next").alias("top"), F.concat("before", F.lit(b"/"), "path").alias("path"))
+        if open_.isEmpty():
+            return done[-1]
+    raise ValueError("trees hold themselves")
+
+
+def hexed(oid: str) -> Column:
+    return F.lower(F.hex(oid)).cast("binary")
+
+
+def named_objects(objects: DataFrame, entries: DataFrame, order: DataFrame, commits: DataFrame, roots: DataFrame) -> DataFrame:
+    """(oid, type, path, shown) of objects (oid, type): the name, null if there is none, and what a report shows, the id with the name in brackets.
+
+    The other tables are those of find_links, and names are the same. Bytes
+    that aren't UTF-8 become replacement characters. An object that is listed
+    twice is named twice.
+    """
+    holders = stored(first_holders(entries, order), "witness-holders")
+    paths = doubled_paths(holders)
+    newest = commits.groupBy(F.col("tree").alias("oid")).agg(F.min_by("oid", "ord").alias("commit"))
+    walked = roots.where("walk").groupBy("oid").agg(F.min_by("name", "ord").cast("binary").alias("root"))
+    of_commit = walked.select(F.col("oid").alias("commit"), F.col("root").alias("commit_root"))
+    tops = stored(newest.join(of_commit, "commit", "left").join(walked, "oid", "full"), "witness-tops")
+    said = F.coalesce("commit_root", hexed("commit"))
+    before = tops.select(F.col("oid").alias("top"), F.when(F.col("commit").isNotNull(), F.concat(said, F.lit(b":"))).otherwise(F.concat("root", F.lit(b"/"))).alias("before"))
+    rows = objects.select("oid", "type").withColumn("_row", F.monotonically_increasing_id())
+    held = join_one(paths, stored(paths.groupBy("top").agg(F.count("*").alias("n")).join(before, "top"), "witness-before"), ["top"], "n", paths.count(), ["oid"])
+    held = held.select("oid", F.concat(F.coalesce("before", F.lit(b"???")), "path").alias("inner"))
+    rows = rows.join(held, "oid", "left").join(tops, "oid", "left")
+    root_of = F.when(F.col("type").isin("tree", "blob") & F.col("commit").isNotNull(), F.concat(said, F.lit(b"^{"), F.col("type").cast("binary"), F.lit(b"}")))
+    inner = F.when(F.col("type").isin("tree", "blob"), F.col("inner"))
+    path = F.make_valid_utf8(F.coalesce(inner, root_of, "root").cast("string"))
+    rows = rows.select("oid", "type", path.alias("path"))
+    shown = F.concat(hexed("oid").cast("string"), F.when(F.col("path").isNotNull(), F.concat(F.lit(" ("), "path", F.lit(")"))).otherwise(""))
+    return rows.select("oid", "type", "path", shown.alias("shown"))
+
+
 def best(oid: str, kind: str, links: dict[str, Link]) -> str:
     return path(oid, kind, links) or oid
 

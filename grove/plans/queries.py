@@ -19,7 +19,7 @@ from grove.operators.refgroups import Groups, group_counts, shown
 from grove.operators.statistics import TREE_MAXIMA, blob_statistics, commit_statistics, dangling, metric_rows, reference_statistics, repeated, tag_statistics, tree_statistics
 from grove.operators.traversal import commit_depths, reachable, tag_depths
 from grove.operators.treefold import SIZES, fold_trees
-from grove.operators.witness import find_links, path
+from grove.operators.witness import find_links, named_objects, path
 from grove.plans.report import CATALOGUE, Report, catalogue
 from grove.plans.star import blobs, commits, line_entries, mode_of, order_history, order_sizes, plain_sizes, refs, table, tags, tree_sizes
 from grove.storage import stored
@@ -505,11 +505,41 @@ def footnotes(spark: SparkSession, folder: str) -> DataFrame:
     return used.join(numbered, "note").select("o_orderkey", "note", "citation")
 
 
-@query("SELECT o_orderkey, r_name || ':' || n_name || '/c' || c_custkey || '/o' || o_orderkey AS path FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")
+def code(letter: str, key: str) -> Column:
+    return F.concat(F.lit(letter), F.col(key).cast("string")).cast("binary")
+
+
+def name_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The sales graph as entries, order, commits and roots of a name search: regions down to parts below the one commit of a reference."""
+    steps = [("region", None, "r_regionkey", "r", "", "r_name", None), ("nation", "n_regionkey", "n_nationkey", "n", "", "n_name", "r"), ("customer", "c_nationkey", "c_custkey", "c", "c", "c_custkey", "n"), ("orders", "o_custkey", "o_orderkey", "o", "o", "o_orderkey", "c")]
+    held, order = [], [spark.createDataFrame([(bytearray(b"root"), 0)], "oid binary, ord long")]
+    for i, (name, above, key, letter, head, called, parent) in enumerate(steps):
+        rows = table(spark, folder, name)
+        tree = code(parent, above) if above else F.lit("root").cast("binary")
+        held.append(rows.select(tree.alias("tree"), F.col(key).cast("long").alias("pos"), code(head, called).alias("name"), code(letter, key).alias("child"), F.lit("tree").alias("kind")))
+        order.append(rows.select(code(letter, key).alias("oid"), (F.lit(i + 1) * F.lit(1 << 40) + F.col(key)).alias("ord")))
+    lines = table(spark, folder, "lineitem").where("l_returnflag = 'N'")
+    held.append(lines.select(code("o", "l_orderkey").alias("tree"), F.col("l_linenumber").cast("long").alias("pos"), code("l", "l_linenumber").alias("name"), code("p", "l_partkey").alias("child"), F.lit("blob").alias("kind")))
+    order.append(table(spark, folder, "part").select(code("p", "p_partkey").alias("oid"), (F.lit(9 << 40) + F.col("p_partkey")).alias("ord")))
+    head = bytearray(b"commit")
+    commits = spark.createDataFrame([(head, 1, bytearray(b"root"))], "oid binary, ord long, tree binary")
+    return reduce(DataFrame.union, held), reduce(DataFrame.union, order), commits, spark.createDataFrame([(1, "refs/heads/main", head, True)], "ord long, name string, oid binary, walk boolean")
+
+
+@query("SELECT o_orderkey, 'refs/heads/main:' || r_name || '/' || n_name || '/c' || c_custkey || '/o' || o_orderkey AS path FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")
 def witness_paths(spark: SparkSession, folder: str) -> DataFrame:
-    """Names of trees by hops to the first tree that holds them, up to a named root."""
-    hop = table(spark, folder, "orders").join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return hop.select("o_orderkey", F.concat("r_name", F.lit(":"), F.concat_ws("/", "n_name", F.concat(F.lit("c"), F.col("c_custkey").cast("string")), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")))).alias("path"))
+    """The names of all orders, by paths that double along first referrers."""
+    orders = table(spark, folder, "orders").select(code("o", "o_orderkey").alias("oid"), F.lit("tree").alias("type"))
+    named = named_objects(orders, *name_tables(spark, folder))
+    return named.select(F.substring(F.col("oid").cast("string"), 2, 20).cast("bigint").alias("o_orderkey"), "path")
+
+
+@query("WITH used AS (SELECT p_partkey, min(l_orderkey) AS first_order FROM part JOIN lineitem ON l_partkey = p_partkey AND l_returnflag = 'N' GROUP BY p_partkey) SELECT p_partkey, 'refs/heads/main:' || r_name || '/' || n_name || '/c' || c_custkey || '/o' || o_orderkey || '/l' || (SELECT min(l_linenumber) FROM lineitem WHERE l_orderkey = first_order AND l_partkey = p_partkey AND l_returnflag = 'N') AS path FROM part LEFT JOIN used USING (p_partkey) LEFT JOIN orders ON o_orderkey = first_order LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey")
+def witness_blob_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """The names of all parts, null for those that no order holds as a blob; of many orders the first counts."""
+    parts = table(spark, folder, "part").select(code("p", "p_partkey").alias("oid"), F.lit("blob").alias("type"))
+    named = named_objects(parts, *name_tables(spark, folder))
+    return named.select(F.substring(F.col("oid").cast("string"), 2, 20).cast("bigint").alias("p_partkey"), "path")
 
 
 def sales_report(spark: SparkSession, folder: str, names: str = "none") -> Report:
@@ -550,22 +580,11 @@ def report_footnotes(spark: SparkSession, folder: str) -> DataFrame:
 @query("WITH named AS (SELECT o_orderkey, 'refs/heads/main:' || r_name || '/' || n_name || '/c' || c_custkey || '/o' || o_orderkey AS path, o_totalprice FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey), tops AS (SELECT 'o' || o_orderkey AS object, path FROM named ORDER BY o_totalprice DESC, o_orderkey LIMIT 20), used AS (SELECT p_partkey, min(p_size) AS size, min(l_orderkey) AS first_order FROM part JOIN lineitem ON l_partkey = p_partkey AND l_returnflag = 'N' GROUP BY p_partkey ORDER BY size DESC, p_partkey LIMIT 20), parts AS (SELECT 'p' || p_partkey AS object, path || '/l' || (SELECT min(l_linenumber) FROM lineitem WHERE l_orderkey = first_order AND l_partkey = p_partkey AND l_returnflag = 'N') AS path FROM used JOIN named ON o_orderkey = first_order) SELECT object, path FROM tops UNION ALL SELECT object, path FROM parts")
 def witness_names(spark: SparkSession, folder: str) -> DataFrame:
     """Names of the dearest orders and of the largest parts in use, by hops to the first tree that holds each, up to the commit of a reference."""
-    code = lambda letter, key: F.concat(F.lit(letter), F.col(key).cast("string")).cast("binary")
-    steps = [("region", None, "r_regionkey", "r", "", "r_name", None), ("nation", "n_regionkey", "n_nationkey", "n", "", "n_name", "r"), ("customer", "c_nationkey", "c_custkey", "c", "c", "c_custkey", "n"), ("orders", "o_custkey", "o_orderkey", "o", "o", "o_orderkey", "c")]
-    held, order = [], [spark.createDataFrame([(bytearray(b"root"), 0)], "oid binary, ord long")]
-    for i, (name, above, key, letter, head, called, parent) in enumerate(steps):
-        rows = table(spark, folder, name)
-        tree = code(parent, above) if above else F.lit("root").cast("binary")
-        held.append(rows.select(tree.alias("tree"), F.col(key).cast("long").alias("pos"), code(head, called).alias("name"), code(letter, key).alias("child"), F.lit("tree").alias("kind")))
-        order.append(rows.select(code(letter, key).alias("oid"), (F.lit(i + 1) * F.lit(1 << 40) + F.col(key)).alias("ord")))
     lines = table(spark, folder, "lineitem").where("l_returnflag = 'N'")
-    held.append(lines.select(code("o", "l_orderkey").alias("tree"), F.col("l_linenumber").cast("long").alias("pos"), code("l", "l_linenumber").alias("name"), code("p", "l_partkey").alias("child"), F.lit("blob").alias("kind")))
-    order.append(table(spark, folder, "part").select(code("p", "p_partkey").alias("oid"), (F.lit(9 << 40) + F.col("p_partkey")).alias("ord")))
     dearest = table(spark, folder, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20).select(F.hex(code("o", "o_orderkey")).alias("oid"), F.lit("tree").alias("kind"))
     used = table(spark, folder, "part").join(lines, F.col("l_partkey") == F.col("p_partkey"), "left_semi").orderBy(F.desc("p_size"), "p_partkey").limit(20)
     wanted = {r["oid"].lower(): r["kind"] for r in dearest.union(used.select(F.hex(code("p", "p_partkey")), F.lit("blob"))).collect()}
-    head = bytearray(b"commit")
-    links = find_links(wanted, reduce(DataFrame.union, held), reduce(DataFrame.union, order), spark.createDataFrame([(head, 1, bytearray(b"root"))], "oid binary, ord long, tree binary"), spark.createDataFrame([(1, "refs/heads/main", head, True)], "ord long, name string, oid binary, walk boolean"))
+    links = find_links(wanted, *name_tables(spark, folder))
     return spark.createDataFrame([(bytes.fromhex(o).decode(), path(o, kind, links)) for o, kind in wanted.items()], "object string, path string")
 
 
