@@ -19,7 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, join_one, numbered, stored
+from grove.operators.joins import join_one
+
+from .common import SPACE_WORD, numbered, stored
 
 #: Turns of a row of the table that rounds read.
 CHUNK = 64

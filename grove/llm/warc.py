@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 from pyspark.sql.types import StructField, StructType
 
+from grove.operators.joins import join_one
 from grove.storage import shared_folder
 
-from .common import join_one, map_rows, stored
+from .common import map_rows, stored
 
 #: The first three bytes of every member: gzip's magic and deflate.
 MAGIC = b"\x1f\x8b\x08"

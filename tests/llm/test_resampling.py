@@ -7,7 +7,7 @@ from zlib import crc32
 
 import pytest
 
-from grove.llm.common import join_one, numbered
+from grove.llm.common import numbered
 from grove.llm.common import stored as put
 from grove.llm.resampling import CountTrie, GainTrie, resample, words_of
 
@@ -88,11 +88,3 @@ def test_numbers_over_ranges(spark):
     for g in {r[0] for r in rows}:
         own = sorted((r["number"], place(r["x"])) for r in found if r["g"] == g)
         assert own == list(enumerate(sorted(place(x) for h, x in rows if h == g)))
-
-
-def test_join_with_frequent_keys(spark):
-    rows = spark.createDataFrame([(i, 1 if i % 3 else i) for i in range(3000)] + [(1, None)], "id long, k long")
-    table = spark.createDataFrame([(1, 2000, "hot"), (9, 1, "cold")], "k long, n long, name string")
-    found = join_one(rows, table, ["k"], "n", 3000, ["id"])
-    assert found.columns == ["id", "k", "name"] and found.count() == 3001
-    assert {r["name"]: r["count"] for r in found.groupBy("name").count().collect()} == {"hot": 2000, "cold": 1, None: 1000}
