@@ -4,7 +4,10 @@
     spark.read.format("git").option("path", p).option("table", "refs").load()
 
 Tables: refs, objects (in the order of git's own walk), contents (of trees,
-commits and tags; blobs are never read). The source finds a part's share of
+commits and tags; blobs are never read). With
+spark.sql.python.filterPushdown.enabled and the option pushdown, conditions on the start or the whole
+of refname become patterns for git, which then lists no other references;
+ord counts what is listed. The source finds a part's share of
 contents by a walk of its own; read_objects and read_contents, which a scan
 uses, walk once and deal the stored ids out.
 """
@@ -23,7 +26,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith
 
 SCHEMAS = {
     "refs": "ord long, refname string, type string, size long, oid binary",
@@ -35,6 +38,7 @@ ARROW = {
     "objects": pa.schema([("ord", pa.int64()), ("oid", pa.binary()), ("type", pa.string()), ("size", pa.decimal128(20, 0))]),
     "contents": pa.schema([("oid", pa.binary()), ("type", pa.string()), ("data", pa.binary())]),
 }
+PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 BATCH, BATCH_BYTES = 10_000, 1 << 24
 
 
@@ -116,12 +120,13 @@ class Repository:
             raise ValueError(f"bad setting {key}: {done.stderr.decode().strip()}")
         return done.stdout.decode().rstrip("\n")
 
-    def references(self) -> Iterator[tuple[int, str, str, int, bytes]]:
-        for i, line in enumerate(self.lines("for-each-ref", "--format=%(objectname) %(objecttype) %(objectsize) %(refname)")):
+    def references(self, patterns: Iterable[str] = ()) -> Iterator[tuple[int, str, str, int, bytes]]:
+        """The references, or those that match one of git's patterns. Bytes of a name that aren't UTF-8 stand as \\xff, which no other name has, as backslashes aren't allowed in names."""
+        for i, line in enumerate(self.lines("for-each-ref", "--format=%(objectname) %(objecttype) %(objectsize) %(refname)", *patterns)):
             words = line.split(b" ")
             if len(words) != 4 or int(words[2]) >= 1 << 32:
                 raise ValueError(f"bad reference line: {line!r}")
-            yield i, words[3].decode("utf-8", "replace"), words[1].decode(), int(words[2]), bytes.fromhex(words[0].decode())
+            yield i, words[3].decode("utf-8", "backslashreplace"), words[1].decode(), int(words[2]), bytes.fromhex(words[0].decode())
 
     def walk(self, roots: Iterable[str]) -> Iterator[bytes]:
         """Hexadecimal ids of all objects that the roots reach, each once, newest commits first."""
@@ -164,11 +169,30 @@ class Share(InputPartition):
         self.part, self.parts = part, parts
 
 
+def listed_by(condition: Filter) -> list[str]:
+    """Patterns of git's that list all names that a condition takes; none if it isn't about their start."""
+    match condition:
+        case EqualTo(value=value):
+            starts = [value]
+        case In(value=values):
+            starts = list(values)
+        case StringStartsWith(value=value):
+            starts = [value] if value.endswith("/") else [f"{glob_text(value)}*", f"{glob_text(value)}*/**"]
+        case _:
+            return []
+    return starts if all(starts) and all(isinstance(x, str) and "\\x" not in x for x in starts) else []
+
+
+def glob_text(text: str) -> str:
+    return "".join(f"\\{c}" if c in "*?[\\" else c for c in text)
+
+
 class GitReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.table = options["path"], options.get("table", "refs")
         self.roots = [r for r in options.get("roots", "").split(",") if r]
         self.parts = int(options.get("partitions", "4")) if self.table == "contents" else 1
+        self.patterns: list[str] = []
 
     def partitions(self) -> list[Share]:
         return [Share(i, self.parts) for i in range(self.parts)]
@@ -179,7 +203,7 @@ class GitReader(DataSourceReader):
     def rows(self, share: Share) -> Iterator[tuple]:
         repository = Repository.at(self.path)
         if self.table == "refs":
-            yield from repository.references()
+            yield from repository.references(self.patterns)
         elif self.table == "objects":
             for i, (oid, kind, size) in enumerate(repository.headers(self.walked(repository))):
                 yield i, oid, kind, Decimal(size)
@@ -191,6 +215,17 @@ class GitReader(DataSourceReader):
         yield from batched(self.rows(partition), self.table)
 
 
+class PushingReader(GitReader):
+    """A reader that Spark tells its conditions; it may only be one where that is switched on."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
+        """Keeps the first condition on names as patterns; since these are coarser, Spark checks every condition again."""
+        for f in filters:
+            if self.table == "refs" and not self.patterns and getattr(f, "attribute", None) == ("refname",):
+                self.patterns = listed_by(f)
+            yield f
+
+
 def batched(rows: Iterator[tuple], table: str) -> Iterator[pa.RecordBatch]:
     """Arrow batches of bounded rows and, for contents, bytes."""
     held, size = [], 0
@@ -209,7 +244,7 @@ def batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 class GitSource(DataSource):
-    """Options: path; table (refs, objects, contents); roots, comma-separated; partitions of contents."""
+    """Options: path; table (refs, objects, contents); roots, comma-separated; partitions of contents; pushdown, true where Spark's setting is."""
 
     @classmethod
     def name(cls) -> str:
@@ -220,12 +255,12 @@ class GitSource(DataSource):
         return SCHEMAS[self.options.get("table", "refs")]
 
     def reader(self, schema) -> GitReader:
-        return GitReader(dict(self.options))
+        return (PushingReader if self.options.get("pushdown") == "true" else GitReader)(dict(self.options))
 
 
 def read(spark: SparkSession, path: str, table: str, roots: list[str] = (), partitions: int = 4):
     spark.dataSource.register(GitSource)
-    return spark.read.format("git").option("path", path).option("table", table).option("roots", ",".join(roots)).option("partitions", str(partitions)).load()
+    return spark.read.format("git").option("path", path).option("table", table).option("pushdown", spark.conf.get(PUSHDOWN)).option("roots", ",".join(roots)).option("partitions", str(partitions)).load()
 
 
 def read_objects(roots: DataFrame, path: str) -> DataFrame:

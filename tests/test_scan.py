@@ -5,7 +5,7 @@ import pytest
 from grove.cli import main, parser, spelled_out
 from grove.operators.witness import path
 from grove.plans.scan import scan_repository
-from grove.sources.git import Repository
+from grove.sources.git import Repository, read
 
 
 def bomb(repo, depth=10, breadth=10):
@@ -133,3 +133,56 @@ def test_options_leave_roots_alone():
     assert args.rules == [("branches", "true"), ("no-tags", "false"), ("include", "refs/x")]
     assert parser().parse_intermixed_args(spelled_out(["--critical"])).threshold == 30
     assert parser().parse_intermixed_args(spelled_out(["--verbose=false"])).threshold == 1
+
+
+@pytest.fixture
+def pushdown(spark):
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    yield
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_names_pushed_to_git(spark, git_repo, pushdown):
+    """ord counts the lines that git lists, so it tells what was read."""
+    one = git_repo.commit(git_repo.tree())
+    names = ["refs/heads/main", "refs/heads/ma", "refs/heads/mb/x/y", "refs/heads/mb1", "refs/heads/other", "refs/tags/v1", "refs/tags/v2", "refs/tags/w"]
+    for name in names:
+        git_repo.ref(name, one)
+    refs = read(spark, git_repo.path, "refs")
+    cases = [
+        (refs.refname.startswith("refs/tags/"), ["refs/tags/v1", "refs/tags/v2", "refs/tags/w"]), (refs.refname.startswith("refs/heads/mb"), ["refs/heads/mb/x/y", "refs/heads/mb1"]),
+        (refs.refname == "refs/heads/ma", ["refs/heads/ma"]), (refs.refname.isin("refs/tags/w", "refs/heads/main", "refs/none"), ["refs/heads/main", "refs/tags/w"]),
+        (refs.refname.startswith("refs/heads/m") & (refs.type == "commit"), [n for n in names if n.startswith("refs/heads/m")]), (refs.refname.startswith("refs/h*"), []),
+    ]
+    for condition, wanted in cases:
+        found = refs.where(condition).orderBy("ord").collect()
+        assert [r["refname"] for r in found] == sorted(wanted)
+        assert [r["ord"] for r in found] == list(range(len(wanted)))
+    assert [r["ord"] for r in refs.where(refs.refname.endswith("2")).collect()] == [names.index("refs/tags/v2")]
+
+
+def test_names_that_are_not_text(spark, git_repo):
+    one = git_repo.commit(git_repo.tree())
+    for name in (b"refs/heads/\xff", b"refs/heads/\xfe", "refs/heads/é".encode()):
+        with open(git_repo.path.encode() + b"/.git/packed-refs", "ab") as f:
+            f.write(one.encode() + b" " + name + b"\n")
+    assert {r["refname"] for r in read(spark, git_repo.path, "refs").collect()} == {"refs/heads/\\xff", "refs/heads/\\xfe", "refs/heads/é"}
+
+
+def test_sub_directory(spark, git_repo):
+    file = git_repo.put("blob", b"content\n")
+    git_repo.ref("refs/heads/master", git_repo.commit(git_repo.tree(("40000", "subdir", git_repo.tree(("100644", "file.txt", file))))))
+    report, _ = scan_repository(spark, git_repo.path)
+    assert report.values["max_path_depth"] == 2
+
+
+def test_submodule(spark, git_repo, tmp_path):
+    """A submodule counts where it hangs, and its own repository by itself."""
+    inner = type(git_repo)(tmp_path / "inner")
+    same = inner.put("blob", b"same\n")
+    tip = inner.commit(inner.tree(("100644", "a.txt", same), ("100644", "b.txt", same), ("100644", "c.txt", inner.put("blob", b"other\n"))))
+    inner.ref("refs/heads/master", tip)
+    tree = git_repo.tree(("100644", ".gitmodules", git_repo.put("blob", b"[submodule]\n")), ("100644", "mainfile.txt", git_repo.put("blob", b"main\n")), ("160000", "sub", tip))
+    git_repo.ref("refs/heads/master", git_repo.commit(tree))
+    values = [scan_repository(spark, r.path)[0].values for r in (git_repo, inner)]
+    assert [(v["unique_blob_count"], v["max_expanded_blob_count"], v["max_expanded_submodule_count"]) for v in values] == [(2, 2, 1), (2, 3, 0)]
