@@ -28,6 +28,7 @@ from .common import map_rows
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|</(?![a-zA-Z])[^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?+)*+)(?:>|\Z)", re.DOTALL)
 ATTRIBUTE = re.compile(r"([^\s=/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"?+|'([^']*+)'?+|([^\s\"'>][^\s>]*+)))?+")
 TOKEN = re.compile(r"[a-z]+")
+NAME = re.compile(r"\S+")
 SPACE = re.compile(r"\s+")
 OPEN, CLOSE = "\ue000", "\ue001"
 MARKS = re.compile(f"([{OPEN}{CLOSE}])")
@@ -57,6 +58,7 @@ BAD_WORDS = frozenset(
     "cookie cookies consent gdpr notice notices alert popup modal overlay toolbar breadcrumb breadcrumbs crumbs pagination pager share sharing social related recommended more tags taglist meta byline login signup subscribe newsletter search form "
     "comment comments respond reply replies disqus discussion feedback skip hidden contentinfo complementary".split()
 )
+WHOLE_BAD = frozenset(f"={w}" for w in BAD_WORDS)
 COMMENT_WORDS = frozenset("comment comments respond reply replies disqus discussion feedback".split())
 AD_WORDS = frozenset("ad ads adv advert advertisement banner promo sponsor sponsored cookie consent gdpr notice popup modal overlay alert".split())
 
@@ -72,12 +74,15 @@ class Node:
 
 
 def attribute_words(attributes: str) -> frozenset[str]:
+    """Words of an element's attributes; "=" stands before one that is, with digits at most, a whole name."""
     found = []
     for name, *values in ATTRIBUTE.findall(attributes):
         if name.lower() in ("class", "id", "role", "itemprop", "aria-label"):
-            found += TOKEN.findall("".join(values).lower())
+            for part in NAME.findall("".join(values).lower()):
+                words = TOKEN.findall(part)
+                found += [f"={words[0]}", *words] if len(words) == 1 else words
         elif name.lower() == "hidden":
-            found.append("hidden")
+            found += ["=hidden", "hidden"]
     return frozenset(found)
 
 
@@ -166,7 +171,7 @@ def parse(source: str) -> Node:
             elements.end(tag)
             continue
         elements.before(tag)
-        child = Node(tag, attribute_words(m[3]) if m[3] else frozenset(), elements.top)
+        child = Node(tag, attribute_words(m[3]) if m[3] and tag not in ("html", "body") else frozenset(), elements.top)
         child.gone |= tag == "option" and elements.last(*CONTROLS) > 0
         elements.top.children.append(child)
         if tag in RAW_END:
@@ -182,7 +187,12 @@ def parse(source: str) -> Node:
 
 
 def describe(root: Node) -> tuple[list[Node], list[list[float]]]:
-    """The block nodes in page order with their features."""
+    """The block nodes in page order with their features.
+
+    Words of the attributes of html and body tell nothing of what is below, and
+    neither do those that speak against a node which has half of the page's text
+    or more; it is then its parts that have to tell.
+    """
     order, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -206,20 +216,24 @@ def describe(root: Node) -> tuple[list[Node], list[list[float]]]:
         for d, x in zip((chars, links, tags, ends, commas, blocks), own):
             d[id(node)] = x
     total = max(1, chars[id(root)])
-    nodes, rows, around, inside = [], [], {}, {id(root): (0, 0, 0, 0.0)}
+    nodes, rows, around, inside = [], [], {}, {id(root): (0, 0, 0, 0, 0.0)}
+    said = {id(root): frozenset()}
     for node in order[1:]:
         if node.tag == "#" or node.gone or id(node.parent) not in inside:
             continue
-        good, bad, article, form = inside[id(node.parent)]
-        good, bad = good + bool(node.words & GOOD_WORDS), bad + bool(node.words & BAD_WORDS or node.tag in ("nav", "aside", "footer"))
+        good, bad, whole, article, form = inside[id(node.parent)]
+        words = node.words if 2 * chars[id(node)] < total else node.words & GOOD_WORDS
+        said[id(node)] = words
+        good, bad = good + bool(words & GOOD_WORDS), bad + bool(words & BAD_WORDS or node.tag in ("nav", "aside", "footer"))
+        whole = whole + bool(words & WHOLE_BAD or node.tag in ("nav", "aside", "footer"))
         form = max(chars[id(node)], 1) / total if node.tag == "form" else form
-        inside[id(node)] = (good, bad, article + (node.tag in ("article", "main")), form)
+        inside[id(node)] = (good, bad, whole, article + (node.tag in ("article", "main")), form)
         if node.tag not in BLOCK:
             continue
         if id(node.parent) not in around:
             siblings = [s for s in node.parent.children if s.tag != "#"]
-            around[id(node.parent)] = len(siblings), {id(s): i for i, s in enumerate(siblings)}, sum(chars[id(s)] for s in siblings), Counter(s.tag for s in siblings)
-        n, spots, beside, kinds = around[id(node.parent)]
+            around[id(node.parent)] = len(siblings), {id(s): i for i, s in enumerate(siblings)}, sum(chars[id(s)] for s in siblings), Counter(s.tag for s in siblings), [*(chars[id(s)] / total for s in siblings[1:]), 0.0]
+        n, spots, beside, kinds, behind = around[id(node.parent)]
         spot, c = spots[id(node)], chars[id(node)]
         articles = kinds["article"] + kinds["main"] - (node.tag in ("article", "main"))
         nodes.append(node)
@@ -227,9 +241,9 @@ def describe(root: Node) -> tuple[list[Node], list[list[float]]]:
             float(node.depth), math.log1p(c), math.log1p(tags[id(node)]), c / tags[id(node)] / 100, links[id(node)] / max(1, c), c / total,
             ends[id(node)] / max(1, c) * 100, commas[id(node)] / max(1, c) * 100, math.log1p(blocks[id(node)]),
             math.log1p(n), spot / n, c / max(1, beside), kinds[node.tag] / n,
-            float(bool(node.words & GOOD_WORDS)), float(bool(node.words & BAD_WORDS)), float(bool(node.words & AD_WORDS)), float(bool(node.words & COMMENT_WORDS)),
-            float(min(good, 3)), float(min(bad, 3)), float(article > 0),
-            float(node.tag in ("article", "main")), float(node.tag in ("nav", "aside", "footer")), float(node.tag == "header"), float(node.tag in ("p", "blockquote", "pre")), float(node.tag[1] if node.tag in HEADINGS else 0), float(bool(node.parent.words & BAD_WORDS)),
+            float(bool(words & GOOD_WORDS)), float(bool(words & BAD_WORDS)), float(bool(words & AD_WORDS)), float(bool(words & COMMENT_WORDS)), float(bool(words & WHOLE_BAD)),
+            float(min(good, 3)), float(min(bad, 3)), float(min(whole, 3)), float(article > 0),
+            float(node.tag in ("article", "main")), float(node.tag in ("nav", "aside", "footer")), float(node.tag == "header"), float(node.tag in ("p", "blockquote", "pre")), float(node.tag[1] if node.tag in HEADINGS else 0), float(bool(said[id(node.parent)] & BAD_WORDS)), behind[spot],
             float(node.tag in ("ul", "ol", "li", "dl", "dt", "dd")), float(articles > 0),
             float(form > 0), form, math.log1p(fields[id(node)]), fields[id(node)] / max(1, c) * 100,
         ])
@@ -283,6 +297,9 @@ def main_text(root: Node) -> str:
     return "\n".join(blocks)
 
 
+ANY_WORDS = sorted(GOOD_WORDS | BAD_WORDS)
+
+
 class Layouts:
     """Seeded made-up pages whose block nodes are known to hold main text or not; a share of them, bare, has no class or id at all."""
 
@@ -302,6 +319,17 @@ class Layouts:
     def links(self, low: int = 3, high: int = 12) -> str:
         return "<ul>" + "".join(f'<li><a href="/{i}">{self.words(1, 3)}</a></li>' for i in range(self.draw.randint(low, high))) + "</ul>"
 
+    def theme(self, named: str = "") -> str:
+        """Attributes as themes put them on containers of anything, main text included: names of all kinds, alone and in compounds."""
+        d = self.draw
+        if d.random() < 0.4 and not named:
+            return ""
+        some = lambda: d.choice(("x", "col", "has", "with", "is", "site", "single", "type", "layout", "category", "tag", "js", "no", "open", "fixed", "grid", self.words(1, 1)))
+        kinds = (lambda: some(), lambda: f"{some()}-{d.choice(ANY_WORDS)}", lambda: f"{d.choice(ANY_WORDS)}-{some()}", lambda: f"{some()}-{d.randint(1, 900)}", lambda: f"{some()}-{some()}-{d.choice(ANY_WORDS)}")
+        names = [*([named] if named else []), *(d.choice(kinds)() for _ in range(d.randint(1, 5)))]
+        d.shuffle(names)
+        return f' {"class" if d.random() < 0.8 else "id"}="{" ".join(names)}"'
+
     def boilerplate(self, where: str) -> str:
         d = self.draw
         top = [
@@ -328,9 +356,9 @@ class Layouts:
         ]
         return d.choice(either if d.random() < (0.65 if where == "inside" else 0.17) else top if where == "top" else below)()
 
-    def article(self) -> str:
+    def article(self, headed: bool = True) -> str:
         d, parts = self.draw, []
-        if d.random() < 0.8:
+        if headed and d.random() < 0.8:
             parts.append(f"<h1>{self.words(2, 10)}</h1>")
         for _ in range(d.randint(1, 14)):
             kind = d.random()
@@ -349,13 +377,26 @@ class Layouts:
         d = self.draw
         tops = "".join(self.boilerplate("top") for _ in range(d.randint(0, 4)))
         below = "".join(self.boilerplate("below") for _ in range(d.randint(0, 4)))
-        opened, closed = d.choice((("<article>", "</article>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div id="main"><article>', "</article></div>"), ("<div>", "</div>"), ('<section class="post-body">', "</section>")))
-        article = f"{opened}{OPEN}{self.article()}{CLOSE}{closed}"
+        opened, closed = d.choice((("<article>", "</article>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div id="main"><article>', "</article></div>"), ("<div>", "</div>"), ('<section class="post-body">', "</section>"), ("", "")))
+        if opened and d.random() < 0.35:
+            tag = d.choice(("article", "main", "div", "section"))
+            opened, closed = f"<{tag}{self.theme(d.choice(('', '', 'post', 'entry', 'hentry')))}>", f"</{tag}>"
+        headline = ""
+        if d.random() < 0.2:
+            title = f"{OPEN}<h1>{self.words(2, 10)}</h1>{CLOSE}"
+            headline = d.choice((title, f'<div class="{d.choice(("title", "headline", "entry-title", "page-title"))}">{title}</div>', f"<div>{title}</div>"))
+        article = f"{headline}{opened}{OPEN}{self.article(not headline)}{CLOSE}{closed}"
         form = f'<form method="post" id="{d.choice(("form1", "aspnetForm", "main"))}">' + "".join(f'<input type="hidden" name="{i}">' for i in range(d.randint(0, 4)))
         around = d.random()
         article = f"{form}{article}</form>" if around < 0.06 else article
+        for _ in range(d.choice((0, 0, 0, 1, 2))):
+            tag = d.choice(("div", "div", "section", "main"))
+            beside = self.boilerplate("below") if d.random() < 0.4 else ""
+            article = f"<{tag}{self.theme()}>{article}{beside}</{tag}>"
         body = f"{form}{tops}{article}{below}</form>" if 0.06 < around < 0.15 else f"{tops}{article}{below}"
-        page = f"<!DOCTYPE html><html><head><title>{self.words(2, 8)}</title><style>p{{}}</style></head><body>{body}</body></html>"
+        for _ in range(d.choice((0, 0, 1))):
+            body = f"<div{self.theme()}>{body}</div>"
+        page = f"<!DOCTYPE html><html><head><title>{self.words(2, 8)}</title><style>p{{}}</style></head><body{self.theme()}>{body}</body></html>"
         return UNMARK.sub("", page) if d.random() < self.bare else page
 
     def rows(self, pages: int) -> Iterator[tuple[list[float], float]]:
@@ -423,10 +464,24 @@ class Trees:
         return 2 * self.value[at] @ np.array(self.weights)
 
 
+#: Tasks that fit the trees.
+TASKS = 4
+
+#: Fitted trees by application, so that a session fits once.
+_fitted: dict[str, Trees] = {}
+
+
+def session_trees(spark: SparkSession) -> Trees:
+    app = spark.sparkContext.applicationId
+    if app not in _fitted:
+        _fitted[app] = train_trees(spark)
+    return _fitted[app]
+
+
 def train_trees(spark: SparkSession, pages: int = 900, rounds: int = 40, depth: int = 4, seed: int = 11) -> Trees:
     """Fitted on `pages` made-up pages, a bounded sample that doesn't depend on the table."""
     rows = [(y, Vectors.dense(x)) for x, y in Layouts(seed).rows(pages)]
-    frame = spark.createDataFrame(rows, ["label", "features"]).coalesce(1)
+    frame = spark.createDataFrame(rows, ["label", "features"]).coalesce(TASKS)
     return Trees(GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=seed, cacheNodeIds=False).fit(frame))
 
 
@@ -449,7 +504,7 @@ def extract_pages(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...
     one without main text, has an empty text; a page without elements is all
     main text; repeated rows are read one by one; an empty table gives no rows.
     """
-    trees = trees or train_trees(pages.sparkSession)
+    trees = trees or session_trees(pages.sparkSession)
 
     def setup() -> Callable[[str | None], tuple]:
         def row(source):

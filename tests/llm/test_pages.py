@@ -6,7 +6,8 @@ import time
 import pyarrow.parquet as pq
 import pytest
 
-from grove.llm.html import extract, parse
+from grove.llm import html as html_module
+from grove.llm.html import extract, extract_pages, parse
 
 ARTICLE = "<article><h1>Head line</h1><p>Some text, with words. And more of it here.</p><p>Second paragraph, which has some words too.</p></article>"
 WHOLE = "Head line\nSome text, with words. And more of it here.\nSecond paragraph, which has some words too."
@@ -33,6 +34,41 @@ def test_articles_come_out_whole(trees, body):
     assert extract(page(body), trees) == WHOLE
 
 
+LONG = "".join(f"<p>Paragraph number {i}, with some words in it. And more.</p>" for i in range(30))
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        *[page(ARTICLE).replace("<body>", f'<body class="{x}">') for x in ("home page has-sidebar", "nav-open", "single-post menu-hidden", "header-sticky", "home page single")],
+        page(ARTICLE).replace("<html>", '<html class="comments-open">'),
+        page(ARTICLE).replace("<body>", '<body><div class="page header-fixed">').replace("</body>", "</div></body>"),
+        *[page(f'<div {x}">{ARTICLE}</div>') for x in ('class="content-with-sidebar', 'id="notice-board', 'class="wrapper nav-open ad-free')],
+        page(ARTICLE.replace("<article>", '<div id="comment-policy" class="post">').replace("</article>", "</div>")),
+        page(ARTICLE.replace("<article>", "").replace("</article>", "")),
+        page('<div class="title"><h1>Head line</h1></div>' + ARTICLE.replace("<h1>Head line</h1>", "")),
+        page(f'<div class="wrapper">{ARTICLE}<div class="sidebar"><h3>More</h3><ul><li><a href=/c>C and more</a></ul></div></div>'),
+        page(ARTICLE + '<section id="comments"><h3>Comments</h3>' + "".join(f'<div class="comment"><p>I think that this is number {i}, and a good one. Really.</p></div>' for i in range(9)) + "</section>"),
+    ],
+)
+def test_no_name_costs_a_page(trees, source):
+    """Names as themes give them to containers of everything, bad words among them."""
+    assert extract(source, trees) == WHOLE
+
+
+@pytest.mark.parametrize("container", ['main class="two-col-sidebar"', 'article class="post tag-x category-social"', 'div class="has-ads related-off"'])
+def test_no_name_costs_a_long_article(trees, container):
+    assert extract(page(f"<{container}>{LONG}</{container.split()[0]}>"), trees).count("\n") == 29
+
+
+def test_session_fits_once(spark, trees, monkeypatch):
+    made = []
+    monkeypatch.setattr(html_module, "train_trees", lambda spark: made.append(1) or trees)
+    monkeypatch.setattr(html_module, "_fitted", {})
+    df = spark.createDataFrame([(1, "u", page(ARTICLE))], "page_id long, url string, html string")
+    assert [r["text"] for _ in range(2) for r in extract_pages(df).collect()] == [WHOLE] * 2 and made == [1]
+
+
 def test_nothing_is_lost_to_open_controls_and_heads(trees):
     assert "Second paragraph" in extract(page(ARTICLE.replace("<p>Second", "<button>open<p>Second")), trees)
     assert extract(page(ARTICLE.replace("Some", "<math><mi>x</mi></math> Some")), trees) == WHOLE.replace("Some", "x Some")
