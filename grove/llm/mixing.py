@@ -72,10 +72,10 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, target: float, max_repea
     """Whole passes over a source, and the number of documents of each length to add to them.
 
     Their words come as near to the target as they can, above it too, in
-    sources whose dynamic program fits WHOLE_BITS. In all others they miss it
-    by at most half the length of the shortest document that wasn't in the
-    plan yet when it was filled up; a plan that has all of them falls short
-    by what no document can add.
+    sources whose dynamic program fits WHOLE_BITS. In all others no exchange of
+    one document for another, and none that is added or left out, comes
+    nearer: with n different lengths in the plan and beside it that is about
+    the longest one's length over n squared.
     """
     total = int((lengths * counts).sum())
     extra = np.zeros(len(lengths), dtype=np.int64)
@@ -115,12 +115,30 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, target: float, max_repea
         added = knapsack(sizes, [a - b for a, b in zip(have, left)], missed(left), above=True)
         return [a + b for a, b in zip(left, added)]
 
+    def swapped(took: list[int]) -> list[int]:
+        """took with documents exchanged one for one (or added, or left out) as long as that comes nearer; each exchange is the best of all."""
+        took, own = list(took), np.array(sizes, dtype=np.int64)
+        while lacks := missed(took):
+            now = np.array(took)
+            out, into = np.unique(np.append(own[now > 0], 0)), np.unique(np.append(own[(now < counts) & (own > 0)], 0))
+            wanted = into - lacks
+            at = np.searchsorted(out, wanted).clip(1, len(out) - 1) if len(out) > 1 else np.zeros(len(into), np.int64)
+            nearest = np.where(np.abs(out[at] - wanted) < np.abs(out[at - 1] - wanted), out[at], out[at - 1])
+            k = int(np.abs(wanted - nearest).argmin())
+            if abs(int(wanted[k] - nearest[k])) >= abs(lacks):
+                break
+            for length, change in ((int(into[k]), 1), (int(nearest[k]), -1)):
+                if length:
+                    took[sizes.index(length)] += change
+        return took
+
     best = filled(proportional(sizes, have, rest))
     steps = sum(c.bit_length() for c in have)
     whole = 2 * rest * steps <= WHOLE_BITS
     for most, of_each in ((LITTLE, 1), (dp_budget, 1), (rest if whole else dp_budget, None)):
         if missed(best) and (whole or abs(missed(best)) <= most):
             best = min(best, again(best, max(most, missed(best)), of_each), key=lambda took: abs(missed(took)))
+    best = swapped(best)
     return passes, np.array(best, dtype=np.int64)
 
 
@@ -172,8 +190,8 @@ def mix_sources(
     repeat an id are separate documents; an empty table gives no rows; further
     columns of docs are ignored. Ties in the hash fall to the id, then to the
     row's key, so reruns agree. Each source's taken words are the nearest
-    reachable sum where the whole dynamic program fits WHOLE_BITS, and miss
-    the target by half a short document elsewhere (see fit_budget).
+    reachable sum where the whole dynamic program fits WHOLE_BITS, and the
+    nearest that exchanges come to elsewhere (see fit_budget).
     A source's plan is made in one task from its different lengths and their
     counts, not from its documents.
     """
@@ -182,7 +200,7 @@ def mix_sources(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(SPACE_WORD)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_col).cast("string")).alias("draw"),
+        F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(text_col)).alias("draw"),
         *row,
     )
     sized = sized.withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).withColumn("bucket", F.pmod("draw", F.lit(buckets)))

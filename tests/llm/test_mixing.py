@@ -212,3 +212,22 @@ def test_pipeline_decides_by_row(spark, folder):
     found = corpus_pipeline.run(spark, f"{folder}/more").collect()
     assert not any(bench in (r["text"] or "") for r in found) and all(r["copies"] > 0 for r in found)
     assert sum(r["doc_id"] is None for r in found) <= 3
+
+
+def test_long_documents_only():
+    """400 documents of 200,000 to 900,000 words, each length once: no dynamic program reaches them, exchanges do."""
+    for seed in range(3):
+        draw = np.random.default_rng(seed)
+        lengths = np.sort(draw.choice(np.arange(200_000, 900_000), 400, replace=False))
+        counts = np.ones(400, np.int64)
+        for target in (68_543_560.0, 1_234_567.0, 3.3 * int(lengths.sum()) / 2):
+            passes, extra = fit_budget(lengths, counts, target, 3, 1 << 15)
+            assert (extra >= 0).all() and (extra <= counts).all()
+            assert abs(int((lengths * (passes + extra)).sum()) - target) < 100
+
+
+def test_exchanges_at_the_edges():
+    for lengths, counts, target in (([7], [3], 10.0), ([10**9], [1], 4e8), ([10**9, 10**9 + 7], [5, 5], 3e9 + 13), ([5, 10**10], [1, 1], 1e10)):
+        passes, extra = fit_budget(np.array(lengths), np.array(counts), target, 3, 1 << 15)
+        reached = sum(n * e for n, e in zip(lengths, extra)) + passes * sum(a * b for a, b in zip(lengths, counts))
+        assert abs(reached - target) <= max(lengths) / 2
