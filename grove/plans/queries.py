@@ -16,6 +16,7 @@ from grove.functions.parsing import batch_header, entry_kind, octal, oid_text, p
 from grove.functions.references import config_rest, folded, pattern, prefix
 from grove.operators.history import reachable_commits
 from grove.operators.refgroups import Groups, group_counts, shown
+from grove.operators.revisions import resolved
 from grove.operators.statistics import TREE_MAXIMA, blob_statistics, commit_statistics, dangling, metric_rows, reference_statistics, repeated, tag_statistics, tree_statistics
 from grove.operators.traversal import commit_depths, reachable, tag_depths
 from grove.operators.treefold import SIZES, fold_trees
@@ -542,6 +543,22 @@ def witness_blob_paths(spark: SparkSession, folder: str) -> DataFrame:
     return named.select(F.substring(F.col("oid").cast("string"), 2, 20).cast("bigint").alias("p_partkey"), "path")
 
 
+LOOKUP_SQL = "SELECT 'main:' || r_name || '/' || n_name || '/c' || c_custkey || CASE WHEN o_orderkey % 7 = 0 THEN '/none' WHEN o_orderkey % 7 = 1 THEN '' ELSE '/o' || o_orderkey END AS name, CASE WHEN o_orderkey % 7 = 1 THEN 'c' || c_custkey WHEN o_orderkey % 7 > 1 THEN 'o' || o_orderkey END AS found FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey"
+
+
+@query(f"SELECT name, found, CASE WHEN found IS NOT NULL THEN 'tree' END AS type FROM ({LOOKUP_SQL})")
+def revision_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """Objects by names of the form rev:path, all names together, one join for each component; some names have no object."""
+    orders = table(spark, folder, "orders").join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    nr, order = F.col("o_orderkey") % 7, F.concat(F.lit("/o"), F.col("o_orderkey").cast("string"))
+    name = F.concat(F.lit("main:"), F.concat_ws("/", "r_name", "n_name", F.concat(F.lit("c"), F.col("c_custkey").cast("string"))), F.when(nr == 0, "/none").when(nr == 1, "").otherwise(order))
+    entries, places, commits, roots = name_tables(spark, folder)
+    refs = roots.select(F.col("name").alias("refname"), "oid", F.lit("commit").alias("type"))
+    objects, tags = places.select("oid", F.lit("tree").alias("type")), refs.limit(0).select("oid", F.col("oid").alias("referent"), F.col("type").alias("referent_type"))
+    found = resolved(orders.select(name.alias("name")), refs, objects, tags, commits, entries)
+    return found.select("name", F.col("oid").cast("string").alias("found"), "type")
+
+
 def sales_report(spark: SparkSession, folder: str, names: str = "none") -> Report:
     """The report of the sales graph; its own witnesses are the largest part, the customer with most orders, and the root."""
     key = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
