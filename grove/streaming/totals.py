@@ -30,10 +30,40 @@ def reference_totals(refs: DataFrame, groups: Groups) -> DataFrame:
     return groups.categorized(refs).select(F.explode("groups").alias("symbol")).groupBy("symbol").agg(count32().alias("n"))
 
 
+#: Versions that stay: the one that readers may just have opened, and the newest.
+KEPT = 2
+
+
+def versions(spark: SparkSession, target: str) -> list[int]:
+    """The numbers of the whole versions below target, oldest first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    names = [f.getPath().getName() for f in files.listStatus(path)]
+    return sorted(int(n) for n in names if n.isdigit() and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{n}/_SUCCESS")))
+
+
+def current(spark: SparkSession, target: str) -> DataFrame:
+    """The newest whole version of what kept_current keeps at target."""
+    if not (found := versions(spark, target)):
+        raise FileNotFoundError(f"no totals at {target!r} yet")
+    return spark.read.parquet(f"{target}/{found[-1]}")
+
+
 def kept_current(totals: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Works off what has arrived and leaves the totals as a table at target; the checkpoint makes the next run go on from there."""
+    """Works off what has arrived and leaves the totals below target; the checkpoint makes the next run go on from there.
+
+    Each batch writes a version of its own, which counts once it is whole, so
+    readers (see current) never find the totals missing or half written, and a
+    batch that fails leaves those before it. The two newest versions stay.
+    """
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(target)
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/{number}")
+        spark = batch.sparkSession
+        for old in versions(spark, target)[:-KEPT]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{old}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     return totals.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()

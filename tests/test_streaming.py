@@ -1,11 +1,14 @@
 import random
 
+import pytest
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from grove.functions.counters import CAP32, CAP64
 from grove.operators.refgroups import Groups
 from grove.operators.treefold import SIZES, fold_trees
-from grove.streaming.totals import arriving, kept_current, object_totals, reference_totals
+from grove.streaming.totals import arriving, current, kept_current, object_totals, reference_totals, versions
 from grove.streaming.treefold import arrivals, combined, fold_arrived, part_of
 
 
@@ -17,10 +20,26 @@ def test_totals_grow_with_files(spark, tmp_path):
         spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(source)
         stream = arriving(spark, source, spark.createDataFrame([], schema).schema)
         kept_current(object_totals(stream), target, state).awaitTermination()
-        return {r["type"]: (r["n"], int(r["total"]), r["largest"]) for r in spark.read.parquet(target).collect()}
+        return {r["type"]: (r["n"], int(r["total"]), r["largest"]) for r in current(spark, target).collect()}
 
     assert arrive(("blob", 3), ("blob", 4), ("tree", 1)) == {"blob": (2, 7, 4), "tree": (1, 1, 1)}
     assert arrive(("blob", 10)) == {"blob": (3, 17, 10), "tree": (1, 1, 1)}
+    assert arrive(("tree", 5)) == {"blob": (3, 17, 10), "tree": (2, 6, 5)} and versions(spark, target) == [1, 2]
+
+
+def test_failed_batches_leave_the_totals(spark, tmp_path):
+    source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    with pytest.raises(FileNotFoundError):
+        current(spark, target)
+    spark.createDataFrame([("blob", 3)], "type string, size long").write.parquet(source)
+    stream = arriving(spark, source, StructType.fromDDL("type string, size long"))
+    checked = stream.withColumn("size", F.when(F.col("size") < 0, F.raise_error(F.lit("negative"))).otherwise(F.col("size")))
+    kept_current(object_totals(checked), target, state).awaitTermination()
+    before = current(spark, target).collect()
+    spark.createDataFrame([("blob", -3)], "type string, size long").write.mode("append").parquet(source)
+    with pytest.raises(StreamingQueryException, match="negative"):
+        kept_current(object_totals(checked), target, state).awaitTermination()
+    assert current(spark, target).collect() == before and versions(spark, target) == [0]
 
 
 def test_reference_totals(spark, tmp_path):
@@ -28,7 +47,7 @@ def test_reference_totals(spark, tmp_path):
     spark.createDataFrame([("refs/heads/a",), ("refs/tags/b",), ("refs/x",)], "refname string").write.parquet(source)
     stream = arriving(spark, source, spark.read.parquet(source).schema)
     kept_current(reference_totals(stream, Groups().finish()), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    assert {r["symbol"]: r["n"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"": 3, "branches": 1, "tags": 1, "other": 1}
+    assert {r["symbol"]: r["n"] for r in current(spark, str(tmp_path / "out")).collect()} == {"": 3, "branches": 1, "tags": 1, "other": 1}
 
 
 def test_trees_in_any_order(spark, tmp_path):
@@ -39,7 +58,7 @@ def test_trees_in_any_order(spark, tmp_path):
     for t in range(25):
         for _ in range(draw.randint(0, 5)):
             kind = draw.choice(["tree", "tree", "blob", "link", "submodule"] if t else ["blob"])
-            entries.append((t, draw.randint(1, 9), draw.randrange(t) if kind == "tree" else draw.choice(list(blobs)), kind))
+            entries.append((t, draw.randint(1, 9), draw.randrange(-(-t // 3)) if kind == "tree" else draw.choice(list(blobs)), kind))
     schema = "tree long, name_length long, child long, kind string"
     frames = (spark.createDataFrame([(t, t) for t in range(25)], "oid long, ord long"), spark.createDataFrame(entries, schema), spark.createDataFrame(list(blobs.items()), "oid long, size long"))
     wanted = {(r["oid"], *(int(r[c]) for c in SIZES), r["entries"]) for r in fold_trees(*frames).collect()}
