@@ -5,12 +5,14 @@ from __future__ import annotations
 import argparse
 import sys
 from collections.abc import Sequence
+from typing import TextIO
 
 from pyspark.sql import SparkSession
 
 import grove
 from grove.functions.references import FLAGS
 from grove.operators.refgroups import shown
+from grove.plans.progress import Meter
 from grove.plans.scan import scan_repository
 from grove.sources.git import Repository
 from grove.storage import remove_intermediates
@@ -65,6 +67,24 @@ def spelled_out(argv: Sequence[str]) -> list[str]:
     return [f"{a}=true" if a in flags else "--verbose=true" if a == "-v" else a for a in argv]
 
 
+class Line:
+    """Progress on a terminal: counts that rise overwrite one line, and a phase's end stands for good."""
+
+    def __init__(self, out: TextIO):
+        self.out, self.width = out, 0
+
+    def rise(self, name: str, count: int) -> None:
+        text = f"{name}: {count}"
+        self.out.write(f"\r{text:<{self.width}}")
+        self.out.flush()
+        self.width = len(text)
+
+    def end(self, text: str) -> None:
+        self.out.write(f"\r{' ' * self.width}\r{text}\n" if self.width else f"{text}\n")
+        self.out.flush()
+        self.width = 0
+
+
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:
     """Settings of the repository hold for options that aren't given."""
     args = parser().parse_intermixed_args(spelled_out(sys.argv[1:] if argv is None else argv))
@@ -78,7 +98,9 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     progress = args.progress if args.progress is not None else repository.setting(PROGRESS, str(sys.stderr.isatty()).lower(), "bool") == "true"
     given = spark
     spark = given or SparkSession.builder.config("spark.ui.showConsoleProgress", str(progress).lower()).getOrCreate()
-    report, refs = scan_repository(spark, args.path, args.rules or (), args.roots, names, tell=(lambda text: print(text, file=sys.stderr)) if progress else (lambda text: None))
+    line = Line(sys.stderr) if progress else None
+    meter = Meter(spark.sparkContext, line.rise) if line else None
+    report, refs = scan_repository(spark, args.path, args.rules or (), args.roots, names, tell=line.end if line else (lambda text: None), meter=meter)
     if args.show_refs:
         print("References (included references marked with '+'):", file=sys.stderr)
         for row in shown(refs.orderBy("ord")).toLocalIterator():

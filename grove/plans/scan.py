@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from contextlib import nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from grove.operators.statistics import blob_statistics, commit_statistics, dangl
 from grove.operators.traversal import commit_depths, tag_depths
 from grove.operators.treefold import fold_trees
 from grove.operators.witness import find_links
+from grove.plans.progress import Meter
 from grove.plans.report import CATALOGUE, Report
 from grove.sources.git import Repository, read, read_contents, read_objects
 from grove.storage import stored
@@ -24,6 +26,12 @@ KINDS = ("blob", "tree", "commit", "tag")
 #: The phases of a scan as progress names them: fixed.
 PHASES = ("Processing blobs: {}", "Processing trees: {}", "Processing commits: {}", "Matching commits to trees: {}", "Processing annotated tags: {}", "Processing references: {}")
 
+#: The phases that read contents, by type; what comes after the count is left open.
+LIVE = {kind: phase.removesuffix(": {}") for kind, phase in zip(("tree", "commit", "tag"), (PHASES[1], PHASES[2], PHASES[4]))}
+
+#: Objects of a task while progress is shown.
+DEALT = 20_000
+
 
 def scan_objects(objects: DataFrame, contents: Callable[[str], DataFrame], roots: DataFrame, groups: Sequence[tuple[str, str]], names: str = "full", tell: Callable[[str], None] = lambda text: None) -> Report:
     """The report over stored objects (ord, oid, type, size), the contents (oid, data) of a type, and roots (ord, name, oid, walk, is_ref, groups).
@@ -60,9 +68,12 @@ def scan_objects(objects: DataFrame, contents: Callable[[str], DataFrame], roots
     return Report(row, links, list(groups), names)
 
 
-def scan_repository(spark: SparkSession, path: str, options: Sequence[tuple[str, str]] = (), roots: Sequence[str] = (), names: str = "full", partitions: int = 4, tell: Callable[[str], None] = lambda text: None) -> tuple[Report, DataFrame]:
+def scan_repository(spark: SparkSession, path: str, options: Sequence[tuple[str, str]] = (), roots: Sequence[str] = (), names: str = "full", partitions: int = 4, tell: Callable[[str], None] = lambda text: None, meter: Meter | None = None) -> tuple[Report, DataFrame]:
     """The report of a repository, and its categorised references in order.
 
+    meter gets the objects of each type as tasks read them, some DEALT a task,
+    under the names of the phases.
+
     options are the selection rules in order; roots are names of objects to
     walk too. With roots and no rules, no reference is walked, though all
     still count.
@@ -77,5 +88,9 @@ def scan_repository(spark: SparkSession, path: str, options: Sequence[tuple[str,
         walked = walked.unionByName(added.withColumns({"walk": F.lit(True), "is_ref": F.lit(False), "groups": F.array().cast("array<string>")}))
     walked = stored(walked, "roots")
     objects = stored(read_objects(walked.where("walk").select("ord", "oid"), path), "objects")
-    contents = lambda kind: read_contents(objects.where(F.col("type") == kind), path, partitions)
-    return scan_objects(objects, contents, walked, groups.order, names, tell), refs
+    if meter:
+        partitions = max(partitions, -(-objects.where("type <> 'blob'").count() // DEALT))
+    of = lambda kind: meter.count(LIVE[kind]) if meter else None
+    contents = lambda kind: read_contents(objects.where(F.col("type") == kind), path, partitions, of(kind))
+    with meter.running() if meter else nullcontext():
+        return scan_objects(objects, contents, walked, groups.order, names, tell), refs

@@ -24,6 +24,7 @@ from decimal import Decimal
 from itertools import chain
 
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith
@@ -278,12 +279,14 @@ def read_objects(roots: DataFrame, path: str) -> DataFrame:
     return once.mapInArrow(run, SCHEMAS["objects"])
 
 
-def read_contents(objects: DataFrame, path: str, partitions: int) -> DataFrame:
-    """The contents table of all objects but blobs, dealt to tasks with a git process each; nothing is walked again."""
+def read_contents(objects: DataFrame, path: str, partitions: int, count: Accumulator | None = None) -> DataFrame:
+    """The contents table of all objects but blobs, dealt to tasks with a git process each; nothing is walked again. Tasks add their objects to count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repository = Repository.at(path)
         for b in batches:
             yield from batched(repository.contents([oid.as_py() for oid in b.column(0)]), "contents")
+            if count is not None:
+                count.add(b.num_rows)
 
     return objects.where("type <> 'blob'").select("oid").repartition(partitions).mapInArrow(run, SCHEMAS["contents"])
