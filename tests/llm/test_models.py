@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from grove.llm.html import Layouts, decode, describe, extract, extract_pages, parse
 from grove.llm.lm import Block, Mapped, Owners, hashed_words, pack, score_texts, unpack
 from grove.llm.quality import LineField, labelled_sample, line_features, score_quality
-from grove.llm.rules import ByteModel, apply_rules, byte_trigrams, rule_counts
+from grove.llm.rules import EVEN, ByteModel, apply_rules, byte_trigrams, rule_counts
 from grove.llm.toxicity import score_toxicity
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -152,7 +152,33 @@ def test_trigram_counts_by_language(spark, docs, rows):
     named = docs.selectExpr("text", "coalesce(lang, '') as language")
     wanted = collections.Counter((r[2] or "", int(k)) for r in rows for keys in byte_trigrams(r[1]) for k in keys)
     assert {(r["language"], r["key"]): r["n"] for r in count_trigrams(named, "text", "language").collect()} == wanted
-    assert set(train_bytes(named, "text", "language").own) <= {"en", "de", ""} and train_bytes(named, "text", "language", entries=0).own == {}
+    models = train_bytes(named, "text", "language")
+    assert set(models.places) == {"en", "de", ""}
+    everything = collections.Counter()
+    for (_, k), n in wanted.items():
+        everything[k] += n
+    whole = ByteModel(np.array(list(everything)), np.array(list(everything.values())))
+    for language in models.places:
+        own = {k: n for (x, k), n in wanted.items() if x == language}
+        model, share = ByteModel(np.array(list(own)), np.array(list(own.values()))), sum(own.values()) / (sum(own.values()) + EVEN)
+        asked = np.array([*own, *everything, 0x7A7A7A, 0x010203])
+        expected = np.log10(share * 10.0 ** model.logs_of(asked) + (1 - share) * 10.0 ** whole.logs_of(asked))
+        assert models.of(language).logs_of(asked) == pytest.approx(expected, abs=1e-5)
+
+
+def test_languages_with_little_text(spark):
+    """A language of one short document is judged by the whole corpus's model and its own few counts, in one way at every size; runs agree."""
+    import random
+
+    draw, words = random.Random(6), ["ka", "to", "ri", "mes", "lun", "dor"]
+    made = lambda n: " ".join("".join(draw.choices(words, k=draw.randint(1, 3))) for _ in range(n))
+    rows = [(i, made(60), "big") for i in range(400)] + [(1000 + i, made(15), f"small{i}") for i in range(40)] + [(2000, "qx" * 40, "odd")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r for r in apply_rules(table).collect()}
+    usual = sorted(found[i]["log_ppl"] for i in range(400))
+    assert all(found[1000 + i]["log_ppl"] < 2 * usual[-1] for i in range(40))
+    again = {r["doc_id"]: r for r in apply_rules(table.repartition(7)).collect()}
+    assert again == found
 
 
 def test_byte_model_equals_brute_force():
