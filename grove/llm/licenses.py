@@ -26,12 +26,22 @@ NOTICES = {
     "creative commons attribution 4 0 international license": "cc-by",
     "creative commons attribution noncommercial": "cc-by-nc",
     "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution noncommercial sharealike": "cc-by-nc-sa",
+    "creative commons attribution noncommercial noderivatives": "cc-by-nc-nd",
+    "cc by nc sa 4 0": "cc-by-nc-sa",
+    "under cc by nc sa": "cc-by-nc-sa",
+    "cc by nc nd 4 0": "cc-by-nc-nd",
+    "under cc by nc nd": "cc-by-nc-nd",
     "licensed under the gnu general public license": "gpl",
+    "under the terms of the gnu general public license": "gpl",
     "licensed under the gnu general public license version 2": "gpl-2",
     "licensed under the gnu general public license version 3": "gpl-3",
     "under the terms of the gnu lesser general public license": "lgpl",
     "under the terms of the gnu affero general public license": "agpl",
     "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
+    "under the bsd license": "bsd",
+    "bsd 2 clause license": "bsd",
+    "bsd 3 clause license": "bsd",
     "subject to the terms of the mozilla public license v 2 0": "mpl-2",
     "this is free and unencumbered software released into the public domain": "unlicense",
     "permission to use copy modify and or distribute this software for any purpose": "isc",

@@ -291,3 +291,8 @@ def test_licenses(spark, docs, rows, empty):
     assert (found[2]["n_base"], found[2]["first_word"], found[2]["base_labels"], found[2]["labels"]) == (0, None, "", "gpl-3") and 0.9 < found[2]["score"] < 1
     assert found[3]["n_base"] == 0
     assert scan_licenses(docs).count() == len(rows) and scan_licenses(empty).count() == 0
+
+
+def test_short_license_forms(spark):
+    made = spark.createDataFrame([(1, "used under the terms of the GNU General Public License."), (2, "CC BY-NC-SA 3.0"), (3, "BSD 3-Clause License"), (4, "cc by nc"), (5, "under the terms of the GNU Lesser General Public License")], "doc_id long, text string")
+    assert {r["doc_id"]: r["labels"] for r in scan_licenses(made).collect()} == {1: "gpl", 2: "cc-by-nc,cc-by-nc-sa", 3: "bsd", 4: "cc-by-nc", 5: "lgpl"}
