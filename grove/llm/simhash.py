@@ -183,13 +183,15 @@ def local_links(fps: DataFrame, distance: int, blocks: int, crowd: int = CROWD)
     ways, n = ways_of(distance, blocks), len(masks(blocks, distance))
     key = lambda m: F.col("fp").bitwiseAND(F.element_at(F.lit([signed(w.mask) for w in ways]), m + 1))
     dealt = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("m")).select("fp", "m", key(F.col("m")).alias("key"))
-    if fps.count() > crowd:
+    if (total := fps.count()) > crowd:
         crowds = stored(dealt.groupBy("m", "key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("m", "key", F.lit(True).alias("many")), "simhash-crowds")
         if not crowds.isEmpty():
             marked = dealt.join(crowds, ["m", "key"], "left")
             again = marked.where("many").select("fp", F.explode(F.transform(F.sequence(F.lit(0), F.lit(distance)), lambda k: n + F.col("m") * (distance + 1) + k)).alias("m"))
             dealt = marked.where("many is null").select("fp", "m", "key").union(again.select("fp", "m", key(F.col("m")).alias("key")))
-    sent = dealt.repartition("m", "key").select("m", "fp")
+    # Tasks come from the count, so that none holds much more than 2^20 values; small tables get the session's number at most.
+    tasks = max(-(-total * n // CROWD), min(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + total * n // (CROWD >> 5)))
+    sent = dealt.repartition(tasks, "m", "key").select("m", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
