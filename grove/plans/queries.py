@@ -372,13 +372,13 @@ def show_refs(spark: SparkSession, folder: str) -> DataFrame:
     return shown(Groups().finish([("no-remotes", "true")]).categorized(refs(spark, folder)))
 
 
-@query(f"WITH {REFS_SQL} SELECT CAST(count(*) AS BIGINT) AS reference_count, CAST(8 AS BIGINT) AS n_groups FROM refs")
+@query(f"WITH {REFS_SQL}, g AS (SELECT {GROUP_SQL} AS top FROM refs) SELECT CAST(count(*) AS BIGINT) AS reference_count, CAST(count(DISTINCT CASE WHEN top <> 'stash' THEN top END) + count(DISTINCT top <> 'stash' OR NULL) AS BIGINT) AS n_groups FROM g")
 def reference_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """The groups that have walked references, and the one of all of them."""
     found = Groups().finish([("exclude", "@stash")]).categorized(refs(spark, folder))
     return reference_statistics(found).select("reference_count", F.size(F.map_filter("reference_groups", lambda k, v: k != "ignored")).cast("bigint").alias("n_groups"))
 
 
-
 @query("SELECT DISTINCT 'refgroup.' || event_type || '.name' AS key, event_type || '.name' AS rest, CAST(NULL AS VARCHAR) AS inside FROM events UNION ALL SELECT DISTINCT 'refgroups.' || event_type, NULL, NULL FROM events")
 def config_key_match(spark: SparkSession, folder: str) -> DataFrame:
     """Keys match a section at a dot only."""
