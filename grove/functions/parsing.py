@@ -17,6 +17,9 @@ from .counters import CAP32, WIDE, clamp32
 #: File-mode bits: fixed values of the tree format.
 TYPE_MASK, TREE_MODE, LINK_MODE, SUBMODULE_MODE = 0o170000, 0o040000, 0o120000, 0o160000
 
+#: Entries of trees, small or large, that are handed on together.
+BATCH = 1 << 13
+
 
 def checked(ok: Column, value: Column, message: Column | str) -> Column:
     """value where ok holds, else an error when it is read."""
@@ -99,20 +102,34 @@ def entries_of(data: bytes) -> Iterator[tuple[int, bytes, bytes]]:
         at = end + 21
 
 
+def entry_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(tree, pos, mode, name, child) of every entry of the trees (oid, data), in batches of BATCH whatever a tree's size."""
+    types = (pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+    trees, places, modes, names, children = columns = [], [], [], [], []
+
+    def batch() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(columns, types)], names=["tree", "pos", "mode", "name", "child"])
+        for x in columns:
+            x.clear()
+        return made
+
+    for b in batches:
+        for oid, data in zip(b.column(0).to_pylist(), b.column(1)):
+            for i, (mode, name, child) in enumerate(entries_of(data.as_py())):
+                trees.append(oid)
+                places.append(i)
+                modes.append(mode)
+                names.append(name)
+                children.append(child)
+                if len(trees) == BATCH:
+                    yield batch()
+    if trees:
+        yield batch()
+
+
 def parsed_trees(raw: DataFrame) -> DataFrame:
     """(tree, pos, mode, name, child, kind) of every entry of the trees (oid, data)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for oid, data in zip(b.column(0), b.column(1)):
-                found = list(entries_of(data.as_py()))
-                if found:
-                    modes, names, children = zip(*found)
-                    columns = [[oid.as_py()] * len(found), range(len(found)), modes, names, children]
-                    types = [pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=["tree", "pos", "mode", "name", "child"])
-
-    entries = raw.select("oid", "data").mapInArrow(run, "tree binary, pos int, mode long, name binary, child binary")
+    entries = raw.select("oid", "data").mapInArrow(entry_batches, "tree binary, pos int, mode long, name binary, child binary")
     return entries.withColumn("kind", entry_kind(F.col("mode")))
 
 

@@ -1,10 +1,11 @@
 from decimal import Decimal
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from grove.functions.counters import BINARY, CAP32, CAP64, METRIC, format_counter, format_number, formatted, stars, sum32, sum64
-from grove.functions.parsing import batch_header, entries_of, entry_kind, octal, parsed_commits, parsed_tags, parsed_trees, reference_line
+from grove.functions.parsing import batch_header, entries_of, entry_batches, entry_kind, octal, parsed_commits, parsed_tags, parsed_trees, reference_line
 from grove.functions.references import config_rest, folded, pattern, prefix
 from grove.operators.refgroups import Groups, group_counts
 
@@ -132,3 +133,14 @@ def test_parsers_fail_closed(spark):
     assert [(bytes(r["name"]), r["kind"]) for r in rows] == [(b"\xff", "blob"), (b"m", "submodule")]
     kinds = spark.createDataFrame([("40000",), ("100755",), ("120000",), ("160000",)], "m string").select(entry_kind(octal(F.col("m")))).collect()
     assert [r[0] for r in kinds] == ["tree", "blob", "link", "submodule"]
+
+
+def test_entries_in_batches():
+    """Small trees share a batch, a large one is cut."""
+    entry = b"100644 a\0" + b"x" * 20
+    made = pa.RecordBatch.from_arrays([pa.array([b"%d" % i for i in range(5001)]), pa.array([entry * 2] * 5000 + [entry * 10_000])], names=["oid", "data"])
+    found = list(entry_batches(iter([made.slice(0, 2500), made.slice(2500)])))
+    assert [b.num_rows for b in found] == [8192, 8192, 3616]
+    rows = pa.Table.from_batches(found).to_pylist()
+    assert [(int(r["tree"]), r["pos"]) for r in rows] == [(i, k) for i in range(5001) for k in range(2 if i < 5000 else 10_000)]
+    assert {(r["mode"], r["name"], r["child"]) for r in rows} == {(0o100644, b"a", b"x" * 20)}
