@@ -72,11 +72,23 @@ def first_holders(entries: DataFrame, order: DataFrame) -> DataFrame:
 def doubled_paths(holders: DataFrame) -> DataFrame:
     """(oid, top, path): the highest tree over each object of holders (oid, tree, name), and the names on the way down from it.
 
-    Each round joins the paths so far to those of the trees that they begin
-    at, so a depth of n takes log2 n rounds. Trees that hold themselves are
-    an error.
+    Paths grow for trees that hold something; what holds nothing gets its
+    tree's path in the end. Each round joins the paths so far to those of the
+    trees that they begin at, so a depth of n takes log2 n rounds. Trees that
+    hold themselves are an error.
     """
-    done, open_ = [], stored(holders.select("oid", F.col("tree").alias("top"), F.col("name").alias("path")), "paths")
+    used = stored(holders.groupBy("tree").agg(F.count("*").alias("n")), "paths-used")
+    trees = used.select(F.col("tree").alias("oid"))
+    above = tree_paths(stored(holders.join(trees, "oid", "left_semi").select("oid", F.col("tree").alias("top"), F.col("name").alias("path")), "paths"))
+    upper = stored(above.select(F.col("oid").alias("tree"), F.col("top").alias("next"), F.col("path").alias("before")).join(used, "tree"), "paths-upper")
+    below = join_one(holders.join(trees, "oid", "left_anti").select("oid", "tree", "name"), upper, ["tree"], "n", holders.count(), ["oid"])
+    path = F.when(F.col("next").isNull(), F.col("name")).otherwise(F.concat("before", F.lit(b"/"), "name"))
+    return above.unionByName(below.select("oid", F.coalesce("next", "tree").alias("top"), path.alias("path")))
+
+
+def tree_paths(open_: DataFrame) -> DataFrame:
+    """(oid, top, path) as doubled_paths gives them, from (oid, top, path) of what holds each directly."""
+    done = []
     for _ in range(64):
         used = open_.groupBy("top").agg(F.count("*").alias("n"))
         upper = open_.select(F.col("oid").alias("top"), F.col("top").alias("next"), F.col("path").alias("before"))
@@ -100,10 +112,13 @@ def named_objects(objects: DataFrame, entries: DataFrame, order: DataFrame, comm
 
     The other tables are those of find_links, and names are the same. Bytes
     that aren't UTF-8 become replacement characters. An object that is listed
-    twice is named twice.
+    twice is named twice. Of entries that are no trees only those of the blobs
+    asked for are followed, as no path leads through others.
     """
+    blobs = stored(objects.where("type = 'blob'").select(F.col("oid").alias("child")).distinct(), "witness-blobs")
+    entries = stored(entries.where("kind = 'tree'").unionByName(entries.where("kind <> 'tree'").join(blobs, "child", "left_semi").select(entries.columns)), "witness-entries")
     holders = stored(first_holders(entries, order), "witness-holders")
-    paths = doubled_paths(holders)
+    paths = stored(doubled_paths(holders), "witness-paths")
     newest = commits.groupBy(F.col("tree").alias("oid")).agg(F.min_by("oid", "ord").alias("commit"))
     walked = roots.where("walk").groupBy("oid").agg(F.min_by("name", "ord").cast("binary").alias("root"))
     of_commit = walked.select(F.col("oid").alias("commit"), F.col("root").alias("commit_root"))

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from grove.operators import witness
 from grove.operators.witness import described, doubled_paths, find_links, named_objects, path
 
 
@@ -41,3 +42,19 @@ def test_deep_paths(spark):
     chain = [(bytearray(oid("t", i + 1)), bytearray(oid("t", i)), bytearray(b"d%d" % i)) for i in range(1000)] + [(bytearray(oid("b", i)), bytearray(oid("t", 5)), bytearray(b"f%d" % i)) for i in range(3000)]
     found = {bytes(r["oid"]): (bytes(r["top"]), bytes(r["path"]).decode()) for r in doubled_paths(spark.createDataFrame(chain, "oid binary, tree binary, name binary")).collect()}
     assert found[b"t1000"] == (b"t0", "/".join(f"d{i}" for i in range(1000))) and found[b"b2999"] == (b"t0", "d0/d1/d2/d3/d4/f2999") and len(found) == 4000
+
+
+def test_names_follow_only_what_is_asked(spark, monkeypatch):
+    """Blobs that nobody asked for are in none of the tables that naming stores, and what holds nothing in no round of paths."""
+    kept, put = {}, witness.stored
+    monkeypatch.setattr(witness, "stored", lambda df, name: kept.setdefault(f"{name}-{len(kept)}", put(df, name)))
+    entries = [(b"r", 0, b"d", b"d", "tree"), *[(b"d", i, b"f%d" % i, b"b%d" % i, "blob") for i in range(50)], (b"d", 50, b"e", b"e", "tree")]
+    entries = spark.createDataFrame([(bytearray(t), pos, bytearray(n), bytearray(c), kind) for t, pos, n, c, kind in entries], "tree binary, pos long, name binary, child binary, kind string")
+    order = spark.createDataFrame([(bytearray(o), i) for i, o in enumerate([b"r", b"d", b"e", *[b"b%d" % i for i in range(50)]])], "oid binary, ord long")
+    commits = spark.createDataFrame([(bytearray(b"c"), 1, bytearray(b"r"))], "oid binary, ord long, tree binary")
+    roots = spark.createDataFrame([(1, "main", bytearray(b"c"), True)], "ord long, name string, oid binary, walk boolean")
+    asked = spark.createDataFrame([(bytearray(b"e"), "tree"), (bytearray(b"b7"), "blob")], "oid binary, type string")
+    found = {bytes(r["oid"]): r["path"] for r in named_objects(asked, entries, order, commits, roots).collect()}
+    assert found == {b"e": "main:d/e", b"b7": "main:d/f7"}
+    assert max(t.count() for t in kept.values()) <= 3
+    assert all(t.count() <= 1 for name, t in kept.items() if name.startswith("paths-longer"))
