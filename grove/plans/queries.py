@@ -253,7 +253,7 @@ def merge_depth(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"{MERGES_SQL}, r AS (SELECT oid FROM o WHERE oid % 1000 = 7 UNION SELECT p.parent FROM r JOIN p ON p.oid = r.oid) SELECT oid FROM r")
 def reachable_history(spark: SparkSession, folder: str) -> DataFrame:
-    """All that every thousandth order is built on, by chains."""
+    """All that every thousandth order is built on, in the order of the history."""
     found, parents = order_history(spark, folder)
     return reachable_commits(found.where("oid % 1000 = 7"), found, parents)
 
