@@ -94,8 +94,8 @@ def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(v ^ (w * GOLDEN))
 
 
-def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all lower-cased white-space words, and the number of words of each text; every byte of a word counts with a factor of its place."""
+def hashed_words(texts: pa.Array, table: np.ndarray = LOWER_TABLE, spans: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all white-space words, lower-cased by the table, and the number of words of each text; every byte of a word counts with a factor of its place. Starts and lengths of the words are added to spans."""
     texts = pc.fill_null(texts, "")
     edges = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
@@ -103,7 +103,7 @@ def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     first = 0
     while first < len(texts):
         last = max(first + 1, int(np.searchsorted(edges, edges[first] + CHUNK, "right")) - 1)
-        data, cut = LOWER_TABLE[raw[edges[first] : edges[last]]], edges[first : last + 1] - edges[first]
+        data, cut = table[raw[edges[first] : edges[last]]], edges[first : last + 1] - edges[first]
         word = (data != 32) & ((data < 9) | (data > 13))
         begins = word.copy()
         begins[1:] &= ~word[:-1]
@@ -116,6 +116,8 @@ def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             value = BYTE_HASH[data] * drawn(int(place.max()) + 1, 1 << 41)[place]
             value[~word] = 0
             hashes.append(mix(np.add.reduceat(value, starts)))
+            if spans is not None:
+                spans.append((edges[first] + starts, np.add.reduceat(word, starts, dtype=np.int64)))
             counts[first:last] = np.bincount(np.searchsorted(cut, starts, "right") - 1, minlength=last - first)[: last - first]
         first = last
     return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), counts
@@ -467,8 +469,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return score_blocks(send_tokens(docs), kind(merged, "answer").unionByName(word_answers), owners, totals)
 
 
-def stored_kinds(df: DataFrame, name: str) -> DataFrame:
+def stored_kinds(df: DataFrame, name: str = "", path: str | None = None) -> DataFrame:
     """The table written with a folder for each kind of row, so that reading one kind leaves the others."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = path or f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy("kind").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

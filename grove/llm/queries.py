@@ -57,7 +57,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apply_rules(read_table(spark, sf_dir, "documents"))
+    return apply_rules(read_table(spark, sf_dir, "documents"), rescannable=True)
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Quality rules: repetition counts, and bands of n-gram perplexity.
 
-The models are modified Kneser-Ney trigram models over UTF-8 bytes, counted in
-Spark, one over each language and one over the whole corpus. Every language
+The models are modified Kneser-Ney over word bigrams, one for each language,
+in `words`. Below them, words are judged by their spelling: modified
+Kneser-Ney trigram models over UTF-8 bytes, counted in Spark, one over each
+language and one over the whole corpus. Every language
 has a model of its own, interpolated with the whole corpus's by the bytes that
 it was counted from, so that little text leans on the whole. Keys are three
 bytes, which fit in 24 bits, so that a model has at most 2^24 entries however
@@ -13,6 +15,7 @@ documents.
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import uuid
 from collections import Counter
@@ -26,12 +29,13 @@ from pyspark.sql import functions as F
 
 from grove.storage import shared_folder
 
-from .common import SPACE_WORD_RE, map_rows, stored
+from .common import SPACE_WORD_RE, map_rows, remainder, stored
+from .words import Spelling, word_perplexity
 
 REPEAT, SYMBOLS, PIECE = 5, "#*$%&|<>", 1 << 20
 #: Bytes of text at which a language's own counts weigh as much as the whole corpus's model; bytes of stored arrays in a row; steps of log perplexity in a unit.
 EVEN, ROW_BYTES, STEPS = 1 << 14, 1 << 22, 10_000
-PAD, END = 2, 3
+PAD, END, SPACE = 2, 3, 32
 
 
 def rule_counts(text: str | None) -> tuple[int, int, int, int, int]:
@@ -160,6 +164,24 @@ class ByteModel:
             n += len(keys)
         return total, n
 
+    def after_space(self, data: np.ndarray) -> np.ndarray:
+        """The probabilities of bytes behind a space, whatever is before that."""
+        return self.two[SPACE << 8 | data.astype(np.int32)]
+
+    def spelt(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """log10 of the probabilities of words (places in raw) between two spaces; one without bytes is the end."""
+        some = sizes > 0
+        found = np.log10(self.after_space(np.where(some, raw[np.minimum(starts, len(raw) - 1)] if len(raw) else END, END)))
+        starts, sizes = starts[some], sizes[some]
+        if len(sizes):
+            ends = np.cumsum(sizes)
+            place = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
+            at = np.repeat(starts, sizes) + place
+            before = np.where(place == 0, SPACE, raw[at - 1]).astype(np.int32)
+            after = np.where(place == np.repeat(sizes, sizes) - 1, SPACE, raw[np.minimum(at + 1, len(raw) - 1)]).astype(np.int32)
+            found[some] += np.add.reduceat(self.logs_of(before << 16 | raw[at].astype(np.int32) << 8 | after).astype(np.float64), ends - sizes)
+        return found
+
     @functools.cached_property
     def arrays(self) -> list[np.ndarray]:
         return [self.keys, self.logs, self.two, self.rest]
@@ -183,6 +205,10 @@ class MixedModel(ByteModel):
             return super().unseen(keys)
         return np.log10(self.share * self.rest[keys >> 8] * self.two[keys & 0xFFFF] + (1 - self.share) * 10.0 ** self.whole.logs_of(keys))
 
+    def after_space(self, data: np.ndarray) -> np.ndarray:
+        own = super().after_space(data)
+        return own if self.whole is None else self.share * own + (1 - self.share) * self.whole.after_space(data)
+
 
 @functools.cache
 def mapped_file(name: str) -> np.ndarray:
@@ -265,11 +291,38 @@ def train_bytes(docs: DataFrame, text_col: str, language_col: str) -> Models:
     return model_file(spark, stored(model_rows(counts, whole), "rules-languages"), whole)
 
 
-COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double"
+COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+CHANGED = "a later reading of the table differs from the first: store it before judging it"
+#: Spark deletes a query's shuffle files once it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", below: float = 3.0, above: float = 1.5) -> DataFrame:
-    """doc_id, the counts, base_failed, log_ppl (log10 of the perplexity for each byte), its band, and kept.
+@contextlib.contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
+def perplexities(rows: DataFrame) -> DataFrame:
+    """(row, n_tokens, log_ppl) of rows (row, doc_id, language, text): halves by doc_id, each scored with the other's words."""
+    models = train_bytes(rows, "text", "language")
+    languages = sorted(models.places)
+    places = rows.sparkSession.createDataFrame([(x, i) for i, x in enumerate(languages)], "language string, place int")
+    docs = rows.withColumn("fold", remainder("doc_id", 2).cast("int")).join(F.broadcast(places), "language").select("row", "fold", "text", F.col("place").alias("language"))
+
+    def setup() -> Spelling:
+        of = functools.cache(models.of)
+        return lambda language, *words: of(languages[language]).spelt(*words)
+
+    return word_perplexity(docs, languages, setup)
+
+
+def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", below: float = 3.0, above: float = 1.5, rescannable: bool = False) -> DataFrame:
+    """doc_id, the counts, base_failed, log_ppl (log10 of the perplexity for each word and the end), its band, and kept.
 
     A document is kept if the base rules pass and its perplexity lies in its
     language's band: from `below` times the distance of the quartiles under
@@ -279,24 +332,19 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     One row per row; a
     null or empty text has no words and fails; a null language is a language
     of its own; rows that repeat an id are judged one by one; an empty table
-    gives no rows.
+    gives no rows. The table is read several times and must give the same
+    partitions each time, as plain files do; without rescannable, ids,
+    languages and texts are stored first.
     """
     language = F.coalesce(F.concat(F.lit("="), F.col(lang_col).cast("string")), F.lit(""))
     named = docs.select(F.col(id_col).alias("doc_id"), language.alias("language"), F.col(text_col).alias("text"))
-    models = train_bytes(named, "text", "language")
-
-    def setup() -> Callable[[str | None, str], tuple]:
-        of = functools.cache(models.of)
-
-        def row(text, language):
-            total, n = of(language).log_probability(text)
-            return *rule_counts(text), -total / n
-
-        return row
-
+    named = (named if rescannable else stored(named, "rules-texts")).withColumn("row", F.monotonically_increasing_id())
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    judged = map_rows(named, ["text", "language"], ["doc_id", "language"], COUNTS, setup)
-    judged = stored(judged.withColumn("base_failed", failed), "rules")
+    counts = map_rows(named, ["text"], ["row", "doc_id", "language"], COUNTS, lambda: rule_counts)
+    with shuffles_deleted(docs.sparkSession):
+        scored = F.when(F.col("n_tokens") == F.col("n_words") + 1, F.col("log_ppl")).otherwise(F.raise_error(F.lit(CHANGED)).cast("double"))
+        judged = counts.join(perplexities(named), "row", "left").withColumns({"log_ppl": scored, "base_failed": failed}).drop("row", "n_tokens")
+        judged = stored(judged, "rules")
     different = judged.where(~F.col("base_failed")).select("language", "log_ppl").distinct()
     steps = different.groupBy("language", F.floor(F.col("log_ppl") * STEPS).alias("step")).agg(F.count("*").alias("n"))
     own = Window.partitionBy("language")

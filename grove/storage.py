@@ -23,10 +23,14 @@ def shared_folder(spark: SparkSession) -> str:
     return _own.get(app) or _own.setdefault(app, f"file://{tempfile.mkdtemp(prefix='grove-')}")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def remove_intermediates(spark: SparkSession) -> None:
     """Deletes all intermediate tables of this application; results that haven't been written yet can't be read afterwards."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, shared_folder(spark))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

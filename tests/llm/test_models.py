@@ -345,3 +345,46 @@ def test_pages(spark, trees):
     assert len(found) == 5 and found[0] == found[1] and found[0][3] == len(found[0][2])
     assert [f[2] for f in found[2:]] == ["", "", "plain words"]
     assert extract_pages(pages.limit(0), trees=trees).count() == 0
+
+
+def test_perplexity_counts_words(spark):
+    """op8's perplexity against word bigrams written out with dictionaries, for two languages and halves; the same words in another order, which byte trigrams hardly tell apart, are less likely."""
+    import random
+
+    from grove.llm.common import remainder
+    from grove.llm.rules import train_bytes
+
+    draw, rows = random.Random(9), []
+    ring = {"x": "da ko mi su re la".split(), "y": "da um ko or mi ti el".split()}
+    for i in range(300):
+        words, at = ring["xy"[i % 2]], draw.randrange(6)
+        told = [words[(at + j + (draw.random() < 0.1)) % len(words)] for j in range(40)]
+        if i % 30 > 27:
+            draw.shuffle(told)
+        rows.append((i, " ".join(told) if i else " ".join([*told, "é", "neu"]), "xy"[i % 2]))
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r["log_ppl"] for r in apply_rules(table).collect()}
+    assert min(found[i] for i in found if i % 30 > 27) > max(found[i] for i in found if i and i % 30 <= 27)
+
+    folds = {r["doc_id"]: r["f"] for r in table.select("doc_id", remainder("doc_id", 2).alias("f")).collect()}
+    models = train_bytes(table.selectExpr("text", "concat('=', lang) AS language"), "text", "language")
+    pairs = collections.defaultdict(collections.Counter)
+    for i, text, lang in rows:
+        words = [None, *text.split(), ""]
+        pairs[lang, folds[i]].update(zip(words, words[1:]))
+    for i, text, lang in rows[:60]:
+        counts, model = pairs[lang, 1 - folds[i]], models.of("=" + lang)
+        more, after = collections.Counter(w for _, w in counts), collections.Counter()
+        two, one = (discounts(c) for c in (counts, more))
+        left, rest = collections.Counter(), sum(one[min(n, 3)] for n in more.values()) / len(counts)
+        for (v, _), n in counts.items():
+            after[v] += n
+            left[v] += two[min(n, 3)]
+        words, score = [None, *text.split(), ""], 0.0
+        for v, w in zip(words, words[1:]):
+            raw = np.frombuffer(w.encode(), np.uint8)
+            spelt = 10.0 ** model.spelt(raw, np.array([0]), np.array([len(raw)]))[0]
+            lower = (more[w] - one[min(more[w], 3)]) / len(counts) + rest * spelt
+            own = (counts[v, w] - two[min(counts[v, w], 3)]) / after[v] if after[v] else 0.0
+            score += np.log10(own + (left[v] / after[v] if after[v] else 1.0) * lower)
+        assert found[i] == pytest.approx(-score / (len(words) - 1), abs=2e-3)
