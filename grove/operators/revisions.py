@@ -71,13 +71,13 @@ def resolved(names: DataFrame, refs: DataFrame, objects: DataFrame, tags: DataFr
     paths = rows.where("way is not null").select("_row", "name", F.col("root").alias("oid"), F.when(F.col("root").isNotNull(), "tree").alias("type"), F.when(F.col("way") == "", F.array().cast("array<string>")).otherwise(steps).alias("steps"), last.alias("must"))
     kinds = F.when(F.col("kind") == "tree", "tree").when(F.col("kind") == "submodule", "commit").otherwise("blob")
     held = entries.select(F.col("tree").alias("oid"), F.col("name").cast("binary").alias("step"), F.col("child").alias("next"), kinds.alias("next_type"))
-    done, todo = [whole], stored(paths, "paths")
+    done, todo = [whole], paths
     while True:
         ended = (F.size("steps") == 0) | F.col("oid").isNull() | (F.col("type") != "tree")
         here = F.size("steps") == 0
         fits = here & (F.col("must").isNull() | (F.col("type") == "tree"))
         done.append(todo.where(ended).select("_row", "name", F.when(fits, F.col("oid")).alias("oid"), F.when(fits, F.col("type")).alias("type")))
-        todo = stored(todo.where(~ended).withColumn("step", F.get("steps", F.lit(0)).cast("binary")), "paths-open")
+        todo = todo.where(~ended).withColumn("step", F.get("steps", F.lit(0)).cast("binary"))
         if todo.isEmpty():
             return reduce(DataFrame.unionByName, done).select("name", "oid", "type")
         asked = todo.groupBy("oid", "step").agg(F.count("*").alias("n"))

@@ -49,3 +49,19 @@ def test_a_thousand_names(spark, git_repo):
     wanted = {(n, *(a or (None, None))) for n, a in zip(names, rev_parse(r, names), strict=True)} | {(None, None, None)}
     assert len(found) == len(names) + 1
     assert not got - wanted and not wanted - got, (sorted(got - wanted, key=str)[:4], sorted(wanted - got, key=str)[:4])
+
+
+def test_paths_are_written_once_for_each_component(spark, monkeypatch):
+    """A longer path costs two tables for each component: the entries found, and the rows behind them."""
+    from grove.operators import revisions
+
+    written, own = [], revisions.stored
+    monkeypatch.setattr(revisions, "stored", lambda df, name: written.append(name) or own(df, name))
+    entries = spark.createDataFrame([(b"0", b"a", b"1", "tree"), (b"1", b"a", b"2", "tree"), (b"2", b"a", b"3", "blob")], "tree binary, name binary, child binary, kind string")
+    refs = spark.createDataFrame([("refs/heads/m", b"c", "commit")], "refname string, oid binary, type string")
+    tags = spark.createDataFrame([], "oid binary, referent binary, referent_type string")
+    commits = spark.createDataFrame([(b"c", b"0")], "oid binary, tree binary")
+    names = spark.createDataFrame([("m:a/a/a",), ("m:a",), ("m:b/a",)], "name string")
+    found = resolved(names, refs, refs.select("oid", "type"), tags, commits, entries).collect()
+    assert {(r["name"], r["oid"] and bytes(r["oid"]), r["type"]) for r in found} == {("m:a/a/a", b"3", "blob"), ("m:a", b"1", "tree"), ("m:b/a", None, None)}
+    assert sum(name.startswith("paths") for name in written) == 2 * 3
