@@ -94,7 +94,7 @@ def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(v ^ (w * GOLDEN))
 
 
-def hashed_words(texts: pa.Array, table: np.ndarray = LOWER_TABLE, spans: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+def hashed_words(texts: pa.Array, table: np.ndarray = LOWER_TABLE, spans: list | None = None, chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all white-space words, lower-cased by the table, and the number of words of each text; every byte of a word counts with a factor of its place. Starts and lengths of the words are added to spans."""
     texts = pc.fill_null(texts, "")
     edges = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
@@ -102,7 +102,7 @@ def hashed_words(texts: pa.Array, table: np.ndarray = LOWER_TABLE, spans: list |
     hashes, counts = [], np.zeros(len(texts), np.int64)
     first = 0
     while first < len(texts):
-        last = max(first + 1, int(np.searchsorted(edges, edges[first] + CHUNK, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(edges, edges[first] + chunk, "right")) - 1)
         data, cut = table[raw[edges[first] : edges[last]]], edges[first : last + 1] - edges[first]
         word = (data != 32) & ((data < 9) | (data > 13))
         begins = word.copy()

@@ -19,43 +19,91 @@ import contextlib
 import functools
 import uuid
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from grove.storage import shared_folder
 
-from .common import SPACE_WORD_RE, map_rows, remainder, stored
-from .words import Spelling, word_perplexity
+from .common import SPACE_WORD_RE, remainder, stored
+from .lm import GOLDEN, drawn, hashed_words, mix
+from .words import AS_IT_IS, CHUNK, Spelling, parts_of, word_perplexity
 
 REPEAT, SYMBOLS, PIECE = 5, "#*$%&|<>", 1 << 20
 #: Bytes of text at which a language's own counts weigh as much as the whole corpus's model; bytes of stored arrays in a row; steps of log perplexity in a unit.
 EVEN, ROW_BYTES, STEPS = 1 << 14, 1 << 22, 10_000
 PAD, END, SPACE = 2, 3, 32
+#: Bytes that begin a code point of a word; of SYMBOLS; newlines.
+COUNTED, SYMBOL, NEWLINE = (np.array([f(c) for c in range(256)], np.uint8) for f in (lambda c: c != 32 and not 9 <= c <= 13 and c & 0xC0 != 0x80, lambda c: chr(c) in SYMBOLS, lambda c: c == 10))
 
 
-def rule_counts(text: str | None) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
-    text = text or ""
-    words = SPACE_WORD_RE.findall(text)
-    n = len(words)
+def repeated_lines(text: str) -> int:
+    """Lines with a word that equal an earlier one."""
     lines, seen = 0, set()
     for line in text.split("\n"):
         if SPACE_WORD_RE.search(line):
             lines += line in seen
             seen.add(line)
+    return lines
+
+
+def repeated_words(words: list[str], starts: Iterable[int]) -> int:
+    """Words in windows found twice or more among those at the ascending starts."""
+    grams = [(i, tuple(words[i : i + REPEAT])) for i in starts]
+    times, repeated, reach = Counter(gram for _, gram in grams), 0, 0
+    for i, gram in grams:
+        if times[gram] > 1:
+            repeated += i + REPEAT - max(i, reach)
+            reach = i + REPEAT
+    return repeated
+
+
+def rule_counts(text: str | None) -> tuple[int, int, int, int, int]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+    text = text or ""
+    words = SPACE_WORD_RE.findall(text)
+    n = len(words)
     repeated, windows = 0, n - REPEAT + 1
-    if windows > 1 and len(set(grams := list(zip(*(words[i:] for i in range(REPEAT)))))) < windows:
-        times, reach = Counter(grams), 0
-        for i, gram in enumerate(grams):
-            if times[gram] > 1:
-                repeated += i + REPEAT - max(i, reach)
-                reach = i + REPEAT
-    return n, sum(map(len, words)), sum(map(text.count, SYMBOLS)), lines, repeated
+    if windows > 1 and len(set(zip(*(words[i:] for i in range(REPEAT))))) < windows:
+        repeated = repeated_words(words, range(windows))
+    return n, sum(map(len, words)), sum(map(text.count, SYMBOLS)), repeated_lines(text), repeated
+
+
+def rule_columns(texts: pa.Array) -> list[np.ndarray]:
+    """rule_counts of each text. Words and their windows are hashed; only windows whose hashes are equal are compared."""
+    texts = pc.fill_null(texts, "")
+    words, n = hashed_words(texts, AS_IT_IS, chunk=CHUNK)
+    edges = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+    some, made = np.flatnonzero(np.diff(edges)), np.zeros((5, len(texts)), np.int64)
+    made[0] = n
+    for to, of in zip(made[1:], (COUNTED, SYMBOL, NEWLINE)):
+        if len(some):
+            to[some] = np.add.reduceat(of[raw], edges[some] - edges[0], dtype=np.int64)
+    lined = np.flatnonzero(made[3]).tolist()
+    made[3] = 0
+    for i in lined:
+        made[3, i] = repeated_lines(texts[i].as_py())
+    of_words, last = np.repeat(np.arange(len(n)), n), max(0, len(words) - REPEAT + 1)
+    inside = np.flatnonzero(of_words[:last] == of_words[REPEAT - 1 :])
+    windows = sum((words[i : i + last] * x for i, x in enumerate(drawn(REPEAT, 1 << 42))), np.zeros(last, np.uint64))[inside]
+    windows = mix(windows + of_words[inside].astype(np.uint64) * GOLDEN)
+    order = np.argsort(windows)
+    same, equal = np.zeros(len(order), bool), np.diff(windows[order]) == 0
+    same[order[1:][equal]] = same[order[:-1][equal]] = True
+    starts = inside[same]
+    at = of_words[starts]
+    starts -= (np.cumsum(n) - n)[at]
+    cuts = [*np.flatnonzero(np.r_[True, at[1:] != at[:-1]]).tolist(), len(at)] if len(at) else []
+    for a, z in zip(cuts, cuts[1:]):
+        made[4, at[a]] = repeated_words(SPACE_WORD_RE.findall(texts[int(at[a])].as_py()), starts[a:z].tolist())
+    return list(made)
 
 
 def byte_trigrams(text: str | None) -> Iterator[np.ndarray]:
@@ -307,11 +355,25 @@ def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
 
+def counted_rules(docs: DataFrame) -> DataFrame:
+    """row, doc_id, language and the rule counts of docs (row, doc_id, language, text)."""
+    made = StructType.fromDDL(COUNTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, last in parts_of(b.column(3), PIECE):
+                part = b.slice(first, last - first)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *map(pa.array, rule_columns(part.column(3)))], names=["row", "doc_id", "language", *made.names])
+
+    keep = docs.select("row", "doc_id", "language", "text")
+    return keep.mapInArrow(run, StructType([*keep.schema.fields[:3], *made]))
+
+
 def perplexities(rows: DataFrame) -> DataFrame:
     """(row, n_tokens, log_ppl) of rows (row, doc_id, language, text): halves by doc_id, each scored with the other's words."""
     models = train_bytes(rows, "text", "language")
     languages = sorted(models.places)
-    places = rows.sparkSession.createDataFrame([(x, i) for i, x in enumerate(languages)], "language string, place int")
+    places = rows.sparkSession.createDataFrame(pa.table({"language": pa.array(languages, pa.string()), "place": pa.array(range(len(languages)), pa.int32())}))
     docs = rows.withColumn("fold", remainder("doc_id", 2).cast("int")).join(F.broadcast(places), "language").select("row", "fold", "text", F.col("place").alias("language"))
 
     def setup() -> Spelling:
@@ -340,7 +402,7 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = docs.select(F.col(id_col).alias("doc_id"), language.alias("language"), F.col(text_col).alias("text"))
     named = (named if rescannable else stored(named, "rules-texts")).withColumn("row", F.monotonically_increasing_id())
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    counts = map_rows(named, ["text"], ["row", "doc_id", "language"], COUNTS, lambda: rule_counts)
+    counts = counted_rules(named)
     with shuffles_deleted(docs.sparkSession):
         scored = F.when(F.col("n_tokens") == F.col("n_words") + 1, F.col("log_ppl")).otherwise(F.raise_error(F.lit(CHANGED)).cast("double"))
         judged = counts.join(perplexities(named), "row", "left").withColumns({"log_ppl": scored, "base_failed": failed}).drop("row", "n_tokens")

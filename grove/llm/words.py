@@ -4,7 +4,8 @@ Every text belongs to one of two folds and is scored by what the other fold's
 texts counted, so that no text vouches for itself; words that the other fold
 lacks are left to their spelling. Blocks, shards and their sorted, mapped
 arrays are those of `lm`: a shard gets a block's distinct bigrams with their
-numbers in both folds, merges them, and answers each block. A word's hash
+numbers, merges them, and answers each block. A block's texts are of one fold,
+so that it is told only what the other counted. A word's hash
 holds its language, so that languages share shards but no counts. Texts are
 read once and stored as tokens; bigrams go to their shards, and answers back to
 their blocks, in rounds, whose shuffle files Spark deletes after each.
@@ -25,13 +26,13 @@ from pyspark.sql import functions as F
 from grove.storage import remove, shared_folder
 
 from .common import stored
-from .lm import BLOCK, END, ROW, ROW_NAMES, SHARD, START, Block, Mapped, Owners, by_key, discounts, hashed_words, pack, pair_hash, rows, stored_kinds, summed, unpack
+from .lm import END, ROW, ROW_NAMES, SHARD, START, Block, Mapped, Owners, by_key, discounts, hashed_words, pack, pair_hash, rows, stored_kinds, unpack
 
 #: Bits of a word's hash below its language's number; no letter changes; steps of log10 in which the spelling is sent; bigrams scored at once.
 BITS, AS_IT_IS, STEPS, SLICE = 44, np.arange(256, dtype=np.uint8), 1 << 8, 1 << 17
 LOW = np.uint64((1 << BITS) - 1)
-#: For each fold of a word: contexts that it follows; tokens after it, and its followers seen once, twice, more often.
-SUMS = 5
+#: Bytes of text that make up a block, and that are hashed at once, so that its arrays stay in a core's cache.
+BLOCK, CHUNK = 16 << 20, 1 << 18
 #: Numbers of a language and fold: continuations, words with 1, 2, 3, 4 and over 2 of them, bigrams seen 1, 2, 3 and 4 times.
 NUMBERS = 10
 
@@ -46,27 +47,36 @@ def language_of(keys: np.ndarray) -> np.ndarray:
     return (keys >> np.uint64(BITS)).astype(np.int64)
 
 
+def narrow(a: np.ndarray) -> np.ndarray:
+    """The numbers, none negative, in as few bytes as the largest needs."""
+    return a.astype(np.min_scalar_type(int(a.max()))) if len(a) else a.astype(np.uint8)
+
+
+def by_owner(owner: np.ndarray, shards: int) -> np.ndarray:
+    return np.argsort(owner.astype(np.uint16) if shards <= 1 << 16 else owner, kind="stable")
+
+
 class LanguageBlock(Block):
-    """A block whose words belong to languages; `of_texts` and `folds` are those of each text."""
+    """A block whose words belong to languages; `of_texts` are those of each text."""
 
-    def __init__(self, vocabulary: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, of_texts: np.ndarray, folds: np.ndarray):
-        self.vocabulary, self.tokens, self.lengths, self.of_texts, self.folds = vocabulary, tokens, lengths, of_texts, folds
+    def __init__(self, vocabulary: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, of_texts: np.ndarray):
+        self.vocabulary, self.tokens, self.lengths, self.of_texts = vocabulary, tokens, lengths, of_texts
         self.before = np.r_[np.int64(0), tokens[:-1]]
         self.before[np.cumsum(lengths) - lengths] = np.searchsorted(vocabulary, keyed(START, of_texts))
 
     @classmethod
-    def of(cls, texts: pa.Array, of_texts: np.ndarray, folds: np.ndarray) -> LanguageBlock:
+    def of(cls, texts: pa.Array, of_texts: np.ndarray) -> LanguageBlock:
         spans: list = []
         texts = pc.fill_null(texts, "")
-        words, counts = hashed_words(texts, AS_IT_IS, spans)
+        words, counts = hashed_words(texts, AS_IT_IS, spans, CHUNK)
         ends = np.cumsum(counts)
         words = np.r_[keyed(np.insert(words, ends, END), np.repeat(of_texts, counts + 1)), keyed(START, np.unique(of_texts))]
-        order = np.argsort(words, kind="stable")
+        order = np.argsort(words)
         ranked = words[order]
         new = np.r_[True, ranked[1:] != ranked[:-1]]
         tokens = np.empty(len(words), np.int64)
         tokens[order] = np.cumsum(new) - 1
-        block = cls(ranked[new], tokens[: len(words) - len(np.unique(of_texts))], counts + 1, of_texts, folds)
+        block = cls(ranked[new], tokens[: len(words) - len(np.unique(of_texts))], counts + 1, of_texts)
         starts, lengths = (np.concatenate(x) for x in zip(*spans)) if spans else (np.zeros(0, np.int64),) * 2
         at = np.minimum(order[new], len(block.tokens) - 1)
         block.starts, block.sizes = np.insert(starts, ends, 0)[at], np.insert(lengths, ends, 0)[at]
@@ -81,22 +91,20 @@ class LanguageBlock(Block):
         owner[often] = owners.word(pair_hash(*self.words_of(codes[often])))
         return owner
 
-    def dealt(self, owners: Owners, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Bigrams in the order of their owners, these, and their places before."""
+    def dealt(self, owners: Owners, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The owners of bigrams, ascending, and the places of these in that order."""
         owner = self.owners_of(owners, codes)
-        order = np.argsort(owner.astype(np.uint16) if owners.shards <= 1 << 16 else owner, kind="stable")
-        return codes[order], owner[order], order
+        order = by_owner(owner, owners.shards)
+        return owner[order], order
 
-    def counted(self, owners: Owners, rounds: int, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """This round's distinct bigrams, in the order of their owners, with these and their numbers in both folds."""
+    def counted(self, owners: Owners, rounds: int, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """This round's distinct bigrams, in the order of their owners, with these and their numbers."""
         codes = self.codes()
-        mine = self.owners_of(owners, codes) % rounds == turn
-        marked = np.sort(codes[mine] << 1 | np.repeat(self.folds.astype(np.int64), self.lengths)[mine])
-        codes = marked >> 1
+        codes = np.sort(codes[self.owners_of(owners, codes) % rounds == turn])
         new = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, np.int64)
-        n, second = np.diff(np.r_[new, len(codes)]), np.add.reduceat(marked & 1, new) if len(new) else new
-        codes, owner, order = self.dealt(owners, codes[new])
-        return codes, owner, (n - second)[order].astype(np.uint64), second[order].astype(np.uint64)
+        n, codes = np.diff(np.r_[new, len(codes)]), codes[new]
+        owner, order = self.dealt(owners, codes)
+        return codes[order], owner, n[order]
 
     def spelt(self, spelling: Spelling) -> np.ndarray:
         """log10 of the probability of each word's letters, in steps."""
@@ -107,37 +115,50 @@ class LanguageBlock(Block):
         return np.rint(found * STEPS).astype(np.int32)
 
 
+def parts_of(texts: pa.Array, most: int = BLOCK) -> Iterator[tuple[int, int]]:
+    """First and last places of even parts of the texts, of `most` bytes or some less, or one text more."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    size = int(ends[-1]) if len(ends) else 0
+    parts = max(1, -(-size // most))
+    cuts = np.unique(np.r_[0, np.searchsorted(ends, size * np.arange(1, parts) // parts, "right"), len(ends)]).tolist()
+    return zip(cuts, cuts[1:])
+
+
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, pa.RecordBatch, LanguageBlock]]:
-    """Batches of (row, fold, text, language, part) in blocks, each with its part and a name."""
+    """Batches of (row, fold, text, language, part) in blocks of one fold, each with a tag, twice its part and its fold, and a name."""
     i = 0
     for b in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        first = 0
-        while first < b.num_rows:
-            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + BLOCK, "right")))
-            part, at = b.slice(first, last - first), b.column(4)[0].as_py()
-            yield at, f"{at}-{i}", part, LanguageBlock.of(part.column(2), part.column(3).to_numpy(), part.column(1).to_numpy())
-            first, i = last, i + 1
+        folds = b.column(1).to_numpy()
+        for fold in (0, 1):
+            own = b.filter(pa.array(folds == fold))
+            for first, last in parts_of(own.column(2)):
+                part, tag = own.slice(first, last - first), 2 * own.column(4)[0].as_py() + fold
+                yield tag, f"{tag}-{i}", part, LanguageBlock.of(part.column(2), part.column(3).to_numpy())
+                i += 1
+
+
+def tag_of(block: str) -> int:
+    return int(block.split("-")[0])
 
 
 def send_tokens(docs: DataFrame, setup: Callable[[], Spelling]) -> DataFrame:
-    """Each block whole, with its part in place of a shard: rows, folds, languages, lengths, words by frequency with their spelling, and the tokens as places in that list."""
+    """Each block whole, with its tag in place of a shard: rows, languages, lengths, words by frequency with their spelling, and the tokens as places in that list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spelling = setup()
-        for part, name, b, block in blocks(batches):
+        for tag, name, b, block in blocks(batches):
             by_frequency = np.argsort(-np.bincount(block.tokens, minlength=len(block.vocabulary)), kind="stable")
             place = np.empty(len(by_frequency), np.uint32)
             place[by_frequency] = np.arange(len(by_frequency), dtype=np.uint32)
-            yield rows([(part, "tokens", name, pack(b.column(0).to_numpy(), block.folds, block.of_texts, block.lengths, block.vocabulary, block.spelt(spelling), by_frequency.astype(np.uint32), place[block.tokens]))])
+            yield rows([(tag, "tokens", name, pack(b.column(0).to_numpy(), block.of_texts, block.lengths, block.vocabulary, block.spelt(spelling), by_frequency.astype(np.uint32), place[block.tokens]))])
 
     return scanned(docs).mapInArrow(run, ROW)
 
 
 def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, LanguageBlock]:
     """A sent block's rows, its words' spelling, and itself."""
-    ids, folds, of_texts, lengths, vocabulary, spelt, by_frequency, places = unpack(data)
-    return ids, spelt, LanguageBlock(vocabulary, by_frequency[places].astype(np.int64), lengths, of_texts, folds)
+    ids, of_texts, lengths, vocabulary, spelt, by_frequency, places = unpack(data)
+    return ids, spelt, LanguageBlock(vocabulary, by_frequency[places].astype(np.int64), lengths, of_texts)
 
 
 def sent_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, LanguageBlock]]:
@@ -165,14 +186,14 @@ def frequent_words(docs: DataFrame, shards: int, languages: int, fraction: float
 
 
 def send_pairs(tokens: DataFrame, owners: Owners, rounds: int, turn: int) -> DataFrame:
-    """Each block's distinct bigrams with their numbers in both folds, for each shard of this round one row."""
+    """Each block's distinct bigrams with their numbers, for each shard of this round one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, block in sent_blocks(batches):
-            codes, owner, *n = block.counted(owners, rounds, turn)
+            codes, owner, n = block.counted(owners, rounds, turn)
             v, w = block.words_of(codes)
             for p, part in owners.slices(owner):
-                yield rows([(p, "pairs", name, pack(v[part], w[part], *(x[part] for x in n)))])
+                yield rows([(p, "pairs", name, pack(v[part], w[part], narrow(n[part])))])
 
     return tokens.mapInArrow(run, ROW)
 
@@ -183,47 +204,88 @@ def by_language(languages: np.ndarray, values: list[np.ndarray]) -> list[np.ndar
     return [found, *(np.bincount(at, v, len(found)).astype(np.int64) for v in values)]
 
 
-def merge_pairs(sent: DataFrame, owners: Owners) -> DataFrame:
-    """Each block's answers from a shard's sorted bigram hashes, what its words add up to, and the numbers of its languages."""
+def starts_of(ranked: np.ndarray) -> np.ndarray:
+    """Where the sorted array's different values begin."""
+    return np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]]) if len(ranked) else np.zeros(0, np.int64)
+
+
+def sums_of(keys: np.ndarray, values: list[np.ndarray], made: list[Callable[[np.ndarray], np.ndarray]]) -> list[np.ndarray]:
+    """The distinct keys, ascending, and for each value the sums over them of what is made of it."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    new = starts_of(ranked)
+    return [ranked[new], *(np.add.reduceat(f(x), new, dtype=np.int64) for x in (v[order] for v in values) for f in made)]
+
+
+def merge_pairs(sent: DataFrame, owners: Owners, rounds: int) -> DataFrame:
+    """Each block's answers from a shard's sorted bigram hashes, what its words add up to (kind words and their shard's round; block w: contexts in both folds; block v: for each fold tokens after it, and its followers seen once, twice, more often), and the numbers of its languages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in by_key(batches, 0):
-            shard = group[0][0]
-            v, w, *n = (np.concatenate(x) for x in zip(*(unpack(g[3]) for g in group)))
+            shard, names = group[0][0], [g[2] for g in group]
+            v, w, n = zip(*(unpack(g[3]) for g in group))
+            group.clear()
+            ends = np.cumsum([len(x) for x in v])
+            second = np.repeat([tag_of(x) % 2 == 1 for x in names], np.diff(np.r_[0, ends]))
+            v, w, n = np.concatenate(v), np.concatenate(w), np.concatenate(n).astype(np.int64)
             keys = pair_hash(v, w)
             order = np.argsort(keys)
-            keys = keys[order]
-            new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            n = [np.add.reduceat(x[order], new) for x in n]
-            keys, v, w = keys[new], v[order][new], w[order][new]
-            del order, new
-            yield rows([(shard, "numbers", "", pack(*by_language(language_of(v), [x == k for x in n for k in (1, 2, 3, 4)])))])
-            after = [y.astype(np.int64) for x in n for y in (x, x == 1, x == 2, x > 2)]
-            values = [y for f in (0, 1) for y in ([(n[f] > 0).astype(np.int64), None], *([None, a] for a in after[4 * f : 4 * f + 4]))]
-            words = summed([w, v], values)
-            model = Mapped(keys, *n)
-            del keys, v, w, n, after, values
-            for g in group:
-                yield rows([(shard, "answer", g[2], pack(*model.look_up(pair_hash(*unpack(g[3])[:2]))))])
-            to = owners.word(words[0])
-            order = np.argsort(to, kind="stable")
-            for q, part in owners.slices(to[order]):
-                yield rows([(q, "words", "", pack(*(x[order[part]] for x in words)))])
-
-    return sent.repartitionById(owners.shards, "shard").sortWithinPartitions("shard").mapInArrow(run, ROW)
-
-
-def merge_words(sums: DataFrame, owners: Owners) -> DataFrame:
-    """For each shard its sorted words with all sums (kind words), and the numbers of its languages."""
+            keys, n, second = keys[order], n[order], second[order]
+            new = starts_of(keys)
+            v, w = v[order[new]], w[order[new]]
+            n = [np.add.reduceat(np.where(second == f, n, 0), new) for f in (False, True)]
+            model = Mapped(keys[new], *map(narrow, n))
+            first, other = model.look_up(keys)
+            answer = np.empty(len(order), np.result_type(first, other))
+            answer[order] = np.where(second, first, other)
+            del keys, order, second, new, model, first, other
+            for name, a, z in zip(names, [0, *ends.tolist()], ends.tolist()):
+                yield rows([(shard, "answer", name, pack(narrow(answer[a:z])))])
+            del answer
+            follows = sums_of(w, n, [lambda x: x > 0])
+            leads = sums_of(v, n, [lambda x: x, lambda x: x == 1, lambda x: x == 2, lambda x: x > 2, lambda x: x == 3, lambda x: x == 4])
+            del v, w, n
+            yield rows([(shard, "numbers", "", pack(*by_language(language_of(leads[0]), [leads[6 * f + k] for f in (0, 1) for k in (2, 3, 5, 6)])))])
+            for kind, words in (("w", follows), ("v", [*leads[:5], *leads[7:11]])):
+                to = owners.word(words[0])
+                order = by_owner(to, owners.shards)
+                for q, part in owners.slices(to[order]):
+                    yield rows([(q, f"words{q % rounds}", kind, pack(words[0][order[part]], *(narrow(x[order[part]]) for x in words[1:])))])
+
+    # A round's shards are those of one remainder.
+    at = F.floor(F.col("shard") / rounds).cast("int")
+    return sent.repartitionById(-(-owners.shards // rounds), at).sortWithinPartitions("shard").mapInArrow(run, ROW)
+
+
+def merge_words(sums: DataFrame, owners: Owners, rounds: int) -> DataFrame:
+    """For each shard its sorted words with the sums of each fold (kind words, block the fold): contexts that it follows, tokens after it, its followers seen once, twice, more often. And the numbers of its languages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in by_key(batches, 0):
-            parts = [unpack(g[3]) for g in group]
-            words = summed([p[0] for p in parts], [[p[i] for p in parts] for i in range(1, 2 * SUMS + 1)])
-            more = [words[1], words[1 + SUMS]]
-            yield rows([(group[0][0], "words", "", pack(*words)), (group[0][0], "numbers", "", pack(*by_language(language_of(words[0]), [y for x in more for y in (x, x == 1, x == 2, x == 3, x == 4, x > 2)])))])
+            shard, kinds = group[0][0], {k: [[np.zeros(0, np.uint64), *[np.zeros(0, np.uint8)] * n]] for k, n in (("w", 2), ("v", 8))}
+            for g in group:
+                kinds[g[2]].append(unpack(g[3]))
+            group.clear()
+            (follows, *contexts), (leads, *after) = ([np.concatenate(x) for x in zip(*kinds[k])] for k in ("w", "v"))
+            keys = np.concatenate([follows, leads])
+            order = np.argsort(keys)
+            ranked = keys[order]
+            new = starts_of(ranked)
+            at = np.empty(len(keys), np.int64)
+            at[order] = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(keys)]))
+            keys, cut = ranked[new], len(follows)
+            del ranked, order
+            told = []
+            for f in (0, 1):
+                more = np.bincount(at[:cut], contexts[f], len(keys)).astype(np.int64)
+                told += [more, more == 1, more == 2, more == 3, more == 4, more > 2]
+                words = [more, *(np.bincount(at[cut:], x, len(keys)).astype(np.int64) for x in after[4 * f : 4 * f + 4])]
+                there = (more > 0) | (words[1] > 0)
+                yield rows([(shard, "words", str(f), pack(keys[there], *(narrow(x[there]) for x in words)))])
+            yield rows([(shard, "numbers", "", pack(*by_language(language_of(keys), told)))])
 
-    return sums.repartitionById(owners.shards, "shard").sortWithinPartitions("shard").mapInArrow(run, ROW)
+    at = F.floor(F.col("shard") / rounds).cast("int")
+    return sums.repartitionById(-(-owners.shards // rounds), at).sortWithinPartitions("shard").mapInArrow(run, ROW)
 
 
 class Totals:
@@ -258,15 +320,18 @@ class Totals:
             numbers[r["fold"], r["language"], r["number"]] = r["n"]
         return cls(numbers)
 
-    def logs(self, fold: int, language: np.ndarray, found: np.ndarray, before: np.ndarray, word: np.ndarray, spelt: np.ndarray) -> np.ndarray:
-        """log10 of the probability of bigrams: their number in the fold, the sums (SUMS, n) of the first word and of the second, and the spelling of this."""
-        d = lambda table, n: table[fold][language, np.minimum(n, 3).astype(np.int64)]
-        after, seen = before[1], self.pair[fold][language]
-        left = (seen[:, 1:] * before[2:].T).sum(1)
-        safe = np.maximum(after, 1)
-        weight = np.where(after > 0, left / safe, 1.0)
-        own = (found - d(self.pair, found)) / safe + weight * (word[0] - d(self.word, word[0])) / self.continuations[fold][language]
-        letters = np.log10(weight * self.rest[fold][language]) + spelt
+    def words(self, fold: int, language: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of words, by their sums in the fold: tokens after them, the weight left to what follows whatever is before, log10 of that left to spelling, and discounted contexts."""
+        more, after, *followers = sums
+        left = (self.pair[fold][language][:, 1:] * np.array(followers).T).sum(1)
+        weight = np.where(after > 0, left / np.maximum(after, 1), 1.0)
+        return np.maximum(after, 1), weight, np.log10(weight * self.rest[fold][language]), more - self.word[fold][language, np.minimum(more, 3)]
+
+    def logs(self, fold: int, language: np.ndarray, found: np.ndarray, before: tuple[np.ndarray, np.ndarray, np.ndarray], kept: np.ndarray, spelt: np.ndarray) -> np.ndarray:
+        """log10 of the probability of bigrams: their number in the fold, what is known of the first word, and the discounted contexts and the spelling of the second."""
+        after, weight, spared = before
+        own = (found - self.pair[fold][language, np.minimum(found, 3)]) / after + weight * kept / self.continuations[fold][language]
+        letters = spared + spelt
         return np.where(own > 0, np.log10(np.maximum(own, 1e-300) + 10 ** np.maximum(letters, -300)), letters)
 
 
@@ -276,7 +341,7 @@ def send_words(tokens: DataFrame, owners: Owners) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, block in sent_blocks(batches):
             owner = owners.word(block.vocabulary)
-            order = np.argsort(owner, kind="stable")
+            order = by_owner(owner, owners.shards)
             for q, part in owners.slices(owner[order]):
                 yield rows([(q, "~ask", name, pack(block.vocabulary[order[part]]))])
 
@@ -284,57 +349,62 @@ def send_words(tokens: DataFrame, owners: Owners) -> DataFrame:
 
 
 def answer_words(words: DataFrame, asked: DataFrame, owners: Owners) -> DataFrame:
-    """For each block and shard the sums of its words."""
+    """For each block and shard the sums of its words in the fold that `words` are of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in by_key(batches, 0):
             own = [g for g in group if g[1] == "words"]
-            model = Mapped(*(unpack(own[0][3]) if own else [np.zeros(0, np.uint64)] * (2 * SUMS + 1)))
+            model = Mapped(*(unpack(own[0][3]) if own else [np.zeros(0, np.uint64)] * 6))
             for g in group:
                 if g[1] != "words":
-                    yield rows([(g[0], "words", g[2], pack(*model.look_up(unpack(g[3])[0])))])
+                    yield rows([(g[0], "words", g[2], pack(*map(narrow, model.look_up(unpack(g[3])[0]))))])
 
     return words.unionByName(asked).repartitionById(owners.shards, "shard").sortWithinPartitions("shard", F.col("kind") == "~ask").mapInArrow(run, ROW)
 
 
-def score_blocks(tokens: DataFrame, answers: DataFrame, owners: Owners, totals: Totals) -> DataFrame:
+def score_blocks(tokens: DataFrame, answers: DataFrame, owners: Owners, totals: Totals, rounds: int) -> DataFrame:
     """Puts each block's answers to its tokens and sums them up by text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in by_key(batches, 2):
+            other = 1 - tag_of(group[0][2]) % 2
             ids, spelt, block = unpacked(next(g[3] for g in group if g[1] == "tokens"))
-            vocabulary, lengths = block.vocabulary, block.lengths
+            lengths, languages = block.lengths, language_of(block.vocabulary)
             pair_answers, word_answers = (sorted((g for g in group if g[1] == kind), key=lambda g: g[0]) for kind in ("answer", "words"))
-            codes = np.sort(block.codes())
-            codes, _, by_owner = block.dealt(owners, codes[np.r_[True, codes[1:] != codes[:-1]]])
-            found = [np.concatenate(c) for c in zip(*(unpack(g[3]) for g in pair_answers))]
-            order = np.argsort(owners.word(vocabulary), kind="stable")
-            columns = [np.concatenate(c) for c in zip(*(unpack(g[3]) for g in word_answers))]
-            sums = np.empty((2 * SUMS, len(vocabulary)), np.int64)
-            for to, c in zip(sums, columns):
-                to[order] = c
-            by_code = np.empty_like(by_owner)
-            by_code[by_owner] = np.arange(len(by_owner))
-            at = by_code[np.searchsorted(codes[by_code], block.codes())]
-            fold, logs = np.repeat(block.folds, lengths), np.empty(len(at))
-            for f in (0, 1):
-                other, each, mine = sums[SUMS * (1 - f) : SUMS * (2 - f)], np.empty(len(codes)), fold == f
-                for i in range(0, len(codes), SLICE):
-                    own = slice(i, i + SLICE)
-                    v, w = codes[own] >> 32, codes[own] & 0xFFFFFFFF
-                    each[own] = totals.logs(1 - f, language_of(vocabulary[w]), found[1 - f][own].astype(np.int64), other[:, v], other[:, w], spelt[w] / STEPS)
-                logs[mine] = each[at[mine]]
-            score = np.add.reduceat(logs, np.cumsum(lengths) - lengths)
+            codes = block.codes()
+            order = np.argsort(codes)
+            ranked = codes[order]
+            new = starts_of(ranked)
+            at = np.empty(len(codes), np.int64)
+            at[order] = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(codes)]))
+            codes = ranked[new]
+            del order, ranked, new
+            found = np.empty(len(codes), np.int64)
+            found[block.dealt(owners, codes)[1]] = np.concatenate([unpack(g[3])[0] for g in pair_answers])
+            order = by_owner(owners.word(block.vocabulary), owners.shards)
+            sums = np.empty((5, len(order)), np.int64)
+            for to, c in zip(sums, zip(*(unpack(g[3]) for g in word_answers))):
+                to[order] = np.concatenate(c)
+            group.clear()
+            *before, kept = totals.words(other, languages, sums)
+            del sums, order, pair_answers, word_answers
+            each = np.empty(len(codes))
+            for i in range(0, len(codes), SLICE):
+                own = slice(i, i + SLICE)
+                v, w = codes[own] >> 32, codes[own] & 0xFFFFFFFF
+                each[own] = totals.logs(other, languages[w], found[own], [x[v] for x in before], kept[w], spelt[w] / STEPS)
+            score = np.add.reduceat(each[at], np.cumsum(lengths) - lengths)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(lengths), pa.array(-score / lengths)], names=["row", "n_tokens", "log_ppl"])
 
-    return tokens.unionByName(answers).repartition(4 * owners.shards, "block").sortWithinPartitions("block").mapInArrow(run, "row long, n_tokens long, log_ppl double")
+    return tokens.unionByName(answers).repartition(max(1, 4 * owners.shards // rounds), "block").sortWithinPartitions("block").mapInArrow(run, "row long, n_tokens long, log_ppl double")
 
 
 def word_perplexity(docs: DataFrame, languages: list[str], setup: Callable[[], Spelling], sample: float = 0.02, shard_bytes: int = SHARD, rounds: int = 6) -> DataFrame:
     """(row, n_tokens, log_ppl) of docs (row, fold, text, language): log10 of the perplexity for each word and the end.
 
     fold is 0 or 1; language is a place in `languages`, of which there may be
-    2^20. setup makes a task's spelling model.
+    2^20. setup makes a task's spelling model. rounds is even, so that those of
+    blocks are of one fold each and read only the other's words.
     """
     if len(languages) > 1 << (64 - BITS):
         raise ValueError(f"over {1 << (64 - BITS)} languages")
@@ -344,16 +414,20 @@ def word_perplexity(docs: DataFrame, languages: list[str], setup: Callable[[], S
     owners = Owners(shards, frequent_words(docs, shards, len(languages), sample))
     tokens = stored(send_tokens(docs, setup), "rules-tokens")
     paths = [f"{shared_folder(spark).rstrip('/')}/rules-pairs-{uuid.uuid4().hex}" for _ in range(rounds)]
-    merged = [stored_kinds(merge_pairs(send_pairs(tokens, owners, rounds, i), owners), path=p) for i, p in enumerate(paths)]
+    merged = [stored_kinds(merge_pairs(send_pairs(tokens, owners, rounds, i), owners, rounds), path=p) for i, p in enumerate(paths)]
     kind = lambda df, k: df.where(F.col("kind") == k).select(*ROW_NAMES)
     of_pairs = lambda k: reduce(DataFrame.unionByName, [kind(m, k) for m in merged])
-    words = reduce(DataFrame.unionByName, [stored_kinds(merge_words(of_pairs("words").where(F.col("shard") % rounds == i), owners), "rules-words") for i in range(rounds)])
-    for p in paths:
-        remove(spark, f"{p}/kind=words")
+    summed = []
+    for i in range(rounds):
+        summed.append(stored_kinds(merge_words(of_pairs(f"words{i}"), owners, rounds), "rules-words"))
+        for p in paths:
+            remove(spark, f"{p}/kind=words{i}")
+    words = reduce(DataFrame.unionByName, summed)
     totals = Totals.read(of_pairs("numbers"), kind(words, "numbers"), len(languages))
     done = []
     for i in range(rounds):
-        own, part = tokens.where(F.col("shard") % rounds == i), F.substring_index("block", "-", 1).cast("int")
-        answers = answer_words(kind(words, "words"), send_words(own, owners), owners).unionByName(of_pairs("answer").where(part % rounds == i))
-        done.append(stored(score_blocks(own, answers, owners, totals), "rules-scores"))
+        own, tag = tokens.where(F.col("shard") % rounds == i), F.substring_index("block", "-", 1).cast("int")
+        known = kind(words, "words").where(F.col("block") == str(1 - i % 2))
+        answers = answer_words(known, send_words(own, owners), owners).unionByName(of_pairs("answer").where(tag % rounds == i))
+        done.append(stored(score_blocks(own, answers, owners, totals, rounds), "rules-scores"))
     return reduce(DataFrame.unionByName, done)

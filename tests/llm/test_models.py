@@ -124,6 +124,33 @@ def test_rules(docs, rows, empty, texts):
     assert apply_rules(empty).count() == 0
 
 
+def test_rule_columns(texts):
+    """A batch's counts are those of its texts one by one, of slices too."""
+    from grove.llm.rules import rule_columns
+
+    told = [*texts, None, "", " \n ", "a b c d e f a b c d e", "a a a a a a a", "x\nx\n\n\nx", "1 2 3 4 5 1 2 3 4 5 9 1 2 3 4 5", "é #ü\x0b& ü\x85x $", "a b c d", "e a b c d e"]
+    for first in (0, 3):
+        found = rule_columns(pa.array(told, pa.string()).slice(first))
+        assert list(zip(*(c.tolist() for c in found))) == [brute_rules(t) for t in told[first:]]
+    assert [len(c) for c in rule_columns(pa.array([], pa.string()))] == [0] * 5
+
+
+def test_blocks_are_of_one_fold(spark):
+    """A block asks for one fold's numbers only; the numbers of shards, most of which own few words or none that leads, change no score."""
+    from grove.llm.words import blocks, word_perplexity
+
+    rows = [(i, i % 3 % 2, None if i == 7 else " ".join("abcdefg"[(i * j) % 7] for j in range(i % 11)), i % 2) for i in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.string(), pa.int32()))] + [pa.array([4] * 60, pa.int32())], names=["row", "fold", "text", "language", "part"])
+    found = list(blocks(iter([batch])))
+    assert [tag for tag, *_ in found] == [8, 9] and sum(part.num_rows for _, _, part, _ in found) == 60
+    assert all(set(part.column(1).to_pylist()) == {tag % 2} for tag, _, part, _ in found)
+
+    docs = spark.createDataFrame(rows, "row long, fold int, text string, language int").repartition(2)
+    setup = lambda: lambda language, raw, starts, sizes: -1.0 - sizes
+    one, many = ({r["row"]: tuple(r) for r in word_perplexity(docs, ["x", "y"], setup, shard_bytes=n, rounds=2).collect()} for n in (1 << 20, 60))
+    assert set(one) == {r[0] for r in rows} and one == many
+
+
 def test_bands_reject_in_each_language(spark):
     """Above the band: texts of odd words among their language's own, though another language is made of those words; below: a text whose copies are much of its language."""
     import random
